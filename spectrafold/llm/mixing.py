@@ -3,8 +3,8 @@
 Documents of a source come in a shuffled order (by the MD5 of their doc_id), repeated up to
 REPEATS times. A copy's virtual finish time is the words of its source up to and with it, divided by
 the source's target; all copies are ordered by it and taken until the total budget is full, the
-last one in part. Order is by (finish time's bin, finish time, source, words so far): bins are a
-fixed number of ranges of the finish time, so the cut is found from one sum for each bin and one bin's rows.
+last one in part. Order is by (finish time, source, words so far); the copy in which the budget ends is found by
+halving in on it with sums over a fixed number of ranges, so no global sort is needed to truncate.
 
 Defined results: a null text has no words; a source of no words has target 0; null is a source of
 its own and comes last; repeated rows are separate rows; rows with null doc_id come first in their
@@ -13,7 +13,7 @@ source; an empty table gives an empty result; only doc_id, source and text are r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, text_of, words_of
@@ -21,8 +21,10 @@ from .shared import cut, text_of, words_of
 #: By rank of source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Ranges of the finish time; so many sums reach the driver at most.
-BINS = 65_536
+#: Ranges of the finish time; so many sums reach the driver at once.
+BINS = 16_384
+#: A range of so many rows is sorted as it is.
+EDGE = 50_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -48,10 +50,6 @@ def targets(sized: DataFrame) -> DataFrame:
     return full.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * left / open_weight)).select("src", "source_size", "target")
 
 
-def _bin(finish: Column) -> Column:
-    return F.floor(finish / (1 + finish) * BINS).cast("int")
-
-
 def queue(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     """Adds source_size, target, and so_far: words of the source up to and with the row, in shuffled order.
 
@@ -66,32 +64,51 @@ def queue(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.withColumn("so_far", F.sum("size").over(within)).join(parts, ["src", "part"]).withColumn("so_far", F.col("so_far") + F.col("before")).drop("before", "part")
 
 
+def _cut_row(copies: DataFrame, budget: int):
+    """The copy in which the budget ends and the words of it that still fit, or None if all fit.
+
+    The unit interval of finish / (1 + finish) is cut into BINS ranges, then the range in which the
+    budget ends into BINS again, until it holds few rows: only sums of ranges reach the driver, and
+    only the last range is sorted. Copies of equal finish are of different sources.
+    """
+    low, width, room = 0.0, 1.0, budget
+    at = F.col("finish") / (1 + F.col("finish"))
+    while True:
+        inside = copies.where((at >= low) & (at < low + width))
+        sums = inside.groupBy(F.floor((at - low) / width * BINS).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+        for r in sorted(sums):
+            if r["words"] > room:
+                break
+            room -= r["words"]
+        else:
+            return None
+        low, width = low + r["bin"] * width / BINS, width / BINS
+        if r["rows"] <= EDGE or width < 1e-14:
+            break
+    # The range's own sum may differ by a row whose finish is rounded across its edge: count what lies below.
+    room = budget - copies.where(at < low).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    order = Window.orderBy("finish", "src", "so_far").rowsBetween(Window.unboundedPreceding, 0)
+    near = copies.where((at >= low) & (at < low + 2 * width))
+    edge = near.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") > room).orderBy("upto").first()
+    return edge and (edge, room - (edge["upto"] - edge["size"]))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each document."""
     sized = cut(sizes(docs), "sizes")
     queued = cut(queue(sized, cut(targets(sized), "targets")), "queue")
-    copies = queued.where("size > 0").select("src", "so_far", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), lambda k: ((k * F.col("source_size") + F.col("so_far")) / F.col("target")))).alias("finish")).withColumn("bin", _bin(F.col("finish")))
+    copy = lambda k: (k * F.col("source_size") + F.col("so_far")) / F.col("target")
+    copies = queued.where("size > 0").select("src", "so_far", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), copy)).alias("finish"))
     budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    sums = sorted(tuple(r) for r in copies.groupBy("bin").agg(F.sum("size")).collect())
-    room, last = budget, None
-    for k, words in sums:
-        if words > room:
-            last = k
-            break
-        room -= words
-    taken = F.lit(0).cast("long")
-    if last is None:
-        taken = F.lit(REPEATS) * F.col("size")
-    else:
-        order = Window.orderBy("finish", "src", "so_far").rowsBetween(Window.unboundedPreceding, 0)
-        edge = copies.where(F.col("bin") == last).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") > room).orderBy("upto").first()
-        rest = room - (edge["upto"] - edge["size"])
+    taken, found = F.lit(REPEATS) * F.col("size"), _cut_row(copies, budget)
+    if found:
+        edge, rest = found
+        taken = F.lit(0).cast("long")
         for k in range(REPEATS):
-            finish = (k * F.col("source_size") + F.col("so_far")) / F.col("target")
-            src, so_far, at = F.col("src"), F.col("so_far"), edge["finish"]
+            finish, src, so_far, at = copy(F.lit(k)), F.col("src"), F.col("so_far"), edge["finish"]
             earlier = (finish < at) | (finish == at) & ((src < edge["src"]) | (src == edge["src"]) & (so_far < edge["so_far"]))
             same = (finish == at) & (src == edge["src"]) & (so_far == edge["so_far"])
-            taken = taken + F.when(F.col("size") == 0, 0).when(_bin(finish) < last, F.col("size")).when(_bin(finish) > last, 0).when(earlier, F.col("size")).when(same, rest).otherwise(0)
+            taken = taken + F.when(F.col("size") == 0, 0).when(earlier, F.col("size")).when(same, rest).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,64 @@ def text_of(docs: DataFrame) -> Column:
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text that isn't null."""
     return F.filter(F.split(text, BLANK), lambda w: w != "")
+
+
+def text_key(docs: DataFrame) -> Column:
+    """Tells rows of one doc_id apart by text, null doc_ids and null texts included."""
+    return F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """_row (all columns of docs), doc_id, text, and _id, _key that are never null: equal for equal rows only."""
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))})
+
+
+def utf8_words(text: bytes | None) -> list[bytes]:
+    """Words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8: bytes split at ASCII white space alone."""
+    return text.split() if text else []
+
+
+def lower_utf8_words(text: bytes | None) -> list[bytes]:
+    """The same with A-Z lowered and nothing else."""
+    return text.lower().split() if text else []
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; emptied when it holds MOST words, so memory is bounded."""
+
+    MOST = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def window_hashes(words: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of each run of length words, from 64-bit word hashes: a polynomial, doubled up, then mixed."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    power, done, total, at = np.uint64(base | 1), 0, np.zeros(n, np.uint64), words
+    span, factor = 1, power
+    with np.errstate(over="ignore"):
+        while True:
+            if length & span:
+                total = total * factor + at[done : done + n]
+                done += span
+            if span * 2 > length:
+                break
+            at = at[: len(at) - span] * factor + at[span:]
+            span, factor = span * 2, factor * factor
+        return mix64(total)
