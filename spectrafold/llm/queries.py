@@ -10,7 +10,8 @@ from .mixing import op7_mixing
 from .near_dedup import op6_near_dedup
 from .quality_rules import op2_quality_rules
 from .sharding import op5_sharding
+from .substring_dedup import op1_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op5_sharding, op6_near_dedup, op7_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op5_sharding, op6_near_dedup, op7_mixing)}
 
 ORACLES: dict[str, str] = {}

@@ -41,6 +41,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast only if its rows, of so many bytes each at most, stay within this.
+BROADCAST_BYTES = 32 << 20
+
+
+def with_small(big: DataFrame, small: DataFrame, on: list[str], row_bytes: Column | int, how: str = "inner") -> DataFrame:
+    """A join that spares big a shuffle if small, which is measured, may be broadcast; else Spark chooses."""
+    measured = small.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return big.join(F.broadcast(small) if measured <= BROADCAST_BYTES else small, on, how)
+
+
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
@@ -50,11 +60,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda w: w != "")
 
 
-def text_key(docs: DataFrame) -> Column:
-    """Tells rows of one doc_id apart by text, null doc_ids and null texts included."""
-    return F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """_row (all columns of docs), doc_id, text, and _id, _key that are never null: equal for equal rows only."""
     return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))})
