@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str, mode: str):
+    """A binary file in the shared folder, opened on the driver or an executor."""
+    if re.match(r"file:|/", path):
+        local = re.sub(r"^file:/*", "/", path)
+        if "w" in mode:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, mode)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_output_stream(at) if "w" in mode else store.open_input_file(at)
+
+
 #: A side of a join is broadcast only if its rows, of so many bytes each at most, stay within this.
 BROADCAST_BYTES = 32 << 20
 
@@ -65,6 +81,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))})
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what a task makes of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_words(text: bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8: bytes split at ASCII white space alone."""
     return text.split() if text else []
@@ -78,7 +101,7 @@ def lower_utf8_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words; emptied when it holds MOST words, so memory is bounded."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
