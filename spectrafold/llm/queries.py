@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .line_dedup import op4_line_dedup
 from .mixing import op7_mixing
 from .near_dedup import op6_near_dedup
 from .ngram_trie import op9_ngram_trie
@@ -16,6 +17,6 @@ from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
 from .warc import op3_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files)}
 
 ORACLES: dict[str, str] = {}
