@@ -4,7 +4,7 @@ Documents of a source come in a shuffled order (by the MD5 of their doc_id), rep
 REPEATS times. A copy's virtual finish time is the words of its source up to and with it, divided by
 the source's target; all copies are ordered by it and taken until the total budget is full, the
 last one in part. Order is by (finish time, source, words so far); the copy in which the budget ends is found by
-halving in on it with sums over a fixed number of ranges, so no global sort is needed to truncate.
+narrowing in on it with sums over a fixed number of ranges, so no global sort is needed to truncate.
 
 Defined results: a null text has no words; a source of no words has target 0; null is a source of
 its own and comes last; repeated rows are separate rows; rows with null doc_id come first in their
@@ -13,10 +13,10 @@ source; an empty table gives an empty result; only doc_id, source and text are r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, text_of, words_of
+from .shared import cut, row_key, text_of, words_of
 
 #: By rank of source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,8 +27,14 @@ BINS = 16_384
 EDGE = 50_000
 
 
+def _src() -> Column:
+    """The source as text that is never null, other for null than for any text."""
+    return F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("src"), F.size(words_of(text_of(docs))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    return rows.select("doc_id", "source", _src().alias("src"), F.coalesce("doc_id", F.lit(0)).alias("_id"), row_key().alias("_key"), F.size(words_of(text_of(docs))).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def _cut_row(copies: DataFrame, budget: int):
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document."""
+    """doc_id, source, src, _id, _key, size, source_size, target, taken of each document."""
     sized = cut(sizes(docs), "sizes")
     queued = cut(queue(sized, cut(targets(sized), "targets")), "queue")
     copy = lambda k: (k * F.col("source_size") + F.col("so_far")) / F.col("target")
@@ -109,7 +115,21 @@ def mix(docs: DataFrame) -> DataFrame:
             earlier = (finish < at) | (finish == at) & ((src < edge["src"]) | (src == edge["src"]) & (so_far < edge["so_far"]))
             same = (finish == at) & (src == edge["src"]) & (so_far == edge["so_far"])
             taken = taken + F.when(F.col("size") == 0, 0).when(earlier, F.col("size")).when(same, rest).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "src", "_id", "_key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself, all columns: each document as often as it is taken whole, and once with its first words where it is taken in part."""
+    key = ["_id", "_key", "src"]
+    # Rows that agree in all of these are alike, so any of them may have any's share.
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("_id")).alias("number")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").select("_row", F.coalesce("doc_id", F.lit(0)).alias("_id"), row_key().alias("_key"), _src().alias("src")).select("*", number)
+    shares = cut(mix(docs), "shares").where("taken > 0").select(*key, "size", "taken", number)
+    whole = (F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    copies = rows.join(shares, [*key, "number"]).withColumn("words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
+    first_words = F.array_join(F.slice(words_of(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))), 1, F.col("words")), " ")
+    return copies.withColumn("_row", F.col("_row").withField("text", F.when(F.col("words").isNull(), F.col("_row.text")).otherwise(first_words))).select("_row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

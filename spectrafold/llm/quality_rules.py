@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, text_of, words_of
+from .shared import cut, keyed, text_of, with_small, words_of
 
 #: Windows of this many words count as repeated when found twice.
 WINDOW = 8
@@ -186,10 +186,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that base rule and list keep, with all their columns."""
-    own = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    stats = statistics(own)
-    rules = fit(cut(stats.drop("_row", "text"), "statistics"), labels)
-    return with_features(stats).where(verdict(rules)).select("_row.*")
+    rows = keyed(docs)
+    # Written first: a filter would else be moved below the statistics and make them again for each rule.
+    stats = cut(statistics(rows.select("doc_id", "_id", "_key", "text")).drop("text"), "statistics")
+    rejected = cut(with_features(stats).where(~verdict(fit(stats, labels))).select("_id", "_key").distinct(), "rejected")
+    return with_small(rows.select("_row", "_id", "_key"), rejected, ["_id", "_key"], 64, "left_anti").select("_row.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -76,9 +76,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda w: w != "")
 
 
+#: Tells rows of one doc_id apart by text, null doc_ids and null texts included.
+def row_key() -> Column:
+    return F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """_row (all columns of docs), doc_id, text, and _id, _key that are never null: equal for equal rows only."""
-    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": F.xxhash64("text", F.isnull("text"), F.isnull("doc_id"))})
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_key": row_key()})
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
