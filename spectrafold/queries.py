@@ -206,7 +206,7 @@ def label_indicators(spark, d):
     return scores.indicators(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label"), "label", [0, 1, 2]).select("vec_id", "sub_problem", "y")
 
 
-@query(f"WITH {FEATURES}, m AS (SELECT label AS class, feat, avg(x) AS y FROM feats GROUP BY 1, 2) SELECT epoch, class, round(sum((x - y) * (x - y)), 5) AS dist FROM feats JOIN m USING (feat) GROUP BY 1, 2")
+@query(f"WITH {FEATURES}, m AS (SELECT label AS class, feat, avg(x) AS mu FROM feats GROUP BY 1, 2) SELECT epoch, class, round(sum((x - mu) * (x - mu)), 5) AS dist FROM feats JOIN m USING (feat) GROUP BY 1, 2")
 def prototype_distances(spark, d):
     rows = feature_rows(spark, d)
     means = rows.groupBy(F.col("label").alias("class"), "feat").agg(F.avg("x").alias("mu"))
