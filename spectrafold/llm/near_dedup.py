@@ -8,11 +8,11 @@ similarity it says closely whether a pair that met in a band is worth the check
 Pairs are never made of a whole band group. First each member meets the group's least node only;
 the links that hold give components. Then only groups that still hold several components go
 on: members of different components are compared by bitmap within tasks, in blocks of about
-BLOCK members a side, and the survivors are checked on their full sets. Members of one
+BLOCK members a side, and those that may be similar by their full sets there; only links leave a task. Members of one
 component need no further link, so the components are those of all candidate pairs.
 
 With 46 bands of 6 samples a pair of similarity 0.8 is missed with probability (1 - 0.8**6) ** 46 < 1e-6.
-The bitmap passes a pair unless its count is above what even six standard deviations allow.
+The bitmap passes a pair unless its count is above what five standard deviations allow.
 
 Defined results: a null, empty or blank text has no shingles, no link and its own class; fewer
 words than a shingle count as one shingle; equal texts are linked; repeated rows carry equal
@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import WordHashes, cut, keyed, lower_utf8_words, mix64, window_hashes
+from .shared import WordHashes, cut, keyed, lower_utf8_words, mix64, slices, window_hashes, with_small
 
 ROWS, BANDS = 6, 46
 HASHES = ROWS * BANDS
 BITS = 1024
-BLOCK = 1000
+BLOCK = 500
 #: Shingles that a batch of results holds at least, unless its input ends.
 BATCH = 1_000_000
 
@@ -48,11 +48,11 @@ FACTOR, OFFSET = mix64(_NUMBER * _STEP) | np.uint64(1), mix64(_NUMBER * _STEP +
 
 
 def most_differing_bits(similarity: float) -> int:
-    """Bits that may differ at the similarity, six standard deviations of samples and of bits granted."""
+    """Bits that may differ at the similarity: the mean and five standard deviations, of samples and bits together."""
     gap = HASHES * (1 - similarity)
-    toggles = 2 * (gap + 6 * (gap * similarity) ** 0.5)
-    bits = BITS / 2 * (1 - (1 - 2 / BITS) ** toggles)
-    return int(bits + 6 * (bits * (1 - bits / BITS)) ** 0.5) + 1
+    bits = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * gap))
+    spread = (2 * (1 - 2 * bits / BITS)) ** 2 * gap * similarity + BITS / 4 * (1 - (1 - 2 * bits / BITS) ** 2)
+    return int(bits + 5 * spread**0.5) + 1
 
 
 def shingle_set(words: list[bytes], length: int, hashes: WordHashes) -> np.ndarray:
@@ -74,35 +74,50 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, _key, sid (digest of the set; null if empty), n, bands, sketch, shingles."""
-    names = ["doc_id", "_key", "sid", "n", "bands", "sketch", "shingles"]
+    """doc_id, _id, _key, sid (digest of the set; null if empty), n, bands, sketch."""
+    names = ["doc_id", "_id", "_key", "sid", "n", "bands", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs, hashes = pa.list_(pa.int64()), WordHashes()
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), longs, longs, longs]
-        done = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-        for batch in batches:
-            out, held = [[] for _ in names], 0
-            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())):
+        for batch in slices(batches):
+            sids, ns, bands, sketches = [], [], [], []
+            for text in batch.column(3).cast(pa.large_binary()):
                 shingles = shingle_set(lower_utf8_words(text.as_py()), length, hashes)
-                row = (doc_id, key, None, 0, None, None, None)
-                if len(shingles):
-                    row = (doc_id, key, xxhash.xxh3_128_digest(shingles.tobytes()), len(shingles), *signature(shingles), shingles.view(np.int64))
-                for column, value in zip(out, row):
-                    column.append(value)
-                held += len(shingles)
+                keys, sketch = signature(shingles) if len(shingles) else (None, None)
+                sids.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+                ns.append(len(shingles))
+                bands.append(keys)
+                sketches.append(sketch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sids, pa.binary()), pa.array(ns, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)], names)
+
+    return rows.select("doc_id", "_id", "_key", "text").mapInArrow(run, "doc_id long, _id long, _key long, sid binary, n long, bands array<long>, sketch array<long>")
+
+
+def full_sets(rows: DataFrame, length: int) -> DataFrame:
+    """node, n, shingles of rows that have node and text."""
+    names = ["node", "n", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        done = lambda nodes, sets: pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names)
+        for batch in slices(batches):
+            nodes, sets, held = [], [], 0
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                nodes.append(node)
+                sets.append(shingle_set(lower_utf8_words(text.as_py()), length, hashes).view(np.int64))
+                held += len(sets[-1])
                 if held > BATCH:
-                    yield done(out)
-                    out, held = [[] for _ in names], 0
-            yield done(out)
+                    yield done(nodes, sets)
+                    nodes, sets, held = [], [], 0
+            yield done(nodes, sets)
 
-    return rows.select("doc_id", "_key", "text").mapInArrow(run, "doc_id long, _key long, sid binary, n long, bands array<long>, sketch array<long>, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, shingles array<long>")
 
 
 def _ends(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """Pairs (a, b) with the columns of both ends, as x_a and x_b."""
     for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("sid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
     return pairs
 
 
@@ -116,72 +131,109 @@ def sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return _ends(pairs, nodes, "n", "sketch").where(_similar_sizes(round(100 * similarity))).where(differ <= most_differing_bits(similarity)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar. sets: sid, n, shingles, of equal rows for one sid."""
+def sets_of(used: DataFrame, nodes: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """node, n, shingles of the nodes in used, made again from the text of one document each."""
+    chosen = cut(nodes.join(used, "node", "left_semi").select("node", "_id", "_key"), "used")
+    # Equal rows give a node's set twice.
+    return cut(full_sets(with_small(rows, chosen, ["_id", "_key"], 64), length).dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar."""
     percent = round(100 * similarity)
     pairs = cut(pairs, "candidates")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    full = cut(sets.join(used, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
+    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows, length)
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return cut(_ends(pairs, full, "n", "shingles").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
 
 
-def _across(groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components within each key that size and bitmap let pass. groups: key, sid, label, n, sketch, members."""
+def _rivals(pdf: pd.DataFrame, label: np.ndarray, i: int, limit: int, percent: int) -> np.ndarray:
+    """Later rows of another label, and block, that size and odd sketch let pass."""
+    n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
+    later = slice(i + 1, None)
+    fits = (label[later] != label[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
+    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
+        fits &= own[later] != own[i]
+    return np.flatnonzero(fits) + i + 1
+
+
+def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, similarity: float) -> DataFrame:
+    """Links that join the components within each key. groups: key, node, label, members.
+
+    A block's task first names the members that meet another component by size and odd sketch; only these
+    bring their full sets, and a task links no two that it has joined before: links are fewer than members.
+    """
     limit, percent = most_differing_bits(similarity), round(100 * similarity)
     dealt = (
-        groups.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        groups.join(nodes.select("node", "n", "sketch"), "node")
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "label", "n", "sketch")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "sketch")
     )
+    bits_of = lambda pdf: np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, bits, met = pdf["label"].to_numpy(), bits_of(pdf), np.zeros(len(pdf), bool)
+        for i in range(len(pdf) - 1):
+            at = _rivals(pdf, label, i, limit, percent)
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit] if len(at) else at
+            met[at] = True
+            met[i] |= len(at) > 0
+        return pdf[met]
+
+    kept = cut(dealt.groupBy("key", "low", "high").applyInPandas(meet, dealt.schema), "rivals")
+    full = sets_of(kept.select("node"), nodes, rows, length)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sid, own, label = pdf["n"].to_numpy(), pdf["sid"].to_numpy(), pdf["own"].to_numpy(), pd.factorize(pdf["label"])[0]
-        bits, mixed = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), pdf["low"].iloc[0] != pdf["high"].iloc[0]
-        pairs = []
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, bits, sets, node, links = pdf["label"].to_numpy().copy(), bits_of(pdf), pdf["shingles"].to_numpy(), pdf["node"].to_numpy(), []
         for i in range(len(pdf) - 1):
-            later = slice(i + 1, None)
-            fits = (label[later] != label[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
-            at = np.flatnonzero(fits & (own[later] != own[i]) if mixed else fits) + i + 1
-            if len(at):
-                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit]
-                pairs += [(min(sid[i], sid[k]), max(sid[i], sid[k])) for k in at]
-        return pd.DataFrame(pairs, columns=["a", "b"])
+            at = _rivals(pdf, label, i, limit, percent)
+            for j in at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit] if len(at) else at:
+                if label[i] != label[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        label[label == label[j]] = label[i]
+                        links.append((node[i], node[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "low", "high").applyInPandas(run, "a binary, b binary").distinct()
+    return cut(kept.join(full.select("node", "shingles"), "node").groupBy("key", "low", "high").applyInPandas(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, _key, n_shingles, label, component_id, kept of each document."""
-    marked = cut(signatures(keyed(docs), length), "signatures")
-    sets = marked.where(F.col("sid").isNotNull()).select("sid", "n", "bands", "sketch", "shingles")
-    nodes = cut(sets.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch"))), "nodes")
-    banded = nodes.select("sid", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("sid").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    groups = cut(banded.join(hubs, "key"), "groups")
-    stars = cut(groups.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
-    first = confirmed(sketched(stars, nodes, similarity), sets, similarity)
+    """doc_id, _id, _key, n_shingles, label, component_id, kept of each document."""
+    rows = keyed(docs)
+    marked = cut(signatures(rows, length), "signatures")
+    sets = marked.where(F.col("sid").isNotNull()).groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")), F.min(F.struct("_id", "_key")).alias("one"))
+    # Written before it is used, so the numbers stay.
+    nodes = cut(sets.select("sid", "n", "bands", "sketch", "one._id", "one._key", F.monotonically_increasing_id().alias("node")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = cut(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").cast("int").alias("members")).where("members > 1"), "hubs")
+    # A group of two is its first and last node; only larger ones need their members.
+    two = hubs.where("members = 2").select("key", F.explode(F.array("hub", "last")).alias("node"), "hub", "members")
+    more = with_small(banded, hubs.where("members > 2").drop("last"), ["key"], 32).select("key", "node", "hub", "members")
+    groups = cut(two.unionByName(more), "groups")
+    stars = cut(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    first = confirmed(sketched(stars, nodes, similarity), nodes, rows, length, similarity)
     labels = connected(first)
-    named = cut(groups.join(labels, groups["sid"] == labels["node"], "left").select("key", "sid", "members", F.coalesce("label", "sid").alias("label")), "named")
+    named = cut(groups.join(labels, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("label")), "named")
     open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    across = _across(named.join(open_keys, "key").join(nodes.select("sid", "n", "sketch"), "sid"), similarity)
-    second = confirmed(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
+    second = across(named.join(open_keys, "key"), nodes, rows, length, similarity)
     labels = connected(first.unionByName(second))
-    ids = marked.select("doc_id", "_key", "n", "sid")
-    joined = cut(ids.join(labels, ids["sid"] == labels["node"], "left").select("doc_id", "_key", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label")), "classes")
+    labelled = nodes.select("sid", "node").join(labels, "node", "left").select("sid", F.coalesce("label", "node").alias("label"))
+    joined = cut(marked.select("doc_id", "_id", "_key", F.col("n").alias("n_shingles"), "sid").join(labelled, "sid", "left").drop("sid"), "classes")
     least = joined.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     named_by = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return joined.join(least, "label", "left").select("doc_id", "_key", "n_shingles", "label", named_by.alias("component_id"), F.col("doc_id").eqNullSafe(named_by).alias("kept"))
+    return joined.join(least, "label", "left").select("doc_id", "_id", "_key", "n_shingles", "label", named_by.alias("component_id"), F.col("doc_id").eqNullSafe(named_by).alias("kept"))
 
 
 def keep_one(docs: DataFrame, length: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, with one row of each class."""
     classes = near_duplicates(docs, length, similarity)
     # A document of no shingles is a class of its own; equal rows of that kind are kept apart.
-    winner = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_key")).alias("w")
-    chosen = classes.where(F.col("label").isNotNull()).groupBy("label").agg(winner).select(F.coalesce("w.doc_id", F.lit(0)).alias("_id"), F.col("w._key").alias("_key"), F.lit(True).alias("_chosen"))
-    blank = classes.where(F.col("label").isNull()).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_key", F.lit(False).alias("_chosen")).distinct()
+    winner = F.min(F.struct(F.isnull("doc_id").alias("none"), "_id", "_key")).alias("w")
+    chosen = classes.where(F.col("label").isNotNull()).groupBy("label").agg(winner).select("w._id", "w._key", F.lit(True).alias("_chosen"))
+    blank = classes.where(F.col("label").isNull()).select("_id", "_key", F.lit(False).alias("_chosen")).distinct()
     met = keyed(docs).select("_row", "_id", "_key").join(chosen.unionByName(blank), ["_id", "_key"])
     once = met.where("_chosen").groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
     return once.unionByName(met.where("not _chosen").select("_row.*"))
