@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, cut, keyed, mix64, utf8_words, window_hashes, with_small
+from .shared import WordHashes, cut, keyed, mix64, slices, utf8_words, window_hashes, with_small
 
 WINDOW, SEED = 35, 12
 #: Windows that a batch of results holds at least, unless its input ends.
@@ -54,7 +54,7 @@ def index_seeds(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, found = [], [], []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())):
                 words = utf8_words(text.as_py())
@@ -80,7 +80,7 @@ def index_stretches(rows: DataFrame, window: int, seed: int) -> DataFrame:
             offsets = np.append(0, np.cumsum(plain[3])).astype(np.int32)
             return pa.RecordBatch.from_arrays([*map(pa.array, plain), pa.ListArray.from_arrays(offsets, each)], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             parts, held, repeated = [], 0, batch.column(3)
             for i, (doc, key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()))):
                 words = utf8_words(text.as_py())
@@ -156,7 +156,7 @@ def factorised(runs: DataFrame, window: int) -> DataFrame:
     factor = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             factors, spans = [], []
             for own in batch.column(2):
                 table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in own.values.flatten()], axis=1)
@@ -177,7 +177,7 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     names = ["_row", "doc_id", "factors", "spans", "n_words", "n_removed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
             for spans, text in zip(batch.column(3), batch.column(4).cast(pa.large_binary())):
                 words, out, at = utf8_words(text.as_py()), [], 0
