@@ -153,7 +153,7 @@ def read_runs(manifest: DataFrame) -> DataFrame:
                 for at in range(0, len(rows), 10_000):
                     yield _batch(rows[at : at + 10_000], names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, INDEX)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, INDEX)
 
 
 def order(row: tuple) -> tuple:
