@@ -147,49 +147,94 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, length: int,
     return cut(_ends(pairs, full, "n", "shingles").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
 
 
-def _rivals(pdf: pd.DataFrame, label: np.ndarray, i: int, limit: int, percent: int) -> np.ndarray:
-    """Later rows of another label, and block, that size and odd sketch let pass."""
-    n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
+#: Of a member of a band's group: its key and block pair, block, node, component, set size, and the group's least node.
+_PLAIN = ["key", "low", "high", "own", "node", "label", "n", "hub"]
+
+
+def _rivals(i: int, g: dict[str, np.ndarray], label: np.ndarray, limit: int, percent: int) -> np.ndarray:
+    """Later rows that row i of a block pair is to be compared with.
+
+    They are of another component, and block, and size and odd sketch let them pass. A pair is compared where it
+    shares its first band, and not where one is the hub, which has met all others before.
+    """
+    n, own, key = g["n"], g["own"], g["key"][0]
+    if g["node"][i] == g["hub"][0]:
+        return np.empty(0, np.int64)
     later = slice(i + 1, None)
-    fits = (label[later] != label[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
-    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
+    fits = (label[later] != label[i]) & (g["node"][later] != g["hub"][0]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
+    if g["low"][0] != g["high"][0]:
         fits &= own[later] != own[i]
-    return np.flatnonzero(fits) + i + 1
+    at = np.flatnonzero(fits) + i + 1
+    at = at[np.bitwise_count((g["sketch"][at] ^ g["sketch"][i]).view(np.uint64)).sum(axis=1) <= limit]
+    return at[g["bands"][i][(g["bands"][at] == g["bands"][i]).argmax(axis=1)] == key]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each key and block pair, of rows sorted by these."""
+    held, now = [], None
+    for batch in batches:
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PLAIN}
+        for c in ("sketch", "bands"):
+            columns[c] = batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        change = np.logical_or.reduce([np.diff(columns[c]) != 0 for c in ("key", "low", "high")])
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for first, last in zip(edges[:-1], edges[1:]):
+            here = tuple(int(columns[c][first]) for c in ("key", "low", "high"))
+            if held and here != now:
+                yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+                held = []
+            now = here
+            held.append({c: x[first:last] for c, x in columns.items()})
+    if held:
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
 
 
 def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, similarity: float) -> DataFrame:
-    """Links that join the components within each key. groups: key, node, label, members.
+    """Links that join the components within each key. groups: key, node, label, hub, members.
 
-    A block's task first names the members that meet another component by size and odd sketch; only these
+    A block pair's task first names the members that are to be compared with another; only these
     bring their full sets, and a task links no two that it has joined before: links are fewer than members.
     """
     limit, percent = most_differing_bits(similarity), round(100 * similarity)
     dealt = (
-        groups.join(nodes.select("node", "n", "sketch"), "node")
+        groups.join(nodes.select("node", "n", "sketch", "bands"), "node")
         .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "sketch")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "hub", "sketch", "bands")
     )
-    bits_of = lambda pdf: np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, bits, met = pdf["label"].to_numpy(), bits_of(pdf), np.zeros(len(pdf), bool)
-        for i in range(len(pdf) - 1):
-            at = _rivals(pdf, label, i, limit, percent)
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit] if len(at) else at
-            met[at] = True
-            met[i] |= len(at) > 0
-        return pdf[met]
 
-    kept = cut(dealt.groupBy("key", "low", "high").applyInPandas(meet, dealt.schema), "rivals")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[dict]) -> pa.RecordBatch:
+            g = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+            lists = [pa.ListArray.from_arrays(np.arange(len(g[c]) + 1, dtype=np.int32) * np.int32(g[c].shape[1]), g[c].ravel()) for c in ("sketch", "bands")]
+            return pa.RecordBatch.from_arrays([*(pa.array(g[c]) for c in _PLAIN), *lists], [*_PLAIN, "sketch", "bands"])
+
+        parts, size = [], 0
+        for g in _block_pairs(batches):
+            met = np.zeros(len(g["node"]), bool)
+            for i in range(len(met) - 1):
+                at = _rivals(i, g, g["label"], limit, percent)
+                met[at] = True
+                met[i] |= len(at) > 0
+            if met.any():
+                parts.append({c: x[met] for c, x in g.items()})
+                size += int(met.sum())
+            if size > 5000:
+                yield done(parts)
+                parts, size = [], 0
+        if parts:
+            yield done(parts)
+
+    place = ["key", "low", "high"]
+    kept = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, dealt.schema), "rivals")
     full = sets_of(kept.select("node"), nodes, rows, length)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, bits, sets, node, links = pdf["label"].to_numpy().copy(), bits_of(pdf), pdf["shingles"].to_numpy(), pdf["node"].to_numpy(), []
+        g = {c: pdf[c].to_numpy() for c in _PLAIN} | {c: np.stack(pdf[c].to_numpy()) for c in ("sketch", "bands")}
+        label, sets, node, links = g["label"].copy(), pdf["shingles"].to_numpy(), g["node"], []
         for i in range(len(pdf) - 1):
-            at = _rivals(pdf, label, i, limit, percent)
-            for j in at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit] if len(at) else at:
+            for j in _rivals(i, g, label, limit, percent):
                 if label[i] != label[j]:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
@@ -197,7 +242,7 @@ def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, si
                         links.append((node[i], node[j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return cut(kept.join(full.select("node", "shingles"), "node").groupBy("key", "low", "high").applyInPandas(link, "a long, b long"), "links")
+    return cut(kept.join(full.select("node", "shingles"), "node").groupBy(*place).applyInPandas(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -216,9 +261,10 @@ def near_duplicates(docs: DataFrame, length: int = 5, similarity: float = 0.8) -
     stars = cut(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     first = confirmed(sketched(stars, nodes, similarity), nodes, rows, length, similarity)
     labels = connected(first)
-    named = cut(groups.join(labels, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("label")), "named")
+    named = cut(groups.join(labels, "node", "left").select("key", "node", "hub", "members", F.coalesce("label", "node").alias("label")), "named")
     open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    second = across(named.join(open_keys, "key"), nodes, rows, length, similarity)
+    # In a group of two all has been compared.
+    second = across(named.where("members > 2").join(open_keys, "key"), nodes, rows, length, similarity)
     labels = connected(first.unionByName(second))
     labelled = nodes.select("sid", "node").join(labels, "node", "left").select("sid", F.coalesce("label", "node").alias("label"))
     joined = cut(marked.select("doc_id", "_id", "_key", F.col("n").alias("n_shingles"), "sid").join(labelled, "sid", "left").drop("sid"), "classes")
