@@ -33,3 +33,45 @@ def auc(rows: DataFrame, group: list[str], value: str = "x", y: str = "y") -> Da
     counted = rows.where(F.col(y) != 0).groupBy(*group, value).agg(F.count_if(F.col(y) > 0).alias("p"), F.count_if(F.col(y) < 0).alias("q"))
     before = F.coalesce(F.sum("q").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counted.withColumn("won", F.col("p") * (before + F.col("q") / 2)).groupBy(*group).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def agreement(counts: DataFrame, truth: str, predicted: str, group: list[str] = ()) -> DataFrame:
+    """Cohen's kappa of confusion counts (column n): share of agreement p0, expected by chance pe, kappa."""
+    grouped = lambda *by: counts.groupBy(*group, *by)
+    rows, columns = grouped(truth).agg(F.sum("n").alias("r")), grouped(predicted).agg(F.sum("n").alias("c"))
+    met = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col(f"a.{truth}") == F.col(f"b.{predicted}")]
+    chance = rows.alias("a").join(columns.alias("b"), met).groupBy(*(F.col(f"a.{g}").alias(g) for g in group)).agg(F.sum(F.col("r").cast("double") * F.col("c")).alias("rc"))
+    total = grouped().agg(F.sum("n").alias("all"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
+    joined = total.join(chance, list(group)) if group else total.crossJoin(chance)
+    p0, pe = F.col("hit") / F.col("all"), F.col("rc") / F.col("all") / F.col("all")
+    return joined.select(*group, p0.alias("p0"), pe.alias("pe"), F.try_divide(p0 - pe, 1 - pe).alias("kappa"))
+
+
+def binary_losses(rows: DataFrame, y: str, dv: str, group: list[str] = ()) -> DataFrame:
+    """tp, fn, fp, tn of the decision value's sign against y, labels of 0 left out, and rate, recall, precision, balanced."""
+    pos, says = F.col(y) > 0, F.col(dv) > 0
+    four = rows.where((F.col(y) != 0) & F.col(dv).isNotNull()).groupBy(*group).agg(F.count_if(pos & says).alias("tp"), F.count_if(pos & ~says).alias("fn"), F.count_if(~pos & says).alias("fp"), F.count_if(~pos & ~says).alias("tn"))
+    tp, fn, fp, tn = map(F.col, ("tp", "fn", "fp", "tn"))
+    recall, true_negative = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
+    return four.withColumns({"rate": F.try_divide(tp + tn, tp + fn + fp + tn), "recall": recall, "precision": F.try_divide(tp, tp + fp), "balanced": (recall + true_negative) / 2})
+
+
+def absolute_fit(rows: DataFrame, y: str, estimate: str, group: list[str] = ()) -> DataFrame:
+    """1 less the sum of absolute errors by the sums of absolute values; targets of 0 are left out."""
+    a, b = F.col(y), F.col(estimate)
+    return rows.where(a != 0).groupBy(*group).agg((1 - F.try_divide(F.sum(F.abs(a - b)), F.sum(F.abs(a)) + F.sum(F.abs(b)))).alias("fit"))
+
+
+def block_folds(rows: DataFrame, block: str, n: int) -> DataFrame:
+    """Adds fold: whole blocks in turn, by their rank. Ranks come from the distinct blocks, not from the rows."""
+    ranked = rows.select(block).distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy(block)) - 1) % n)
+    return rows.join(ranked, block)
+
+
+def balanced_rows(rows: DataFrame, label: str, order: str, group: list[str] = ()) -> DataFrame:
+    """As many rows of each label as its group's rarest has, the first in order."""
+    sizes = rows.groupBy(*group, label).agg(F.count("*").alias("_n"))
+    least = sizes.groupBy(*group).agg(F.min("_n").alias("_least"))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, label).orderBy(order)))
+    joined = numbered.join(least, list(group)) if group else numbered.crossJoin(F.broadcast(least))
+    return joined.where("_r <= _least").drop("_r", "_least")

@@ -38,3 +38,11 @@ def welch(cube: DataFrame, along: str, fs: float, width: int, overlap: float = 0
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(freqs, batch.num_rows)), pa.array(np.concatenate(power) if power else np.empty(0))], [*keep, "freq", "x"])
 
     return packed.mapInArrow(run, schema)
+
+
+def fourier(cube: DataFrame, along: str, length: int, orders: list[int]) -> DataFrame:
+    """re and im of the named coefficients of a transform of the length; absent cells count as zero. Sums of cosines, all in the JVM."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    angle = -2 * np.pi * F.col("k") * F.col(along) / length
+    rows = cube.withColumn("k", F.explode(F.array(*map(F.lit, orders))))
+    return rows.groupBy(*keep, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))

@@ -40,3 +40,53 @@ def next_match(rows: DataFrame, key: str, at: str, left: Column, right: Column)
     """For each left row the time of the first right row of its key at or after it; null if none. Forward as-of by one sort."""
     w = Window.partitionBy(key).orderBy(at).rangeBetween(0, Window.unboundedFollowing)
     return rows.withColumn("next_at", F.min(F.when(right, F.col(at))).over(w)).where(left)
+
+
+def nearest_match(rows: DataFrame, key: str, at: str, left: Column, right: Column) -> DataFrame:
+    """For each left row the nearest time of a right row of its key, the earlier of two equally near. As-of in both directions by one sort."""
+    w = Window.partitionBy(key).orderBy(at)
+    hit = F.when(right, F.col(at))
+    before = F.max(hit).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(hit).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = rows.withColumn("_b", before).withColumn("_a", after).where(left)
+    nearer = F.when(F.col("_b").isNull() | (F.col("_a") - F.col(at) < F.col(at) - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))
+    return found.withColumn("nearest_at", nearer).drop("_b", "_a")
+
+
+def percentile_filtered(cube: DataFrame, along: str, length: int, share: float) -> DataFrame:
+    """x less the ceil(share * n)-th smallest of the last n cells, n being length at most."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    last = F.collect_list("x").over(Window.partitionBy(*keep).orderBy(along).rowsBetween(1 - length, 0))
+    at = F.greatest(F.ceil(F.lit(share) * F.size("_last")), F.lit(1)).cast("int")
+    return cube.withColumn("_last", last).withColumn("x", F.col("x") - F.element_at(F.array_sort("_last"), at)).drop("_last")
+
+
+def smoothed_to_first(cube: DataFrame, along: str, factor: float) -> DataFrame:
+    """Each cell blended with its series' first."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    return cube.withColumn("x", factor * F.first("x").over(Window.partitionBy(*keep).orderBy(along)) + (1 - factor) * F.col("x"))
+
+
+def interpolated(cube: DataFrame, along: str) -> DataFrame:
+    """Null cells between two others on the line between them; those outside stay null."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    w = Window.partitionBy(*keep).orderBy(along)
+    cell = F.when(F.col("x").isNotNull(), F.struct(F.col(along).alias("t"), "x"))
+    low = F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first(cell, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    line = F.col("_l.x") + (F.col("_h.x") - F.col("_l.x")) * (F.col(along) - F.col("_l.t")) / (F.col("_h.t") - F.col("_l.t"))
+    return cube.withColumn("_l", low).withColumn("_h", high).withColumn("x", F.coalesce("x", line)).drop("_l", "_h")
+
+
+def block_numbers(rows: DataFrame, group: list[str], order: list[str], at: str, gap: float) -> DataFrame:
+    """Adds block, from 1: a new one starts where the step to the row before is above the gap."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    opens = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(1))
+    return rows.withColumn("_o", opens).withColumn("block", F.sum("_o").over(w)).drop("_o")
+
+
+def sample_rate(cube: DataFrame, along: str) -> DataFrame:
+    """One over the mean step, of each series of two cells or more."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    t = F.col(along)
+    return cube.groupBy(*keep).agg(F.try_divide(F.count(t) - 1, F.max(t) - F.min(t)).alias("x")).where("x is not null")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scores
+from .functions import kernels, scores
 from .functions.predicates import matches, within
-from .functions.spectra import welch
-from .operators import restructure, statistics, tensor, windows
+from .functions.spectra import fourier, welch
+from .operators import records, restructure, spatial, statistics, tensor, windows
 from .sources.cubes import event_cube, feature_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,155 @@ def prototype_distances(spark, d):
 @query()
 def welch_spectrum(spark, d):
     return _rounded(welch(event_cube(spark, d), "time", 1.0, 14))
+
+
+LANDMARKS = f"{FEATURES}, z AS (SELECT label AS class, feat, avg(x) AS mu FROM feats GROUP BY 1, 2)"
+DAYS = "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
+
+
+def _class_means(spark, d):
+    return feature_rows(spark, d).groupBy(F.col("label").alias("class"), "feat").agg(F.avg("x").alias("x"))
+
+
+@query(f"WITH {LANDMARKS} SELECT epoch, class, round(sum(x * mu), 5) AS x FROM feats JOIN z USING (feat) GROUP BY 1, 2")
+def linear_kernel(spark, d):
+    rows = feature_rows(spark, d).select("epoch", "feat", "x")
+    return kernels.kernel(rows, _class_means(spark, d)).withColumn("x", F.round("x", 5))
+
+
+@query(f"WITH {LANDMARKS} SELECT epoch, class, round(power(sum(x * mu) + 1, 2), 5) AS x FROM feats JOIN z USING (feat) GROUP BY 1, 2")
+def polynomial_kernel(spark, d):
+    rows = feature_rows(spark, d).select("epoch", "feat", "x")
+    return kernels.kernel(rows, _class_means(spark, d), "poly").withColumn("x", F.round("x", 5))
+
+
+@query(f"WITH {LANDMARKS} SELECT epoch, class, round(exp(-0.5 * sum((x - mu) * (x - mu)) / 4), 6) AS x FROM feats JOIN z USING (feat) GROUP BY 1, 2")
+def rbf_kernel(spark, d):
+    rows = feature_rows(spark, d).select("epoch", "feat", "x")
+    return _rounded(kernels.kernel(rows, _class_means(spark, d), "rbf", 4.0))
+
+
+@query(f"WITH {LANDMARKS}, k AS (SELECT epoch, class, sum(x * mu) AS x FROM feats JOIN z USING (feat) GROUP BY 1, 2) SELECT epoch, class, round(x - avg(x) OVER (PARTITION BY epoch) - avg(x) OVER (PARTITION BY class) + avg(x) OVER (), 5) AS x FROM k")
+def centred_kernel(spark, d):
+    rows = feature_rows(spark, d).select("epoch", "feat", "x")
+    return kernels.centred(kernels.kernel(rows, _class_means(spark, d)), "epoch", "class").withColumn("x", F.round("x", 5))
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('click', 'purchase') AND NOT regexp_matches(CAST(user_id AS VARCHAR), '^1') AND value IS NOT NULL")
+def record_match(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.struct("event_type", "value").alias("what"), F.struct(F.struct(F.col("user_id").cast("string").alias("name"), "user_id").alias("user")).alias("who"))
+    chosen = events.where(records.match({"what.event_type": ["click", "purchase"], "~who.user.name": "#1#", "what.value": "*"}))
+    return records.fields(chosen, {"event_id": -1, "what.event_type": "", "who.user.user_id": -1})
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT o_custkey, " + ", ".join(f"max(CASE WHEN o_orderpriority = '{p}' THEN CAST(o_totalprice AS DOUBLE) END) AS p{p[0]}" for p in PRIORITIES) + " FROM orders GROUP BY o_custkey")
+def pivot_results(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("score"))
+    table = records.result_table(orders, ["o_custkey"], "o_orderpriority", PRIORITIES, "score")
+    return table.withColumnsRenamed({p: f"p{p[0]}" for p in PRIORITIES})
+
+
+@query("SELECT o_custkey, o_orderpriority AS priority, max(CAST(o_totalprice AS DOUBLE)) AS score FROM orders WHERE o_orderpriority IN (" + ", ".join(f"'{p}'" for p in PRIORITIES) + ") GROUP BY 1, 2 HAVING max(CAST(o_totalprice AS DOUBLE)) > 0")
+def result_records(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("score"))
+    return records.result_records(records.result_table(orders, ["o_custkey"], "o_orderpriority", PRIORITIES, "score"), ["o_custkey"], "priority", "score")
+
+
+@query(f"WITH e AS (SELECT event_id, user_id, event_type, {DAYS} AS t FROM events), p AS (SELECT a.event_id, a.t, max(CASE WHEN b.t <= a.t THEN b.t END) AS lo, min(CASE WHEN b.t >= a.t THEN b.t END) AS hi FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type = 'purchase' WHERE a.event_type = 'click' GROUP BY 1, 2) SELECT event_id, CASE WHEN lo IS NULL OR hi - t < t - lo THEN hi ELSE lo END - t AS wait FROM p")
+def asof_nearest(spark, d):
+    found = windows.nearest_match(_ordered_events(spark, d), "user_id", "at", F.col("event_type") == "click", F.col("event_type") == "purchase")
+    return found.select("event_id", (F.col("nearest_at") - F.col("at")).alias("wait"))
+
+
+@query(f"WITH {CUBE} SELECT ch, time, epoch, round(x - l[CAST(greatest(ceil(0.3 * len(l)), 1) AS INT)], 6) AS x FROM (SELECT *, list_sort(list(x) OVER (PARTITION BY ch, epoch ORDER BY time ROWS 8 PRECEDING)) AS l FROM cube) q")
+def percentile_filter(spark, d):
+    return _rounded(windows.percentile_filtered(event_cube(spark, d), "time", 9, 0.3))
+
+
+@query(f"WITH {CUBE} SELECT ch, time, epoch, round(0.25 * first_value(x) OVER (PARTITION BY ch, epoch ORDER BY time) + 0.75 * x, 6) AS x FROM cube")
+def blend_with_first(spark, d):
+    return _rounded(windows.smoothed_to_first(event_cube(spark, d), "time", 0.25))
+
+
+@query(f"WITH {CUBE}, g AS (SELECT ch, time, epoch, CASE WHEN time % 3 <> 0 THEN x END AS x FROM cube), t AS (SELECT *, CASE WHEN x IS NOT NULL THEN time END AS s FROM g), b AS (SELECT ch, time, epoch, x, max(s) OVER (PARTITION BY ch, epoch ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(s) OVER (PARTITION BY ch, epoch ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM t) SELECT b.ch, b.time, b.epoch, round(coalesce(b.x, l.x + (h.x - l.x) * (b.time - b.lo) / (b.hi - b.lo)), 6) AS x FROM b LEFT JOIN g l ON l.ch = b.ch AND l.epoch = b.epoch AND l.time = b.lo LEFT JOIN g h ON h.ch = b.ch AND h.epoch = b.epoch AND h.time = b.hi")
+def linear_interpolation(spark, d):
+    gaps = event_cube(spark, d).withColumn("x", F.when(F.col("time") % 3 != 0, F.col("x")))
+    return _rounded(windows.interpolated(gaps, "time"))
+
+
+@query(f"WITH {CUBE}, o AS (SELECT *, CASE WHEN time - lag(time) OVER w <= 4 THEN 0 ELSE 1 END AS o FROM cube WINDOW w AS (PARTITION BY ch, epoch ORDER BY time)) SELECT ch, time, epoch, CAST(sum(o) OVER (PARTITION BY ch, epoch ORDER BY time) AS BIGINT) AS block FROM o")
+def block_ids(spark, d):
+    return windows.block_numbers(event_cube(spark, d), ["ch", "epoch"], ["time"], "time", 4).select("ch", "time", "epoch", "block")
+
+
+@query(f"WITH {CUBE} SELECT ch, epoch, round((count(*) - 1) / (max(time) - min(time)), 6) AS x FROM cube GROUP BY ch, epoch HAVING max(time) > min(time)")
+def sample_rate(spark, d):
+    return _rounded(windows.sample_rate(event_cube(spark, d), "time"))
+
+
+@query("WITH n AS (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS p0, avg(CAST(quality AS DOUBLE)) AS a, avg(CAST(toxic AS DOUBLE)) AS b FROM labels), e AS (SELECT p0, a * b + (1 - a) * (1 - b) AS pe FROM n) SELECT round(CAST(p0 AS DOUBLE), 6) AS p0, round(pe, 6) AS pe, round((p0 - pe) / (1 - pe), 6) AS kappa FROM e")
+def kappa(spark, d):
+    counts = scores.confusion(spark.read.parquet(f"{d}/labels.parquet"), "quality", "toxic")
+    return _rounded(scores.agreement(counts, "quality", "toxic"), "p0", "pe", "kappa")
+
+
+@query(f"WITH {FEATURES}, c AS (SELECT feat, count(*) FILTER (y > 0 AND x > 0) AS tp, count(*) FILTER (y > 0 AND x <= 0) AS fn, count(*) FILTER (y < 0 AND x > 0) AS fp, count(*) FILTER (y < 0 AND x <= 0) AS tn FROM feats GROUP BY feat) SELECT feat, tp, fn, fp, tn, round((tp + tn) / (tp + fn + fp + tn), 6) AS rate, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tp / nullif(tp + fp, 0), 6) AS precision, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced FROM c")
+def confusion_losses(spark, d):
+    return _rounded(scores.binary_losses(feature_rows(spark, d), "y", "x", ["feat"]), "rate", "recall", "precision", "balanced")
+
+
+@query(f"WITH {FEATURES} SELECT feat, round(1 - sum(abs(y - x)) / (sum(abs(y)) + sum(abs(x))), 6) AS fit FROM feats GROUP BY feat")
+def absolute_fit(spark, d):
+    return _rounded(scores.absolute_fit(feature_rows(spark, d), "y", "x", ["feat"]), "fit")
+
+
+@query("SELECT event_id, user_id, CAST((dense_rank() OVER (ORDER BY user_id) - 1) % 6 AS INT) AS fold FROM events")
+def leave_block_out(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    return scores.block_folds(events, "user_id", 6).select("event_id", "user_id", "fold")
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels), m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality) q) SELECT doc_id, quality FROM n, m WHERE r <= m")
+def balanced_labels(spark, d):
+    return scores.balanced_rows(spark.read.parquet(f"{d}/labels.parquet"), "quality", "doc_id").select("doc_id", "quality")
+
+
+@query(f"WITH {CUBE} SELECT ch, epoch, k, round(sum(x * cos(-2 * pi() * k * time / 30)), 5) AS re, round(sum(x * sin(-2 * pi() * k * time / 30)), 5) AS im FROM cube, (VALUES (1), (2), (4)) s(k) GROUP BY 1, 2, 3")
+def dft_small(spark, d):
+    return fourier(event_cube(spark, d), "time", 30, [1, 2, 4]).withColumns({c: F.round(c, 5) for c in ("re", "im")})
+
+
+def _vectors(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("label is not null")
+    y = F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)
+    return rows.select("vec_id", F.col("embedding").alias("v"), y.alias("y"), F.pmod(F.col("vec_id"), F.lit(5)).cast("long").alias("fold"), (y > 0).cast("long").alias("side"))
+
+
+@query()
+def whiten(spark, d):
+    rows = _vectors(spark, d).withColumn("all", F.lit(0).cast("long"))
+    moments = spatial.second_moments(rows, "all", "v", 64)
+    weights = spatial.whitener(sum(moments.values()) / max(rows.count(), 1)) if moments else spatial.np.eye(64)
+    return rows.select("vec_id", spatial.project("v", weights).alias("v"))
+
+
+@query()
+def common_spatial_patterns(spark, d):
+    rows = _vectors(spark, d)
+    sums = spatial.second_moments(rows, "side", "v", 64)
+    return rows.select("vec_id", "y", spatial.project("v", spatial.common_patterns(sums[1], sums[0], 2)).alias("v"))
+
+
+@query()
+def ridge_decision_values(spark, d):
+    rows = _vectors(spark, d)
+    weights = spatial.ridge_folds(rows, "fold", "v", "y", 64, 1.0)
+    return spatial.decision_values(rows, "fold", "v", weights).select("vec_id", "fold", "y", "dv")
+
+
+@query()
+def cross_validated_losses(spark, d):
+    return scores.binary_losses(ridge_decision_values(spark, d), "y", "dv", ["fold"])
