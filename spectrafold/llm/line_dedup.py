@@ -69,27 +69,26 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def within_edits(edits: int) -> Column:
-    """Whether string columns long and short, long no shorter, are within so many edits.
+def within_edits(edits: int, cells_long: Column | str = "cells_long", cells_short: Column | str = "cells_short") -> Column:
+    """Whether two strings, as arrays of characters, the long no shorter, are within so many edits.
 
     Bit-parallel dynamic programming over a diagonal band (Hyyro 2003): of each column of the matrix,
     the 2 * edits + 1 rows around the diagonal are one number for the places where the value rises by one
     downwards and one for those where it falls; the value at the band's lowest row is followed along
-    the diagonal, and along the last row once the band has reached it. cells_long and cells_short are the
-    strings as arrays of characters.
+    the diagonal, and along the last row once the band has reached it.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    n_long = F.size("cells_long")
+    n_long = F.size(cells_long)
     invert = lambda x: x.bitwiseXOR(F.lit(full))
     has = lambda x, bit: (x.bitwiseAND(bit) != 0).cast("int")
 
     def column(state: Column, i: Column) -> Column:
-        c = F.get("cells_short", i)
+        c = F.get(cells_short, i)
         eq = F.lit(0)
         for back in range(width):
             row = i + edits - back
-            eq = eq + F.when((row >= 0) & (F.get("cells_long", F.greatest(row, F.lit(0))) == c), F.lit(1 << (width - 1 - back))).otherwise(F.lit(0))
+            eq = eq + F.when((row >= 0) & (F.get(cells_long, F.greatest(row, F.lit(0))) == c), F.lit(1 << (width - 1 - back))).otherwise(F.lit(0))
         vp, vn, at, left = state["vp"], state["vn"], state["at"], n_long - edits - i
 
         def with_d(d: Column) -> Column:
@@ -103,8 +102,8 @@ def within_edits(edits: int) -> Column:
         return _let(d, with_d)
 
     start = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("at"))
-    run = F.aggregate(F.sequence(F.lit(0), F.size("cells_short") - 1), start, column)
-    return (n_long - F.size("cells_short") <= edits) & (run["at"] <= edits)
+    run = F.aggregate(F.sequence(F.lit(0), F.size(cells_short) - 1), start, column)
+    return (n_long - F.size(cells_short) <= edits) & (run["at"] <= edits)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -112,8 +111,10 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("line").alias(f"line_{end}")), end)
     swap = F.length("line_a") < F.length("line_b")
-    cells = pairs.select("a", "b", F.split(F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), "").alias("cells_long"), F.split(F.when(swap, F.col("line_a")).otherwise(F.col("line_b")), "").alias("cells_short"))
-    return cut(cells.where(within_edits(edits)).select("a", "b"), "links")
+    longer, shorter = (F.split(F.when(swap, F.col(f"line_{x}")).otherwise(F.col(f"line_{y}")), "") for x, y in ("ba", "ab"))
+    # A filter takes in the expressions of the columns it names, so the arrays are bound inside, once a pair.
+    close = _let(F.struct(longer.alias("long"), shorter.alias("short")), lambda cells: within_edits(edits, cells["long"], cells["short"]))
+    return cut(pairs.where(close).select("a", "b"), "links")
 
 
 def _texts(lines: DataFrame, used: DataFrame) -> DataFrame:
