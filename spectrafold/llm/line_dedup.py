@@ -1,6 +1,7 @@
 """Line dedup: a segment-partition edit join of lines.
 
-Two lines within EDITS edits share, if one is cut into EDITS + 1 segments, at least one whole segment
+Two lines are near-duplicates within EDITS edits, or one for each EDIT_CHARS code points of the shorter if that
+is less. Two lines within so many edits share, if the shorter is cut into one segment more, at least one whole segment
 at a place that its number and the difference in length narrow down. Each line indexes its own
 segments and probes those of lines as long or up to EDITS shorter, under keys of length, segment
 number and substring. Lines under one key are candidates, verified by banded bit-parallel edit distance.
@@ -12,8 +13,8 @@ parity bits of their characters, of which an edit changes two at most, and only
 pairs to verify.
 
 A class is a component of linked lines; it keeps its first occurrence by (doc_id, line number), all
-others go. Equal lines are one class at any length, lines with fewer than MIN_CHARS code points
-are linked to equal ones only.
+others go. Equal lines are one class at any length; with fewer than EDIT_CHARS code points no edit is
+allowed, so only they are.
 
 Defined results: a null text has no lines; lines without a word are kept and belong to no class;
 null doc_ids come after all others; repeated rows cannot be told from each other, so their
@@ -30,8 +31,10 @@ from .components import connected
 from .shared import cut, keyed, with_small
 
 EDITS = 2
-#: With EDITS of 2 a segment has 12 code points at least.
-MIN_CHARS = 36
+#: A line has so many code points for each edit that is allowed; segments have 3 (one edit) or 4 (two) at least.
+EDIT_CHARS = 6
+#: From here on all EDITS are allowed.
+MIN_CHARS = EDITS * EDIT_CHARS
 BLOCK = 200
 
 
@@ -48,15 +51,24 @@ def _keys(edits: int) -> Column:
     def key(of_length: Column, number: int, start: Column, size: Column) -> Column:
         return F.xxhash64(of_length, F.lit(number), F.substring(F.col("line"), start, size))
 
-    keys = []
+    none = F.array().cast("array<bigint>")
+    parts = []
     for shorter in range(edits + 1):
         length = F.col("chars") - shorter
-        for number in range(edits + 1):
-            start, size = _segment(length, number, edits)
-            low = max(-number, shorter - (edits - number))
-            high = min(number, shorter + (edits - number))
-            keys += [key(length, number, start + shift, size) for shift in range(low, high + 1)]
-    return F.array_distinct(F.array(*keys))
+        for allowed in range(max(shorter, 1), edits + 1):
+            keys = []
+            for number in range(allowed + 1):
+                start, size = _segment(length, number, allowed)
+                low = max(-number, shorter - (allowed - number))
+                high = min(number, shorter + (allowed - number))
+                keys += [key(length, number, start + shift, size) for shift in range(low, high + 1)]
+            parts.append(F.when(allowed_edits(length, edits) == allowed, F.array(*keys)).otherwise(none))
+    return F.array_distinct(F.concat(*parts)) if parts else none
+
+
+def allowed_edits(length: Column, edits: int) -> Column:
+    """Edits allowed between a line of so many code points and one that is no shorter."""
+    return F.least(F.lit(edits), F.floor(length / EDIT_CHARS).cast("int"))
 
 
 def parity(line: Column) -> Column:
@@ -107,13 +119,20 @@ def within_edits(edits: int, cells_long: Column | str = "cells_long", cells_shor
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) whose lines are within the edits. lines: node, line."""
+    """The pairs (a, b) whose lines are within the edits that the shorter allows. lines: node, line."""
     for end in ("a", "b"):
         pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("line").alias(f"line_{end}")), end)
     swap = F.length("line_a") < F.length("line_b")
     longer, shorter = (F.split(F.when(swap, F.col(f"line_{x}")).otherwise(F.col(f"line_{y}")), "") for x, y in ("ba", "ab"))
+
+    def within(cells: Column) -> Column:
+        close = F.lit(False)
+        for allowed in range(1, edits + 1):
+            close = F.when(allowed_edits(F.size(cells["short"]), edits) == allowed, within_edits(allowed, cells["long"], cells["short"])).otherwise(close)
+        return close
+
     # A filter takes in the expressions of the columns it names, so the arrays are bound inside, once a pair.
-    close = _let(F.struct(longer.alias("long"), shorter.alias("short")), lambda cells: within_edits(edits, cells["long"], cells["short"]))
+    close = _let(F.struct(longer.alias("long"), shorter.alias("short")), within)
     return cut(pairs.where(close).select("a", "b"), "links")
 
 
@@ -125,7 +144,7 @@ def _texts(lines: DataFrame, used: DataFrame) -> DataFrame:
 
 def classes(lines: DataFrame, edits: int) -> DataFrame:
     """node, label of the lines that are linked to others. lines: node (digest), line, chars, of all occurrences."""
-    placed = lines.where(F.col("chars") >= MIN_CHARS).select("node", F.explode(_keys(edits)).alias("key"))
+    placed = lines.where(F.col("chars") >= EDIT_CHARS).select("node", F.explode(_keys(edits)).alias("key"))
     ends = placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("rows"))
     ends = cut(ends.where("hub <> last"), "ends")
     # A group of two rows is its first and last line; only larger ones need their members.
