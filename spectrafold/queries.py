@@ -62,6 +62,26 @@ def concatenate_cubes(spark, d):
     return _rounded(restructure.concatenate(cube.where("epoch < 20"), cube.where("epoch > 120")))
 
 
+#: A second cube: the negative of each cell a day later, so that it meets some cells of the first and adds others.
+LATER = "later AS (SELECT ch, time + 1 AS time, epoch, -x AS x FROM cube)"
+
+
+def _later(cube: DataFrame) -> DataFrame:
+    return cube.select("ch", (F.col("time") + 1).alias("time"), "epoch", (-F.col("x")).alias("x"))
+
+
+@query(f"WITH {CUBE}, {LATER} SELECT coalesce(a.ch, b.ch) AS ch, coalesce(a.time, b.time) AS time, coalesce(a.epoch, b.epoch) AS epoch, round(CASE WHEN b.ch IS NOT NULL THEN b.x ELSE a.x END, 6) AS x FROM cube a FULL JOIN later b ON a.ch = b.ch AND a.time = b.time AND a.epoch = b.epoch")
+def merge_all_cells(spark, d):
+    cube = event_cube(spark, d)
+    return _rounded(restructure.merge(cube, _later(cube), ["ch", "time", "epoch"]))
+
+
+@query(f"WITH {CUBE}, {LATER} SELECT ch, time, epoch, src, round(x, 6) AS x FROM (SELECT *, 1 AS src FROM cube UNION ALL SELECT *, 2 AS src FROM later) q")
+def concatenate_all_cells(spark, d):
+    cube = event_cube(spark, d)
+    return _rounded(restructure.concatenate(cube, _later(cube)))
+
+
 @query(f"WITH {CUBE} SELECT epoch, ch || '_' || CAST(time AS VARCHAR) AS feat, round(x, 6) AS x FROM cube")
 def compress_dims(spark, d):
     return _rounded(restructure.compress(event_cube(spark, d), ["ch", "time"], "feat"))
