@@ -7,7 +7,7 @@ and an end after each. The trie has two kinds of levels, each split over files o
   word's rank is its place in it, and its exact count lies at that place;
 - pairs: by hash of the pair over SHARD_PAIRS each about: the monotone sequence of context ranks, the monotone pointers to
   where each context's next words begin, and those words' ranks, relative to their context by adding the
-  number of the context times the vocabulary, again one monotone sequence, with a probability quantised to 8 bits for each.
+  number of the context times the vocabulary, again one monotone sequence, with a probability quantised to STEP for each, in 8 bits, or 16 in files that need them.
 
 Monotone sequences are Elias-Fano coded: low bits packed, high bits in unary with counts by block. A lookup is a
 successor search: of the rank within its context's range. Files are memory-mapped from the shared folder where that is a
@@ -284,13 +284,19 @@ def pair_levels(docs: DataFrame, folder: str, vocabulary: tuple, words: int, tok
             path = f"{folder}/pairs-{shard:06d}-{uuid.uuid4().hex}"
             contexts, pointers = EliasFano.build(own, words + 1), EliasFano.build(np.append(edge, len(context)), len(context) + 1)
             nexts = EliasFano.build(number.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), len(own) * words)
-            save(path, [*contexts.arrays(), *pointers.arrays(), *nexts.arrays(), np.minimum(255, np.rint(level / STEP)).astype(np.uint8)])
+            save(path, [*contexts.arrays(), *pointers.arrays(), *nexts.arrays(), coded(level)])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], ["shard", "path"])
 
     files = {r["shard"]: r["path"] for r in cut(pairs.mapInArrow(write, "shard int, path string"), "pair-files").collect()}
     return [files.get(s, "") for s in range(shards)], shards
 
 
+def coded(level: np.ndarray) -> np.ndarray:
+    """Codes of -log10 of shares, in as few bits as hold them all: no count of 64 bits comes near the end of 16."""
+    codes = np.rint(level / STEP)
+    return codes.astype(np.uint8 if codes.max(initial=0) < 256 else np.uint16)
+
+
 def levels_count(levels: Vocabulary, rank: np.ndarray) -> np.ndarray:
     """Counts of words by rank, in ascending order."""
     out, first = np.zeros(len(rank), np.int64), np.array(levels.first)
