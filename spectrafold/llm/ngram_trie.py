@@ -1,20 +1,23 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
-Training counts pairs (context word, next word) over all training documents, with a start before
-and an end after each. The trie has two kinds of levels, each split over files of bounded size:
+Training counts pairs (context word, next word) and triples (pair, next word) over all training documents, with
+a start before and an end after each. The trie has three kinds of levels, each split over files of bounded size:
 
 - words: the 64-bit hashes of all words, by their upper bits over SHARD_WORDS each about, as a monotone sequence; a
   word's rank is its place in it, and its exact count lies at that place;
 - pairs: by hash of the pair over SHARD_PAIRS each about: the monotone sequence of context ranks, the monotone pointers to
   where each context's next words begin, and those words' ranks, relative to their context by adding the
   number of the context times the vocabulary, again one monotone sequence, with a probability quantised to STEP for each, in 8 bits, or 16 in files that need them.
+- triples: the same, with places in the pair levels as contexts; a pair's exact count lies at its place.
 
 Monotone sequences are Elias-Fano coded: low bits packed, high bits in unary with counts by block. A lookup is a
 successor search: of the rank within its context's range. Files are memory-mapped from the shared folder where that is a
 file system, so processes share what they touch; a store of another kind is read into memory.
 
 The probability is Dirichlet-smoothed: (count(pair) + MU * p(word)) / (count(context) + MU), where p is the
-add-one unigram of the base score, so the model sums to one over the vocabulary and the unknown word.
+add-one unigram of the base score, so the model sums to one over the vocabulary and the unknown word. In the same way the triples' counts are smoothed
+by the pair's probability, which alone stands for the first word of a text and after pairs that weren't seen. A model
+of order 2 has no triples.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as the empty string for the split; with no training
 documents every count is 0 and both scores are 0, as the unknown word has probability 1; repeated rows count and score
@@ -27,7 +30,7 @@ import json
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,24 +274,57 @@ def pair_levels(docs: DataFrame, folder: str, vocabulary: tuple, words: int, tok
             (c, w), n = counted([context.astype(np.uint64), rank.astype(np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array(_shard(c, w, shards).astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(w.astype(np.int64)), pa.array(n.astype(np.int32))], ["shard", "context", "word", "n"])
 
-    pairs = docs.select("text").mapInArrow(count, "shard int, context long, word long, n int").repartition(shards, "shard").groupBy("shard", "context", "word").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "context", "word")
+    def totals() -> Callable[[np.ndarray], np.ndarray]:
+        levels = Vocabulary(*vocabulary)
+        return lambda own: np.concatenate([levels_count(levels, own[own < words]), np.full(int((own == words).sum()), starts)])
+
+    return written(docs.select("text").mapInArrow(count, "shard int, context long, word long, n int"), folder, "pairs", shards, words + 1, words, totals, True), shards
+
+
+def triple_levels(docs: DataFrame, folder: str, vocabulary: tuple, pair_files: list[str], words: int, tokens: int) -> list[str]:
+    """Files in order of shards. A context is a place in the pair levels."""
+    shards = max(1, -(-tokens // SHARD_PAIRS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, pairs = Vocabulary(*vocabulary), Pairs(pair_files)
+        for _, hashes, begin in chunks(batches, 0):
+            own, back = np.unique(hashes, return_inverse=True)
+            rank = levels.find(own)[0][back]
+            context = np.append(words, rank[:-1])
+            context[begin] = words
+            place = pairs.places(context, rank, words)
+            inner = np.ones(len(rank), bool)
+            inner[begin] = False
+            at = np.flatnonzero(inner)
+            (c, w), n = counted([place[at - 1].astype(np.uint64), rank[at].astype(np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(c, w, shards).astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(w.astype(np.int64)), pa.array(n.astype(np.int32))], ["shard", "context", "word", "n"])
+
+    def totals() -> Callable[[np.ndarray], np.ndarray]:
+        return Pairs(pair_files).count
+
+    return written(docs.select("text").mapInArrow(count, "shard int, context long, word long, n int"), folder, "triples", shards, tokens + 1, words, totals, False)
+
+
+def written(counts: DataFrame, folder: str, name: str, shards: int, bound: int, words: int, totals: Callable, keeps: bool) -> list[str]:
+    """Files of a level in order of shards. totals() gives the counts of contexts, in ascending order; keeps: whether its own counts are kept."""
+    dealt = counts.repartition(shards, "shard").groupBy("shard", "context", "word").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "context", "word")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Vocabulary(*vocabulary)
+        total_of = totals()
         for shard, (context, word, n) in by_shard(batches):
             edge = np.append(0, np.flatnonzero(np.diff(context)) + 1)
             own = context[edge]
-            total = np.concatenate([levels_count(levels, own[own < words]), np.full(int((own == words).sum()), starts)])
+            total = total_of(own)
             number = np.repeat(np.arange(len(own)), np.diff(np.append(edge, len(context))))
             level = -np.log10(n / (total[number] + MU))
-            path = f"{folder}/pairs-{shard:06d}-{uuid.uuid4().hex}"
-            contexts, pointers = EliasFano.build(own, words + 1), EliasFano.build(np.append(edge, len(context)), len(context) + 1)
+            path = f"{folder}/{name}-{shard:06d}-{uuid.uuid4().hex}"
+            contexts, pointers = EliasFano.build(own, bound), EliasFano.build(np.append(edge, len(context)), len(context) + 1)
             nexts = EliasFano.build(number.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), len(own) * words)
-            save(path, [*contexts.arrays(), *pointers.arrays(), *nexts.arrays(), coded(level)])
+            save(path, [*contexts.arrays(), *pointers.arrays(), *nexts.arrays(), coded(level), *([n.astype(np.min_scalar_type(n.max()))] if keeps else [])])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], ["shard", "path"])
 
-    files = {r["shard"]: r["path"] for r in cut(pairs.mapInArrow(write, "shard int, path string"), "pair-files").collect()}
-    return [files.get(s, "") for s in range(shards)], shards
+    files = {r["shard"]: r["path"] for r in cut(dealt.mapInArrow(write, "shard int, path string"), f"{name}-files").collect()}
+    return [files.get(s, "") for s in range(shards)]
 
 
 def coded(level: np.ndarray) -> np.ndarray:
@@ -312,17 +348,18 @@ def _shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Pairs:
-    """All pair levels."""
+    """All pair levels, or all triple levels, where context is a pair's place."""
 
     def __init__(self, files: list[str]):
         self.levels = []
         for path in files:
             a = load(path) if path else None
-            self.levels.append(a and (EliasFano.of(a[:4]), EliasFano.of(a[4:8]), EliasFano.of(a[8:12]), a[12]))
+            self.levels.append(a and (EliasFano.of(a[:4]), EliasFano.of(a[4:8]), EliasFano.of(a[8:12]), a[12], a[13] if len(a) > 13 else None))
+        self.first = np.append(0, np.cumsum([level[2].n if level else 0 for level in self.levels]))
 
-    def find(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-        """Quantised log10 of the pair's own share of its probability; -inf where it wasn't seen."""
-        out = np.full(len(word), -np.inf)
+    def places(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """Place of each over all levels; -1 where it wasn't seen."""
+        out = np.full(len(word), -1, np.int64)
         shard = _shard(context, word, len(self.levels)).astype(np.int64)
         shard[(context < 0) | (word < 0)] = -1
         order = np.argsort(shard, kind="stable")
@@ -331,7 +368,7 @@ class Pairs:
             at = order[edge[s] : edge[s + 1]]
             if not level or not len(at):
                 continue
-            contexts, pointers, nexts, codes = level
+            contexts, pointers, nexts = level[:3]
             number = contexts.successor(context[at])
             known = number < contexts.n
             known[known] = contexts.get(number[known]) == context[at][known].astype(np.uint64)
@@ -340,15 +377,37 @@ class Pairs:
             place, end = nexts.successor(sought), pointers.get(number + 1).astype(np.int64)
             known = place < end
             known[known] = nexts.get(place[known]) == sought[known]
-            out[at[known]] = -STEP * codes[place[known]].astype(np.float64)
+            out[at[known]] = self.first[s] + place[known]
+        return out
+
+    def _at(self, place: np.ndarray, column: int, out: np.ndarray) -> np.ndarray:
+        """What a column of the levels has at the places; out as it is where a place is -1."""
+        shard = np.where(place < 0, -1, np.searchsorted(self.first, place, side="right") - 1)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(len(self.levels) + 1))
+        for s, level in enumerate(self.levels):
+            at = order[edge[s] : edge[s + 1]]
+            if len(at):
+                out[at] = level[column][place[at] - self.first[s]]
         return out
 
+    def share(self, place: np.ndarray) -> np.ndarray:
+        """Quantised log10 of each one's own share of its probability; -inf where it wasn't seen."""
+        return -STEP * self._at(place, 3, np.full(len(place), np.inf))
+
+    def count(self, place: np.ndarray) -> np.ndarray:
+        return self._at(place, 4, np.zeros(len(place), np.int64))
+
+    def find(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        return self.share(self.places(context, word, words))
+
 
-def train(docs: DataFrame, folder: str) -> dict:
+def train(docs: DataFrame, folder: str, order: int = 2) -> dict:
     """The model's files and numbers, small and of one entry for each file."""
     files, bits, words, tokens, starts = word_levels(docs, folder)
     pairs = pair_levels(docs, folder, (files, bits), words, tokens, starts)[0]
-    return {"vocabulary": (files, bits), "pairs": pairs, "words": words, "tokens": tokens, "starts": starts}
+    triples = triple_levels(docs, folder, (files, bits), pairs, words, tokens) if order > 2 else []
+    return {"vocabulary": (files, bits), "pairs": pairs, "triples": triples, "words": words, "tokens": tokens, "starts": starts}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -357,7 +416,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     words, tokens = model["words"], model["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs = Vocabulary(*model["vocabulary"]), Pairs(model["pairs"])
+        vocabulary, pairs, triples = Vocabulary(*model["vocabulary"]), Pairs(model["pairs"]), Pairs(model["triples"])
         for part, hashes, begin in chunks(batches, 2):
             own, back = np.unique(hashes, return_inverse=True)
             rank, count = (x[back] for x in vocabulary.find(own))
@@ -365,8 +424,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             context, seen = np.append(words, rank[:-1]), np.append(0, count[:-1])
             context[begin], seen[begin] = words, model["starts"]
             _, first, back = np.unique(mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64)), return_index=True, return_inverse=True)
-            shared = pairs.find(context[first], rank[first], words)[back]
-            full = np.minimum(1.0, 10.0**shared + MU / (seen + MU) * base)
+            place = pairs.places(context[first], rank[first], words)
+            full = np.minimum(1.0, 10.0 ** pairs.share(place)[back] + MU / (seen + MU) * base)
+            if triples.levels:
+                before, twice = np.append(-1, place[back][:-1]), np.append(0, pairs.count(place)[back][:-1])
+                before[begin], twice[begin] = -1, 0
+                full = np.minimum(1.0, 10.0 ** triples.find(before, rank, words) + MU / (twice + MU) * full)
             sums = lambda x: np.add.reduceat(x, begin)
             n = np.diff(np.append(begin, len(hashes)))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n, pa.int64()), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(n), tokens), pa.int64()), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(full)))], names)
@@ -377,4 +440,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def op9_ngram_trie(spark, sf_dir: str) -> DataFrame:
     read = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (split_part() == HELD_OUT).alias("held_out"))
-    return score(docs, train(docs.where("not held_out"), new_folder(spark, "trie")))
+    return score(docs, train(docs.where("not held_out"), new_folder(spark, "trie"), 3))
