@@ -10,6 +10,13 @@ def indicators(rows: DataFrame, label: str, classes: list) -> DataFrame:
     return rows.withColumn("_p", pairs).select(*rows.columns, "_p.sub_problem", "_p.y")
 
 
+def all_indicators(rows: DataFrame, label: str) -> DataFrame:
+    """indicators() of all classes that the labels have."""
+    classes = rows.select(F.col(label).alias("_c")).where("_c is not null").distinct()
+    y = F.when(F.col(label).isNull(), 0).when(F.col(label) == F.col("_c"), 1).otherwise(-1)
+    return rows.crossJoin(F.broadcast(classes)).select(*rows.columns, F.col("_c").cast("string").alias("sub_problem"), y.alias("y"))
+
+
 def folds(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """Adds fold: rows of each class in turn over n folds, so that every fold has its share."""
     return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) % n)

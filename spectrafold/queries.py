@@ -93,6 +93,12 @@ def split_dim_runs(spark, d):
     return restructure.split_runs(turns, ["conv_id"], ["turn"], "role", 1).select("conv_id", "turn", "role", F.col("run").cast("long").alias("run"), F.col("seq").cast("long").alias("seq"), F.col("at").cast("long").alias("at"))
 
 
+@query("WITH m AS (SELECT user_id, event_id, ts, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(e) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m), q AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id, run) AS c FROM r) SELECT user_id, event_id, CAST(run AS BIGINT) AS run, CAST(k // 2 AS BIGINT) AS seq, CAST(k % 2 AS BIGINT) AS at FROM q WHERE (k // 2 + 1) * 2 <= c")
+def split_dim_pairs(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "ts", "event_type")
+    return restructure.split_runs(events, ["user_id"], ["ts", "event_id"], "event_type", 2).select("user_id", "event_id", *(F.col(c).cast("long").alias(c) for c in ("run", "seq", "at")))
+
+
 @query(f"WITH {CUBE}, m AS (SELECT ch, avg(x) AS y FROM cube GROUP BY ch) SELECT ch, time, epoch, round(x / y, 6) AS x FROM cube JOIN m USING (ch)")
 def broadcast_divide(spark, d):
     cube = event_cube(spark, d)
@@ -226,6 +232,12 @@ def label_indicators(spark, d):
     return scores.indicators(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label"), "label", [0, 1, 2]).select("vec_id", "sub_problem", "y")
 
 
+@query("SELECT vec_id, CAST(s.c AS VARCHAR) AS sub_problem, CASE WHEN label IS NULL THEN 0 WHEN label = s.c THEN 1 ELSE -1 END AS y FROM embeddings, (SELECT DISTINCT label AS c FROM embeddings WHERE label IS NOT NULL) s")
+def label_indicators_all(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label")
+    return scores.all_indicators(rows, "label").select("vec_id", "sub_problem", "y")
+
+
 @query(f"WITH {FEATURES}, m AS (SELECT label AS class, feat, avg(x) AS mu FROM feats GROUP BY 1, 2) SELECT epoch, class, round(sum((x - mu) * (x - mu)), 5) AS dist FROM feats JOIN m USING (feat) GROUP BY 1, 2")
 def prototype_distances(spark, d):
     rows = feature_rows(spark, d)
@@ -365,7 +377,7 @@ def _vectors(spark, d):
 
 @query()
 def whiten(spark, d):
-    rows = _vectors(spark, d).withColumn("all", F.lit(0).cast("long"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"), F.lit(0).cast("long").alias("all"))
     moments = spatial.second_moments(rows, "all", "v", 64)
     weights = spatial.whitener(sum(moments.values()) / max(rows.count(), 1)) if moments else spatial.np.eye(64)
     return rows.select("vec_id", spatial.project("v", weights).alias("v"))
