@@ -10,9 +10,10 @@ A reader takes the tail, then only the frames of the documents that it wants.
 A task names its file after itself and its attempt and returns the name with its totals; what it returned, written as a
 table, is the manifest, so files of failed or repeated attempts are never read.
 
-Byte-pair pieces don't reach across pre-tokens, so a text's ids are its pre-tokens' ids in a row: the
-library encodes each pre-token once and a bounded table remembers it. Texts that hold
-one of the tokenizer's special strings go to the library whole.
+A blank, or a single line break, before a word always begins a pre-token, and pieces don't reach across pre-tokens. So a
+text's ids are those of its parts, cut there, in a row. A bounded table remembers the parts' ids; those that are new are encoded
+together, as one text, and told apart by the bytes that each id stands for. Texts that hold one of the tokenizer's
+special strings go to the library whole.
 
 Defined results: a null text is the empty text, whose only id is the end; null doc_ids come first; repeated rows are
 separate documents beside each other; an empty table gives an empty manifest; other columns are not read.
@@ -21,6 +22,8 @@ separate documents beside each other; an empty table gives an empty manifest; ot
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -38,36 +40,64 @@ from .shared import cut, new_folder, open_shared, slices
 
 END = 0
 FRAME_IDS = 1 << 18
-#: Pre-tokens that a task remembers.
-REMEMBERED = 200_000
+#: Parts of texts that a task remembers.
+REMEMBERED = 400_000
+#: Parts that are encoded together.
+TOGETHER = 2000
+#: Ids of a file; the next one is begun beyond.
+FILE_IDS = 1 << 24
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Fixed value: the pre-token pattern of byte-level BPE.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Blanks and line breaks that begin no part, and blanks that do.
+BLANKS, PARTS = re.compile(r"[ \n](?:\s|\Z)"), re.compile(r" (?=\S)")
 #: doc_id, null mark, frame, first id in it, number of ids, their checksum.
 ENTRY = "<qBIIII"
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, asked once for each pre-token."""
+    """Ids of texts by the tokenizers library, asked once for each part."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.split, self.known = regex.compile(PRETOKEN).findall, {}
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END], "<u4")
-        pieces, known = self.split(text), self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        return np.frombuffer(b"".join([known[p] for p in pieces]) + struct.pack("<I", END), "<u4")
+        # A byte-level token has one character for each byte.
+        vocabulary = self.whole.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of parts, each after a blank or with its line break."""
+        whole = [p if p[0] == "\n" else " " + p for p in new]
+        ids = self._ids("".join(whole))
+        ends = np.cumsum([len(p.encode()) for p in whole])
+        last = 1 + np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
+        raw, at = ids.tobytes(), 0
+        for part, end in zip(new, (4 * last).tolist()):
+            self.known[part] = raw[at:end]
+            at = end
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, and the end."""
+        split = [None if any(s in text for s in self.special) else PARTS.split(text) if BLANKS.search(text) else text.replace("\n", " \n").split(" ") for text in texts]
+        met = set().union(*(parts[1:] for parts in split if parts))
+        if (new := met.difference(self.known)) and len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = met
+        listed = [*new]
+        for at in range(0, len(listed), TOGETHER):
+            self._learn(listed[at : at + TOGETHER])
+        for text, parts in zip(texts, split):
+            if parts is None:
+                yield np.append(self._ids(text), np.uint32(END)).astype("<u4")
+            else:
+                first = self._ids(parts[0]).tobytes() if parts[0] else b""
+                yield np.frombuffer(b"".join([first, *map(self.known.__getitem__, parts[1:]), struct.pack("<I", END)]), "<u4")
 
 
 class Writer:
@@ -149,34 +179,46 @@ class Reader:
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
-    """Writes the files; the manifest: path, part (their order), documents, ids."""
-    names = ["path", "part", "documents", "ids"]
+    """Writes the files; the manifest: path, part and roll (their order), documents, ids."""
+    names = ["path", "part", "roll", "documents", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, writer, documents, ids = Encoder(vocabulary), TaskContext.get().partitionId(), None, 0, 0
-        for batch in slices(batches):
-            if not writer and batch.num_rows:
-                path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-                writer = Writer(open_shared(path, "wb"))
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encoder.ids(text or "")
+        # Tasks are as many as cores; the library's own threads would only get in their way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder, part, roll, writer = Encoder(vocabulary), TaskContext.get().partitionId(), 0, None
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            row = (path, part, roll, documents, ids)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names)
+
+        for batch in slices(batches, 100):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.ids([text or "" for text in batch.column(1).to_pylist()])):
+                if not writer:
+                    path, documents, ids = f"{folder}/part-{part:06d}-{roll:06d}-{uuid.uuid4().hex}.ids.zst", 0, 0
+                    writer = Writer(open_shared(path, "wb"))
                 writer.add(doc_id, own)
                 documents, ids = documents + 1, ids + len(own)
+                if ids >= FILE_IDS:
+                    yield done()
+                    writer, roll = None, roll + 1
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path, part, documents, ids), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names)
+            yield done()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, "path string, part int, documents long, ids long"), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # The hash lets many rows of one doc_id, or of none, be dealt over several ranges.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    return cut(ordered.mapInArrow(run, "path string, part int, roll int, documents long, ids long"), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files and checked frame by frame."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     # One row for each file.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
     files = cut(manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))), "files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +231,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         at += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return files.select("path", "first").repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A count, or the few rows would be gathered in one task.
+    spread = files.select("path", "first").repartition(max(1, files.count()), "path")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
