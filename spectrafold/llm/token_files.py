@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from .shared import cut, new_folder, open_shared, slices
 
 END = 0
 FRAME_IDS = 1 << 18
-#: Parts of texts that a task remembers.
-REMEMBERED = 400_000
+#: Parts of texts that a worker remembers, from task to task.
+REMEMBERED = 1_000_000
 #: Parts that are encoded together.
 TOGETHER = 2000
 #: Ids of a file; the next one is begun beyond.
@@ -66,7 +67,9 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
+        # Parts met of late, and those met before them.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -86,10 +89,12 @@ class Encoder:
         """The ids of each text, and the end."""
         split = [None if any(s in text for s in self.special) else PARTS.split(text) if BLANKS.search(text) else text.replace("\n", " \n").split(" ") for text in texts]
         met = set().union(*(parts[1:] for parts in split if parts))
-        if (new := met.difference(self.known)) and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = met
-        listed = [*new]
+        if 2 * len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        new = met.difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((p, self.old[p]) for p in again)
+        listed = [*new.difference(again)]
         for at in range(0, len(listed), TOGETHER):
             self._learn(listed[at : at + TOGETHER])
         for text, parts in zip(texts, split):
@@ -100,6 +105,11 @@ class Encoder:
                 yield np.frombuffer(b"".join([first, *map(self.known.__getitem__, parts[1:]), struct.pack("<I", END)]), "<u4")
 
 
+@lru_cache(1)
+def encoder_of(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
 class Writer:
     """One file, frame by frame."""
 
@@ -187,7 +197,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
 
         # Tasks are as many as cores; the library's own threads would only get in their way.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, roll, writer = Encoder(vocabulary), TaskContext.get().partitionId(), 0, None
+        encoder, part, roll, writer = encoder_of(vocabulary), TaskContext.get().partitionId(), 0, None
 
         def done() -> pa.RecordBatch:
             writer.close()
