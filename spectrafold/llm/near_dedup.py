@@ -5,11 +5,13 @@ ROWS samples, and an odd sketch: a bitmap in which each (sample number, value) t
 XOR population count of two bitmaps grows with the number of differing samples, so at high
 similarity it says closely whether a pair that met in a band is worth the check on the full sets.
 
-Pairs are never made of a whole band group. First each member meets the group's least node only;
-the links that hold give components. Then only groups that still hold several components go
-on: members of different components are compared by bitmap within tasks, in blocks of about
-BLOCK members a side, and those that may be similar by their full sets there; only links leave a task. Members of one
-component need no further link, so the components are those of all candidate pairs.
+Pairs are never made of a whole band group. First each member meets the group's least node, its hub,
+only; the links that hold give components. A pair that shares a band shares that band's hub, so what is
+left is looked for among the nodes of a hub, each of them once however many bands it shares with it. Only hubs whose
+nodes are still of several components go on: the nodes outside the hub's largest component are compared with all
+others by bitmap within tasks, in blocks of about BLOCK nodes a side, and those that may be similar by their full
+sets there; only links leave a task. Nodes of one component need no further link, so the components are
+those of all candidate pairs.
 
 With 46 bands of 6 samples a pair of similarity 0.8 is missed with probability (1 - 0.8**6) ** 46 < 1e-6.
 The bitmap passes a pair unless its count is above what five standard deviations allow.
@@ -147,39 +149,39 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, length: int,
     return cut(_ends(pairs, full, "n", "shingles").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
 
 
-#: Of a member of a band's group: its key and block pair, block, node, component, set size, and the group's least node.
-_PLAIN = ["key", "low", "high", "own", "node", "label", "n", "hub"]
+#: Of a node that a block is dealt: hub, its block and that of those it meets, whether it is the one that asks, node,
+#: component, set size, and whether it is outside the hub's largest component.
+_PLAIN = ["hub", "asked", "asking", "asks", "node", "label", "n", "small"]
+_PLACE = _PLAIN[:3]
+_LISTS = ["sketch", "bands", "hubs"]
 
 
 def _rivals(i: int, g: dict[str, np.ndarray], label: np.ndarray, limit: int, percent: int) -> np.ndarray:
-    """Later rows that row i of a block pair is to be compared with.
+    """Rows of a block that its row i, which asks, is to be compared with.
 
-    They are of another component, and block, and size and odd sketch let them pass. A pair is compared where it
-    shares its first band, and not where one is the hub, which has met all others before.
+    They are of another component, and size and odd sketch let them pass. They share a band, and no lesser hub, so a
+    pair is compared once; of two that both ask, the lesser node does.
     """
-    n, own, key = g["n"], g["own"], g["key"][0]
-    if g["node"][i] == g["hub"][0]:
-        return np.empty(0, np.int64)
-    later = slice(i + 1, None)
-    fits = (label[later] != label[i]) & (g["node"][later] != g["hub"][0]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))
-    if g["low"][0] != g["high"][0]:
-        fits &= own[later] != own[i]
-    at = np.flatnonzero(fits) + i + 1
+    n = g["n"]
+    fits = ~g["asks"] & (label != label[i]) & (~g["small"] | (g["node"] > g["node"][i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    at = np.flatnonzero(fits)
     at = at[np.bitwise_count((g["sketch"][at] ^ g["sketch"][i]).view(np.uint64)).sum(axis=1) <= limit]
-    return at[g["bands"][i][(g["bands"][at] == g["bands"][i]).argmax(axis=1)] == key]
+    at = at[(g["bands"][at] == g["bands"][i]).any(axis=1)]
+    lesser = [h for h in g["hubs"][i] if 0 <= h < g["hub"][0]]
+    return at[~np.isin(g["hubs"][at], lesser).any(axis=1)] if lesser else at
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of each key and block pair, of rows sorted by these."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each block, of rows sorted by _PLACE."""
     held, now = [], None
     for batch in batches:
         columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PLAIN}
-        for c in ("sketch", "bands"):
+        for c in _LISTS:
             columns[c] = batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        change = np.logical_or.reduce([np.diff(columns[c]) != 0 for c in ("key", "low", "high")])
+        change = np.logical_or.reduce([np.diff(columns[c]) != 0 for c in _PLACE])
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for first, last in zip(edges[:-1], edges[1:]):
-            here = tuple(int(columns[c][first]) for c in ("key", "low", "high"))
+            here = tuple(int(columns[c][first]) for c in _PLACE)
             if held and here != now:
                 yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
                 held = []
@@ -189,34 +191,48 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
         yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
 
 
-def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, similarity: float) -> DataFrame:
-    """Links that join the components within each key. groups: key, node, label, hub, members.
-
-    A block pair's task first names the members that are to be compared with another; only these
-    bring their full sets, and a task links no two that it has joined before: links are fewer than members.
+def dealt_blocks(stars: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of hubs with several components, dealt over blocks: _PLAIN and _LISTS. stars: a (hub), b (node)."""
+    named = cut(stars.join(labels.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.coalesce("label", "b").alias("label")), "named")
+    kinds = named.groupBy("hub", "label").agg(F.count("*").alias("k"))
+    largest = F.max_by("label", F.struct("k", "label")).alias("largest")
+    open_hubs = kinds.groupBy("hub").agg(largest, F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
+    hubs_of = named.groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+    # As long as bands, so that rows make a matrix.
+    padded = F.concat("hubs", F.array_repeat(F.lit(-1).cast("long"), BANDS - F.size("hubs"))).alias("hubs")
+    known = nodes.select("node", "n", "sketch", "bands").join(hubs_of.select("node", padded), "node")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    placed = with_small(named, open_hubs, ["hub"], 40).withColumns({"small": F.col("label") != F.col("largest"), "wide": blocks("members"), "askers": F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")})
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    asked = F.transform(each("askers"), lambda k: F.struct(own("wide").alias("asked"), k.alias("asking"), F.lit(False).alias("asks")))
+    asking = F.transform(each("wide"), lambda k: F.struct(k.alias("asked"), own("askers").alias("asking"), F.lit(True).alias("asks")))
+    roles = placed.join(known, "node").withColumn("role", F.explode(F.when(F.col("small"), F.concat(asked, asking)).otherwise(asked)))
+    return roles.select("hub", "role.asked", "role.asking", "role.asks", "node", "label", "n", "small", *_LISTS)
+
+
+def across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, similarity: float) -> DataFrame:
+    """Links that join the components among the nodes of each hub.
+
+    A block's task first names the nodes that are to be compared with another; only these
+    bring their full sets, and a task links no two that it has joined before: links are fewer than nodes.
     """
     limit, percent = most_differing_bits(similarity), round(100 * similarity)
-    dealt = (
-        groups.join(nodes.select("node", "n", "sketch", "bands"), "node")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n", "hub", "sketch", "bands")
-    )
+    dealt = dealt_blocks(stars, labels, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[dict]) -> pa.RecordBatch:
             g = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
-            lists = [pa.ListArray.from_arrays(np.arange(len(g[c]) + 1, dtype=np.int32) * np.int32(g[c].shape[1]), g[c].ravel()) for c in ("sketch", "bands")]
-            return pa.RecordBatch.from_arrays([*(pa.array(g[c]) for c in _PLAIN), *lists], [*_PLAIN, "sketch", "bands"])
+            lists = [pa.ListArray.from_arrays(np.arange(len(g[c]) + 1, dtype=np.int32) * np.int32(g[c].shape[1]), g[c].ravel()) for c in _LISTS]
+            return pa.RecordBatch.from_arrays([*(pa.array(g[c]) for c in _PLAIN), *lists], [*_PLAIN, *_LISTS])
 
         parts, size = [], 0
-        for g in _block_pairs(batches):
+        for g in _blocks(batches):
             met = np.zeros(len(g["node"]), bool)
-            for i in range(len(met) - 1):
+            for i in np.flatnonzero(g["asks"]):
                 at = _rivals(i, g, g["label"], limit, percent)
                 met[at] = True
-                met[i] |= len(at) > 0
+                met[i] = len(at) > 0
             if met.any():
                 parts.append({c: x[met] for c, x in g.items()})
                 size += int(met.sum())
@@ -226,14 +242,13 @@ def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, si
         if parts:
             yield done(parts)
 
-    place = ["key", "low", "high"]
-    kept = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, dealt.schema), "rivals")
+    kept = cut(dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(meet, dealt.schema), "rivals")
     full = sets_of(kept.select("node"), nodes, rows, length)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = {c: pdf[c].to_numpy() for c in _PLAIN} | {c: np.stack(pdf[c].to_numpy()) for c in ("sketch", "bands")}
+        g = {c: pdf[c].to_numpy() for c in _PLAIN} | {c: np.stack(pdf[c].to_numpy()) for c in _LISTS}
         label, sets, node, links = g["label"].copy(), pdf["shingles"].to_numpy(), g["node"], []
-        for i in range(len(pdf) - 1):
+        for i in np.flatnonzero(g["asks"]):
             for j in _rivals(i, g, label, limit, percent):
                 if label[i] != label[j]:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -242,7 +257,7 @@ def across(groups: DataFrame, nodes: DataFrame, rows: DataFrame, length: int, si
                         links.append((node[i], node[j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return cut(kept.join(full.select("node", "shingles"), "node").groupBy(*place).applyInPandas(link, "a long, b long"), "links")
+    return cut(kept.join(full.select("node", "shingles"), "node").groupBy(*_PLACE).applyInPandas(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,16 +270,11 @@ def near_duplicates(docs: DataFrame, length: int = 5, similarity: float = 0.8) -
     banded = nodes.select("node", F.explode("bands").alias("key"))
     hubs = cut(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").cast("int").alias("members")).where("members > 1"), "hubs")
     # A group of two is its first and last node; only larger ones need their members.
-    two = hubs.where("members = 2").select("key", F.explode(F.array("hub", "last")).alias("node"), "hub", "members")
-    more = with_small(banded, hubs.where("members > 2").drop("last"), ["key"], 32).select("key", "node", "hub", "members")
-    groups = cut(two.unionByName(more), "groups")
-    stars = cut(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    two = hubs.where("members = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
+    more = with_small(banded, hubs.where("members > 2").select("key", "hub"), ["key"], 32).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = cut(two.unionByName(more).distinct(), "stars")
     first = confirmed(sketched(stars, nodes, similarity), nodes, rows, length, similarity)
-    labels = connected(first)
-    named = cut(groups.join(labels, "node", "left").select("key", "node", "hub", "members", F.coalesce("label", "node").alias("label")), "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    # In a group of two all has been compared.
-    second = across(named.where("members > 2").join(open_keys, "key"), nodes, rows, length, similarity)
+    second = across(stars, connected(first), nodes, rows, length, similarity)
     labels = connected(first.unionByName(second))
     labelled = nodes.select("sid", "node").join(labels, "node", "left").select("sid", F.coalesce("label", "node").alias("label"))
     joined = cut(marked.select("doc_id", "_id", "_key", F.col("n").alias("n_shingles"), "sid").join(labelled, "sid", "left").drop("sid"), "classes")
