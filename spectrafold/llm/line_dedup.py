@@ -6,11 +6,14 @@ at a place that its number and the difference in length narrow down. Each line i
 segments and probes those of lines as long or up to EDITS shorter, under keys of length, segment
 number and substring. Lines under one key are candidates, verified by banded bit-parallel edit distance.
 
-Pairs are never made of a whole key group. First each line of a group meets the group's least line;
-the links that hold give components. Then only groups that still hold several components go
-on: within blocks of about BLOCK lines a side, lines of different components are compared by the
+Distinct lines are numbered once, so all that is shuffled after that is numbers.
+
+Pairs are never made of a whole key group. First each line of a group meets the group's least line, its hub;
+the links that hold give components. Two lines that share a key share its hub, so what is left is looked for among
+the lines of a hub. Only hubs whose lines are still of several components go on: the lines outside the hub's largest
+component are compared with all others, in blocks of about BLOCK lines a side, by length and the
 parity bits of their characters, of which an edit changes two at most, and only survivors become
-pairs to verify.
+pairs to verify. What a pair has in common at either end is found by halving and left out of the distance.
 
 A class is a component of linked lines; it keeps its first occurrence by (doc_id, line number), all
 others go. Equal lines are one class at any length; with fewer than EDIT_CHARS code points no edit is
@@ -36,34 +39,43 @@ EDIT_CHARS = 6
 #: From here on all EDITS are allowed.
 MIN_CHARS = EDITS * EDIT_CHARS
 BLOCK = 200
+#: Code points that a pair keeps of what it has in common at an end.
+MARGIN = 4
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """1-based start and length of a segment; the last ones are longer by one where it doesn't divide."""
-    short, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, F.lit(edits + 1))
-    first_long = edits + 1 - longer
-    return 1 + number * short + F.greatest(F.lit(0), F.lit(number) - first_long), short + (F.lit(number) >= first_long).cast("int")
+def _probes(edits: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """How much shorter the line looked for is, the edits that it then allows, and the numbers and shifts of its segments."""
+    out = []
+    for shorter in range(edits + 1):
+        for allowed in range(max(shorter, 1), edits + 1):
+            shifts = lambda n: range(max(-n, shorter - (allowed - n)), min(n, shorter + (allowed - n)) + 1)  # noqa: B023, E731
+            out.append((shorter, allowed, [(n, shift) for n in range(allowed + 1) for shift in shifts(n)]))
+    return out
 
 
 def _keys(edits: int) -> Column:
-    """The keys that a line, column line of length chars, indexes and probes."""
+    """The keys that a line, column line of chars code points, indexes and probes.
 
-    def key(of_length: Column, number: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(of_length, F.lit(number), F.substring(F.col("line"), start, size))
+    Lambdas over tables of segments: spelt out, the expression would be more code than the JVM compiles.
+    """
 
-    none = F.array().cast("array<bigint>")
-    parts = []
-    for shorter in range(edits + 1):
+    def keys(segments: list[tuple[int, int]], parts: int, length: Column) -> Column:
+        table = F.array(*(F.struct(F.lit(n).alias("number"), F.lit(shift).alias("shift")) for n, shift in segments))
+        # The last segments are longer by one where the length doesn't divide.
+        cuts = F.struct(length.alias("length"), F.floor(length / parts).cast("int").alias("short"), (parts - F.pmod(length, F.lit(parts))).alias("first_long"))
+
+        def key(c: Column, p: Column) -> Column:
+            extra = p["number"] - c["first_long"]
+            start = 1 + p["number"] * c["short"] + F.greatest(F.lit(0), extra) + p["shift"]
+            return F.xxhash64(c["length"], p["number"], F.substring("line", start, c["short"] + (extra >= 0).cast("int")))
+
+        return _let(cuts, lambda c: F.transform(table, lambda p: key(c, p)))
+
+    none, found = F.array().cast("array<bigint>"), []
+    for shorter, allowed, segments in _probes(edits):
         length = F.col("chars") - shorter
-        for allowed in range(max(shorter, 1), edits + 1):
-            keys = []
-            for number in range(allowed + 1):
-                start, size = _segment(length, number, allowed)
-                low = max(-number, shorter - (allowed - number))
-                high = min(number, shorter + (allowed - number))
-                keys += [key(length, number, start + shift, size) for shift in range(low, high + 1)]
-            parts.append(F.when(allowed_edits(length, edits) == allowed, F.array(*keys)).otherwise(none))
-    return F.array_distinct(F.concat(*parts)) if parts else none
+        found.append(F.when(allowed_edits(length, edits) == allowed, keys(segments, allowed + 1, length)).otherwise(none))
+    return F.array_distinct(F.concat(none, *found))
 
 
 def allowed_edits(length: Column, edits: int) -> Column:
@@ -118,78 +130,113 @@ def within_edits(edits: int, cells_long: Column | str = "cells_long", cells_shor
     return (n_long - F.size(cells_short) <= edits) & (run["at"] <= edits)
 
 
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """How many code points, most at most, two strings have in common at their start, by halving."""
+    steps = F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0))
+
+    def longer(n: Column, step: Column) -> Column:
+        more = F.call_function("shiftleft", F.lit(1), step)
+        return F.when((n + more <= most) & (F.substring(a, n + 1, more) == F.substring(b, n + 1, more)), n + more).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def _without_common_ends(long: Column, short: Column) -> Column:
+    """struct of both strings without what they have in common at the ends, but for MARGIN code points at each."""
+
+    def end(pair: Column) -> Column:
+        common = _common(F.reverse(pair["long"]), F.reverse(pair["short"]), F.length(pair["short"]))
+        return _let(F.greatest(F.lit(0), common - MARGIN), lambda n: F.struct(*(F.substring(pair[x], F.lit(1), F.length(pair[x]) - n).alias(x) for x in ("long", "short"))))
+
+    def start(n: Column) -> Column:
+        rest = lambda x: F.substring(x, n + 1, F.length(x))
+        return _let(F.struct(rest(long).alias("long"), rest(short).alias("short")), end)
+
+    return _let(F.greatest(F.lit(0), _common(long, short, F.length(short)) - MARGIN), start)
+
+
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) whose lines are within the edits that the shorter allows. lines: node, line."""
+    """The pairs (a, b) whose lines are within the edits that the shorter allows. lines: node, line, bits."""
     for end in ("a", "b"):
-        pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("line").alias(f"line_{end}")), end)
+        pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("line").alias(f"line_{end}"), F.col("bits").alias(f"bits_{end}")), end)
     swap = F.length("line_a") < F.length("line_b")
-    longer, shorter = (F.split(F.when(swap, F.col(f"line_{x}")).otherwise(F.col(f"line_{y}")), "") for x, y in ("ba", "ab"))
+    longer, shorter = (F.when(swap, F.col(f"line_{x}")).otherwise(F.col(f"line_{y}")) for x, y in ("ba", "ab"))
+    may = (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * edits) & (F.abs(F.length("line_a") - F.length("line_b")) <= edits)
+
+    def within(pair: Column) -> Column:
+        allowed_here, close = allowed_edits(F.length(pair["short"]), edits), F.lit(False)
+
+        def distance(cells: Column) -> Column:
+            answer = close
+            for allowed in range(1, edits + 1):
+                answer = F.when(allowed_here == allowed, within_edits(allowed, cells["long"], cells["short"])).otherwise(answer)
+            return answer
 
-    def within(cells: Column) -> Column:
-        close = F.lit(False)
-        for allowed in range(1, edits + 1):
-            close = F.when(allowed_edits(F.size(cells["short"]), edits) == allowed, within_edits(allowed, cells["long"], cells["short"])).otherwise(close)
-        return close
+        split = lambda ends: F.struct(*(F.split(ends[x], "").alias(x) for x in ("long", "short")))
+        return _let(_without_common_ends(pair["long"], pair["short"]), lambda ends: _let(split(ends), distance))
 
-    # A filter takes in the expressions of the columns it names, so the arrays are bound inside, once a pair.
-    close = _let(F.struct(longer.alias("long"), shorter.alias("short")), within)
+    # A filter takes in the expressions of the columns it names, so the strings are bound inside, once a pair.
+    close = F.when(may, _let(F.struct(longer.alias("long"), shorter.alias("short")), within)).otherwise(F.lit(False))
     return cut(pairs.where(close).select("a", "b"), "links")
 
 
-def _texts(lines: DataFrame, used: DataFrame) -> DataFrame:
-    """node, line of the nodes in used, found again in the documents."""
-    chosen = cut(used.distinct(), "used")
-    return cut(with_small(lines.select("node", "line"), chosen, ["node"], 48).dropDuplicates(["node"]), "texts")
+def left_open(stars: DataFrame, labels: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of lines of one hub and different components that length and parity bits let pass. stars: a (hub), b (line)."""
+    named = cut(stars.join(labels.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.coalesce("label", "b").alias("label")), "named")
+    kinds = named.groupBy("hub", "label").agg(F.count("*").alias("k"))
+    open_hubs = kinds.groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = with_small(named, open_hubs, ["hub"], 40).withColumns({"small": F.col("label") != F.col("largest"), "wide": blocks(F.col("members")), "askers": blocks(F.col("members") - F.col("most"))})
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    asked = F.transform(each("askers"), lambda k: F.struct(own("wide").alias("asked"), k.alias("asking"), F.lit(False).alias("asks")))
+    asking = F.transform(each("wide"), lambda k: F.struct(k.alias("asked"), own("askers").alias("asking"), F.lit(True).alias("asks")))
+    known = placed.join(texts.select("node", F.length("line").alias("chars"), "bits"), "node")
+    dealt = known.withColumn("role", F.explode(F.when(F.col("small"), F.concat(asked, asking)).otherwise(asked)))
+    member = F.struct("node", "label", "chars", "bits", "small")
+    sides = [F.collect_list(F.when(F.col("role.asks") == side, member)).alias(name) for side, name in ((False, "them"), (True, "us"))]
+    met = dealt.groupBy("hub", "role.asked", "role.asking").agg(*sides)
+    rival = lambda x, y: (x["label"] != y["label"]) & (~y["small"] | (x["node"] < y["node"])) & (F.abs(x["chars"] - y["chars"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
+    found = F.flatten(F.transform("us", lambda x: F.transform(F.filter("them", lambda y: rival(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return met.select(F.explode(found).alias("pair")).select("pair.*").distinct()
 
 
 def classes(lines: DataFrame, edits: int) -> DataFrame:
-    """node, label of the lines that are linked to others. lines: node (digest), line, chars, of all occurrences."""
+    """node, label of the lines that are linked to others. lines: node (number), line, chars, each once."""
     placed = lines.where(F.col("chars") >= EDIT_CHARS).select("node", F.explode(_keys(edits)).alias("key"))
     ends = placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("rows"))
     ends = cut(ends.where("hub <> last"), "ends")
-    # A group of two rows is its first and last line; only larger ones need their members.
-    two = ends.where("rows = 2").select("key", F.explode(F.array("hub", "last")).alias("node"), "hub")
-    more = with_small(placed, ends.where("rows > 2").select("key", "hub"), ["key"], 64).select("key", "node", "hub").distinct()
-    groups = cut(two.unionByName(more), "groups")
-    stars = cut(groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    texts = _texts(lines, groups.select("node"))
+    # A group of two is its first and last line; only larger ones need their members.
+    two = ends.where("rows = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
+    more = with_small(placed, ends.where("rows > 2").select("key", "hub"), ["key"], 32).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = cut(two.unionByName(more).distinct(), "stars")
+    used = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut(with_small(lines, cut(used, "used"), ["node"], 24).select("node", "line", parity(F.col("line")).alias("bits")), "texts")
     first = verified(stars, texts, edits)
-    labels = connected(first)
-    named = cut(groups.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")).where("least <> most").select("key", "members")
-    rest = named.join(open_keys, "key").where("members > 2")
-    bits = cut(rest.select("node").distinct().join(texts, "node").select("node", F.length("line").alias("chars"), parity(F.col("line")).alias("bits")), "bits")
-    dealt = (
-        rest.join(bits, "node")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    member = F.struct("node", "label", "chars", "bits", "own")
-    blocks = dealt.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(member).alias("members"))
-    rival = lambda x, y: (x["node"] < y["node"]) & (x["label"] != y["label"]) & ((F.col("low") == F.col("high")) | (x["own"] != y["own"])) & (F.abs(x["chars"] - y["chars"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
-    met = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: rival(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    pairs = cut(blocks.select(F.explode(met).alias("pair")).select("pair.*").distinct(), "rivals")
-    second = verified(pairs.join(stars, ["a", "b"], "left_anti"), texts, edits)
-    return connected(first.unionByName(second))
+    rest = left_open(stars, connected(first), texts, edits).join(stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    return connected(first.unionByName(verified(cut(rest, "rivals"), texts, edits)))
 
 
 def split_lines(rows: DataFrame) -> DataFrame:
-    """_id, _key, none (null doc_id), at, line, node, chars of each line that has a word."""
+    """_id, _key, none (null doc_id), at, line, digest of each line that has a word."""
     each = rows.select("_id", "_key", F.isnull("doc_id").alias("none"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("node", F.unhex(F.md5(F.col("line").cast("binary")))).withColumn("chars", F.length("line"))
+    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """_row, doc_id, n_lines (with a word), n_removed, kept (text) of each document."""
     rows = keyed(docs)
-    lines = split_lines(rows)
-    labels = classes(lines, edits)
-    spots = cut(lines.select("node", "none", "_id", "_key", "at"), "spots")
-    labelled = spots.join(labels, "node", "left").select("none", "_id", "_key", "at", F.coalesce("label", "node").alias("label"))
+    each = split_lines(rows)
+    once = each.groupBy("digest").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    # Written before it is used, so the numbers stay.
+    lines = cut(once.select(F.monotonically_increasing_id().alias("node"), "digest", "line", F.length("line").alias("chars"), "n"), "lines")
+    labels = classes(lines.select("node", "line", "chars"), edits)
+    # Only lines that are repeated, or linked to others, can lose an occurrence.
+    shared = lines.select("node", "digest", "n").join(labels, "node", "left").where("n > 1 or label is not null").select("digest", F.coalesce("label", "node").alias("label"))
+    spots = cut(with_small(each.select("digest", "none", "_id", "_key", "at"), cut(shared, "shared"), ["digest"], 64).drop("digest"), "spots")
     spot = F.struct("none", "_id", "_key", "at")
-    repeated = labelled.groupBy("label").agg(F.min(spot).alias("keeps"), F.count("*").alias("n")).where("n > 1").select("label", "keeps")
-    gone = labelled.join(repeated, "label").where(~spot.eqNullSafe(F.col("keeps"))).groupBy("_id", "_key").agg(F.collect_set("at").alias("gone"))
+    keeps = spots.groupBy("label").agg(F.min(spot).alias("keeps"))
+    gone = spots.join(keeps, "label").where(~spot.eqNullSafe(F.col("keeps"))).groupBy("_id", "_key").agg(F.collect_set("at").alias("gone"))
     gone = cut(gone, "gone")
     met = with_small(rows, gone, ["_id", "_key"], F.size("gone") * 4 + 64, "left")
     split = met.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
