@@ -26,6 +26,16 @@ def kernel(rows: DataFrame, landmarks: DataFrame, kind: str = "linear", scale: f
     return base.withColumn("x", how[kind])
 
 
+def mixed(rows: DataFrame, landmarks: DataFrame, weights: dict[str, float], scale: float = 1.0, feat: str = "feat") -> DataFrame:
+    """Weighted sums of kernels, all from one pass over products and distances."""
+    keep = [c for c in (*rows.columns, *landmarks.columns) if c not in (feat, "x")]
+    joined = rows.join(landmarks.withColumnRenamed("x", "_z"), feat)
+    both = joined.groupBy(*keep).agg(F.sum(F.col("x") * F.col("_z")).alias("_p"), F.sum(F.pow(F.col("x") - F.col("_z"), 2)).alias("_d"))
+    p, d = F.col("_p"), F.col("_d")
+    how = {"linear": p, "poly": F.pow(p + scale, F.lit(2)), "rbf": F.exp(-0.5 * d / scale), "distance": F.exp(-F.sqrt(d) / scale)}
+    return both.withColumn("x", sum(w * how[k] for k, w in weights.items())).drop("_p", "_d")
+
+
 def centred(matrix: DataFrame, row: str, column: str) -> DataFrame:
     """Less the means of rows and columns, plus that of all; the column means are one row a landmark."""
     means = matrix.groupBy(column).agg(F.avg("x").alias("_c"))

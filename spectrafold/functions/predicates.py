@@ -25,3 +25,18 @@ def within(dim: str, kind: str, *bounds) -> Column:
         inside = reduce(lambda a, b: a | b, (c.between(lo, hi) for lo, hi in zip(bounds[::2], bounds[1::2])))
         return inside if kind == "between" else ~inside
     return {"before": c < bounds[0], "incbefore": c <= bounds[0], "after": c > bounds[0], "incafter": c >= bounds[0]}[kind]
+
+
+def found_at(text: Column, part: str) -> Column:
+    """Where a part first stands, from 1; 0 if it doesn't."""
+    return F.instr(text, part)
+
+
+def part_match(text: Column, pattern: str, values: list[str]) -> Column:
+    """Whether what the pattern's group picks is one of the values."""
+    return F.regexp_extract(text, pattern, 1).isin(*values)
+
+
+def nested_match(texts: Column, values: list[str]) -> Column:
+    """Whether any of an array's texts is one of the values."""
+    return F.exists(texts, lambda t: t.isin(*values))

@@ -6,11 +6,28 @@ from pyspark.sql import functions as F
 MIN_STD = 1e-5
 
 
+def met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys in which nulls meet nulls. The other columns of the two have no name in common."""
+    right = table.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in table.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return (rows.join(right, on) if keys else rows.crossJoin(F.broadcast(right))).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+#: mean, sum, power (mean of squares), logpower, median, var or std (population).
+KINDS = {
+    "mean": F.avg,
+    "sum": F.sum,
+    "power": lambda x: F.avg(x * x),
+    "logpower": lambda x: F.log(F.avg(x * x)),
+    "median": F.median,
+    "var": F.var_pop,
+    "std": F.stddev_pop,
+}
+
+
 def reduced(cube: DataFrame, over: list[str], how: str = "mean") -> DataFrame:
-    """mean, sum, power (mean of squares), logpower, median, var or std (population) over dimensions."""
-    x = F.col("x")
-    kinds = {"mean": F.avg(x), "sum": F.sum(x), "power": F.avg(x * x), "logpower": F.log(F.avg(x * x)), "median": F.median(x), "var": F.var_pop(x), "std": F.stddev_pop(x)}
-    return cube.groupBy(*(c for c in cube.columns if c not in over and c != "x")).agg(kinds[how].alias("x"))
+    """One of KINDS over dimensions; nulls count for none, and a group of only nulls gives null."""
+    return cube.groupBy(*(c for c in cube.columns if c not in over and c != "x")).agg(KINDS[how](F.col("x")).alias("x"))
 
 
 def summary(cube: DataFrame, over: list[str]) -> DataFrame:
@@ -28,42 +45,52 @@ def rereference(cube: DataFrame, over: str, among=None) -> DataFrame:
 
 
 def standardised(cube: DataFrame, per: list[str]) -> DataFrame:
-    s = summary(cube, [c for c in cube.columns if c not in per])
-    return cube.join(s, per).withColumn("x", (F.col("x") - F.col("mu")) / F.col("sigma")).drop("mu", "sigma")
+    """Less the mean and by the spread of the cells that agree in `per`, null among its values; a null x stays null."""
+    s = summary(cube, [c for c in cube.columns if c not in per]).withColumnsRenamed({"mu": "_mu", "sigma": "_sigma"})
+    return met(cube, s, per).withColumn("x", (F.col("x") - F.col("_mu")) / F.col("_sigma")).drop("_mu", "_sigma")
 
 
 def normalised(cube: DataFrame, per: list[str]) -> DataFrame:
     """By the root of the mean square; 1 for none."""
-    power = cube.groupBy(*per).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    rms = F.when(F.col("rms") == 0, 1.0).otherwise(F.greatest("rms", F.lit(MIN_STD)))
-    return cube.join(power, per).withColumn("x", F.col("x") / rms).drop("rms")
+    power = cube.groupBy(*per).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("_rms"))
+    rms = F.when(F.col("_rms") == 0, 1.0).otherwise(F.greatest("_rms", F.lit(MIN_STD)))
+    return met(cube, power, per).withColumn("x", F.col("x") / rms).drop("_rms")
 
 
 def detrended(cube: DataFrame, along: str) -> DataFrame:
-    """Less the least-squares line along a dimension."""
-    keep = [c for c in cube.columns if c not in (along, "x")]
-    t, x = F.col(along).cast("double"), F.col("x")
-    line = cube.groupBy(*keep).agg(F.avg(t).alias("mt"), F.avg(x).alias("mx"), F.coalesce(F.try_divide(F.covar_pop(t, x), F.var_pop(t)), F.lit(0.0)).alias("slope"))
-    return cube.join(line, keep).withColumn("x", x - F.col("mx") - F.col("slope") * (t - F.col("mt"))).drop("mt", "mx", "slope")
-
-
-def outliers(features: DataFrame, group: list[str], threshold: float = 3.5, rounds: int = 6) -> DataFrame:
-    """Adds bad: above the median by so many root mean squares of the distance to it, over those not yet bad, again and again."""
-    marked = features.withColumn("bad", F.lit(False))
+    """Less the least-squares line along a dimension, which counts from each series' first value; one shuffle."""
+    series = Window.partitionBy(*(c for c in cube.columns if c not in (along, "x")))
+    t, x = F.col("_t"), F.col("x")
+    slope = F.coalesce(F.try_divide(F.covar_pop(t, x).over(series), F.var_pop(t).over(series)), F.lit(0.0))
+    line = F.avg(x).over(series) + slope * (t - F.avg(t).over(series))
+    timed = cube.withColumn("_t", (F.col(along) - F.min(along).over(series)).cast("double"))
+    return timed.withColumn("x", x - line).drop("_t")
+
+
+def outliers(features: DataFrame, group: list[str], threshold: float = 3.5, rounds: int = 6, below: float | None = None) -> DataFrame:
+    """Adds bad: above the median by so many root mean squares of the distance to it, over those not yet bad, again and again.
+
+    The mean square about the median follows from mean and variance, so a round is one aggregate; what a round
+    hands on is each group's bounds. A null x is never bad; below tests the other side, too.
+    """
+    inside = (F.col("x") <= F.col("_top")) & (F.col("x") >= F.col("_low"))
+    bounds = features.groupBy(*group).agg(F.lit(float("inf")).alias("_top"), F.lit(float("-inf")).alias("_low"))
     for _ in range(rounds):
-        good = marked.where("not bad")
-        middle = good.groupBy(*group).agg(F.median("x").alias("med"))
-        scale = good.join(middle, group).groupBy(*group).agg(F.first("med").alias("med"), F.sqrt(F.avg(F.pow(F.col("x") - F.col("med"), 2))).alias("s"))
-        marked = marked.join(scale, group).withColumn("bad", F.col("bad") | (F.col("x") > F.col("med") + threshold * F.col("s"))).drop("med", "s")
-    return marked
+        good = F.when(inside, F.col("x"))
+        middle = F.median(good)
+        scale = F.sqrt(F.var_pop(good) + F.pow(F.avg(good) - middle, 2))
+        low = F.lit(float("-inf")) if below is None else F.coalesce(middle - below * scale, F.lit(float("-inf")))
+        found = met(features, bounds, group).groupBy(*group).agg(F.least(F.first("_top"), middle + threshold * scale).alias("_top"), F.greatest(F.first("_low"), low).alias("_low"))
+        bounds = found
+    return met(features, bounds, group).withColumn("bad", F.coalesce(~inside, F.lit(False))).drop("_top", "_low")
 
 
 def clipped(cube: DataFrame, per: list[str], threshold: float = 2.75) -> DataFrame:
     """Within the median and so many median absolute deviations."""
-    middle = cube.groupBy(*per).agg(F.median("x").alias("med"))
-    scale = cube.join(middle, per).groupBy(*per).agg(F.first("med").alias("med"), F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
-    reach = threshold * F.col("mad")
-    return cube.join(scale, per).withColumn("x", F.greatest(F.least("x", F.col("med") + reach), F.col("med") - reach)).drop("med", "mad")
+    middle = cube.groupBy(*per).agg(F.median("x").alias("_med"))
+    scale = met(cube, middle, per).groupBy(*per).agg(F.first("_med").alias("_med"), F.median(F.abs(F.col("x") - F.col("_med"))).alias("_mad"))
+    reach = threshold * F.col("_mad")
+    return met(cube, scale, per).withColumn("x", F.greatest(F.least("x", F.col("_med") + reach), F.col("_med") - reach)).drop("_med", "_mad")
 
 
 def bin_averaged(cube: DataFrame, along: str, width: int) -> DataFrame:

@@ -38,16 +38,17 @@ def epochs(events: DataFrame, key: str, at: str, start: Column, before: int, aft
 
 def next_match(rows: DataFrame, key: str, at: str, left: Column, right: Column) -> DataFrame:
     """For each left row the time of the first right row of its key at or after it; null if none. Forward as-of by one sort."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(0, Window.unboundedFollowing)
+    # From the last row back, so the frame only grows.
+    w = Window.partitionBy(key).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("next_at", F.min(F.when(right, F.col(at))).over(w)).where(left)
 
 
 def nearest_match(rows: DataFrame, key: str, at: str, left: Column, right: Column) -> DataFrame:
     """For each left row the nearest time of a right row of its key, the earlier of two equally near. As-of in both directions by one sort."""
-    w = Window.partitionBy(key).orderBy(at)
+    grown = lambda order: Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     hit = F.when(right, F.col(at))
-    before = F.max(hit).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(hit).over(w.rangeBetween(0, Window.unboundedFollowing))
+    before = F.max(hit).over(grown(F.col(at).asc()))
+    after = F.min(hit).over(grown(F.col(at).desc()))
     found = rows.withColumn("_b", before).withColumn("_a", after).where(left)
     nearer = F.when(F.col("_b").isNull() | (F.col("_a") - F.col(at) < F.col(at) - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))
     return found.withColumn("nearest_at", nearer).drop("_b", "_a")
@@ -70,10 +71,10 @@ def smoothed_to_first(cube: DataFrame, along: str, factor: float) -> DataFrame:
 def interpolated(cube: DataFrame, along: str) -> DataFrame:
     """Null cells between two others on the line between them; those outside stay null."""
     keep = [c for c in cube.columns if c not in (along, "x")]
-    w = Window.partitionBy(*keep).orderBy(along)
+    w = lambda order: Window.partitionBy(*keep).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cell = F.when(F.col("x").isNotNull(), F.struct(F.col(along).alias("t"), "x"))
-    low = F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(cell, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    low = F.last(cell, ignorenulls=True).over(w(F.col(along).asc()))
+    high = F.last(cell, ignorenulls=True).over(w(F.col(along).desc()))
     line = F.col("_l.x") + (F.col("_h.x") - F.col("_l.x")) * (F.col(along) - F.col("_l.t")) / (F.col("_h.t") - F.col("_l.t"))
     return cube.withColumn("_l", low).withColumn("_h", high).withColumn("x", F.coalesce("x", line)).drop("_l", "_h")
 

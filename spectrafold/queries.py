@@ -149,9 +149,9 @@ def normalize_power(spark, d):
     return _rounded(statistics.normalised(event_cube(spark, d), ["ch", "epoch"]))
 
 
-@query(f"WITH {CUBE}, l AS (SELECT ch, epoch, avg(CAST(time AS DOUBLE)) AS mt, avg(x) AS mx, CASE WHEN var_pop(CAST(time AS DOUBLE)) = 0 THEN 0 ELSE covar_pop(x, CAST(time AS DOUBLE)) / var_pop(CAST(time AS DOUBLE)) END AS b FROM cube GROUP BY ch, epoch) SELECT ch, time, epoch, round(x - mx - b * (time - mt), 5) AS x FROM cube JOIN l USING (ch, epoch)")
+@query(f"WITH {CUBE}, c AS (SELECT *, CAST(time - min(time) OVER (PARTITION BY ch, epoch) AS DOUBLE) AS t FROM cube), l AS (SELECT ch, epoch, avg(t) AS mt, avg(x) AS mx, CASE WHEN var_pop(t) = 0 THEN 0 ELSE covar_pop(x, t) / var_pop(t) END AS b FROM c GROUP BY ch, epoch) SELECT ch, time, epoch, round(x - mx - b * (t - mt), 9) + 0 AS x FROM c JOIN l USING (ch, epoch)")
 def detrend(spark, d):
-    return statistics.detrended(event_cube(spark, d), "time").withColumn("x", F.round("x", 5))
+    return statistics.detrended(event_cube(spark, d), "time").withColumn("x", F.round("x", 9) + 0)
 
 
 @query(f"WITH {CUBE}, m AS (SELECT ch, median(x) AS med FROM cube GROUP BY ch), s AS (SELECT ch, max(med) AS med, median(abs(x - med)) AS mad FROM cube JOIN m USING (ch) GROUP BY ch) SELECT ch, time, epoch, round(greatest(least(x, med + 2.75 * mad), med - 2.75 * mad), 6) AS x FROM cube JOIN s USING (ch)")
@@ -400,3 +400,6 @@ def ridge_decision_values(spark, d):
 @query()
 def cross_validated_losses(spark, d):
     return scores.binary_losses(ridge_decision_values(spark, d), "y", "dv", ["fold"])
+
+
+from . import queries_more  # noqa: E402, F401  registers its queries
