@@ -1,14 +1,17 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
-Training counts pairs (context word, next word) and triples (pair, next word) over all training documents, with
-a start before and an end after each. The trie has three kinds of levels, each split over files of bounded size:
+Training counts triples (word before, word, next word) over all training documents, with a start before and an end after
+each; pairs follow from them. The trie has three levels, split over files of bounded size:
 
 - words: the 64-bit hashes of all words, by their upper bits over SHARD_WORDS each about, as a monotone sequence; a
   word's rank is its place in it, and its exact count lies at that place;
-- pairs: by hash of the pair over SHARD_PAIRS each about: the monotone sequence of context ranks, the monotone pointers to
+- pairs: by hash of the pair over SHARD_PAIRS tokens each about: the monotone sequence of context ranks, the monotone pointers to
   where each context's next words begin, and those words' ranks, relative to their context by adding the
   number of the context times the vocabulary, again one monotone sequence, with a probability quantised to STEP for each, in 8 bits, or 16 in files that need them.
-- triples: the same, with places in the pair levels as contexts; a pair's exact count lies at its place.
+- triples, in their pair's file: monotone pointers from each pair to where its next words begin, those words' ranks relative
+  to the pair in the same way, their quantised probabilities, and for each pair the quantised logarithm of its count.
+
+Triples are counted within tasks and leave them packed, one row a task's chunk and file, so the shuffle moves columns of numbers.
 
 Monotone sequences are Elias-Fano coded: low bits packed, high bits in unary with counts by block. A lookup is a
 successor search: of the rank within its context's range. Files are memory-mapped from the shared folder where that is a
@@ -30,7 +33,7 @@ import json
 import re
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +57,10 @@ END, START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" star
 class EliasFano:
     """A monotone sequence of unsigned 64-bit numbers below a bound, in arrays that may be memory-mapped."""
 
-    BLOCK = 8
-
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        # Zeros before each block of the unary part.
-        self.zeros = np.arange(len(ones), dtype=np.int64) * (64 * self.BLOCK) - ones
+        # Zeros before each word of the unary part.
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @classmethod
     def build(cls, values: np.ndarray, bound: int) -> EliasFano:
@@ -74,10 +75,10 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = (bound >> bits) + n + 2
-        words = -(-size // (64 * cls.BLOCK)) * cls.BLOCK
-        high = np.zeros(words, np.uint64)
+        high = np.zeros(-(-size // 64) + 1, np.uint64)
         np.bitwise_or.at(high, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
-        ones = np.append(0, np.cumsum(np.bitwise_count(high).reshape(-1, cls.BLOCK).sum(axis=1, dtype=np.int64)))
+        ones = np.append(0, np.cumsum(np.bitwise_count(high), dtype=np.int64))
+        ones = ones.astype(np.uint32 if n < 1 << 32 else np.uint64)
         return cls(n, bits, low, high, ones)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
@@ -91,39 +92,63 @@ class EliasFano:
     def _select(self, number: np.ndarray, one: bool) -> np.ndarray:
         """Positions of the number-th (from 0) ones, or zeros, of the unary part."""
         before = self.ones if one else self.zeros
-        block = np.searchsorted(before, number, side="right") - 1
-        block = np.minimum(block, len(before) - 2)
-        rest = number - before[block]
-        words = self.high[block[:, None] * self.BLOCK + np.arange(self.BLOCK)]
-        words = words if one else ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        at = (upto <= rest[:, None]).sum(axis=1)
-        at = np.minimum(at, self.BLOCK - 1)
-        row = np.arange(len(number))
-        rest = rest - np.where(at > 0, upto[row, at - 1], 0)
-        word, bit = words[row, at], np.zeros(len(number), np.int64)
+        at = np.minimum(np.searchsorted(before, number.astype(before.dtype), side="right") - 1, len(self.high) - 1)
+        rest = number - before[at].astype(np.int64)
+        word, bit = self.high[at] if one else ~self.high[at], np.zeros(len(number), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             lower = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
             up = lower <= rest
-            rest, bit, word = np.where(up, rest - lower, rest), bit + np.where(up, half, 0), np.where(up, word >> np.uint64(half), word)
-        return (block * self.BLOCK + at) * 64 + bit
+            rest -= lower * up
+            bit += half * up
+            word = word >> (np.uint64(half) * up.astype(np.uint64))
+        return at * 64 + bit
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return ((self._select(at, True) - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
+    def _range(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where elements of each value's upper bits begin and end, and the value's lower bits."""
+        values = values.astype(np.uint64)
+        group = (values >> np.uint64(self.low_bits)).astype(np.int64)
+        start = np.where(group > 0, self._select(np.maximum(group - 1, 0), False) + 1, 0)
+        # The ones from there on are the group, up to the next zero; mostly that is near.
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63))
+        near = (self.high[word] >> shift) | np.where(shift > 0, after, np.uint64(0))
+        size = np.bitwise_count((near ^ (near + np.uint64(1))) >> np.uint64(1)).astype(np.int64)
+        left = start - group
+        right = left + size
+        if len(far := np.flatnonzero(size >= 63)):
+            right[far] = self._select(group[far], False) - group[far]
+        return left, np.minimum(right, self.n), values & np.uint64((1 << self.low_bits) - 1)
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each value's successor, where the elements of its upper bits end, and its lower bits."""
+        left, end, part = self._range(values)
+        right = end.copy()
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            middle = (left[open_] + right[open_]) >> 1
+            less = self._low(middle) < part[open_]
+            left[open_[less]] = middle[less] + 1
+            right[open_[~less]] = middle[~less]
+            open_ = open_[left[open_] < right[open_]]
+        return left, end, part
+
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Place of the first element that isn't less than each value; n if none is."""
+        return self._search(values)[0] if self.n and len(values) else np.zeros(len(values), np.int64)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Place of each value, -1 where it isn't an element: of its successor, if that has the same upper and lower bits."""
         if not self.n or not len(values):
-            return np.zeros(len(values), np.int64)
-        values = values.astype(np.uint64)
-        group, part = (values >> np.uint64(self.low_bits)).astype(np.int64), values & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(values), np.uint64)
-        left = np.where(group > 0, self._select(np.maximum(group - 1, 0), False) - group + 1, 0)
-        right = np.minimum(self._select(group, False) - group, self.n)
-        while (open_ := left < right).any():
-            middle = (left + right) // 2
-            less = self._low(np.minimum(middle, self.n - 1)) < part
-            left, right = np.where(open_ & less, middle + 1, left), np.where(open_ & ~less, middle, right)
-        return left
+            return np.full(len(values), -1, np.int64)
+        place, end, part = self._search(values)
+        at = np.flatnonzero(place < end)
+        found = np.full(len(values), -1, np.int64)
+        at = at[self._low(place[at]) == part[at]]
+        found[at] = place[at]
+        return found
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones]
@@ -198,9 +223,8 @@ class Vocabulary:
         for s in np.unique(shard):
             level, counts = self.levels[s]
             at = np.flatnonzero(shard == s)
-            place = level.successor(rest[at])
-            known = place < level.n
-            known[known] = level.get(place[known]) == rest[at][known]
+            place = level.find(rest[at])
+            known = place >= 0
             rank[at[known]], count[at[known]] = self.first[s] + place[known], counts[place[known]]
         return rank, count
 
@@ -260,71 +284,100 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
         yield int(now), [np.concatenate(c) for c in zip(*held)]
 
 
-def pair_levels(docs: DataFrame, folder: str, vocabulary: tuple, words: int, tokens: int, starts: int) -> tuple[list[str], int]:
-    """Files in order of shards, and the number of these. The start's rank is the number of words."""
-    shards = max(1, -(-tokens // SHARD_PAIRS))
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers byte by byte, so that equal upper bytes lie together and compress."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Vocabulary(*vocabulary)
-        for _, hashes, begin in chunks(batches, 0):
-            own, back = np.unique(hashes, return_inverse=True)
-            rank = levels.find(own)[0][back]
-            context = np.append(words, rank[:-1])
-            context[begin] = words
-            (c, w), n = counted([context.astype(np.uint64), rank.astype(np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(c, w, shards).astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(w.astype(np.int64)), pa.array(n.astype(np.int32))], ["shard", "context", "word", "n"])
 
-    def totals() -> Callable[[np.ndarray], np.ndarray]:
-        levels = Vocabulary(*vocabulary)
-        return lambda own: np.concatenate([levels_count(levels, own[own < words]), np.full(int((own == words).sum()), starts)])
+def unpacked(data: bytes, kinds: list[str], n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in map(np.dtype, kinds):
+        plain = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(plain.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
 
-    return written(docs.select("text").mapInArrow(count, "shard int, context long, word long, n int"), folder, "pairs", shards, words + 1, words, totals, True), shards
+PACKED = ["<u8", "<u4", "<u4"]
 
 
-def triple_levels(docs: DataFrame, folder: str, vocabulary: tuple, pair_files: list[str], words: int, tokens: int) -> list[str]:
-    """Files in order of shards. A context is a place in the pair levels."""
+def pair_levels(docs: DataFrame, folder: str, vocabulary: tuple, words: int, tokens: int, starts: int, order: int) -> list[str]:
+    """Files in order of shards, with triples where order is above 2. The start's rank is the number of words, which as next word means none."""
     shards = max(1, -(-tokens // SHARD_PAIRS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, pairs = Vocabulary(*vocabulary), Pairs(pair_files)
+        levels = Vocabulary(*vocabulary)
         for _, hashes, begin in chunks(batches, 0):
             own, back = np.unique(hashes, return_inverse=True)
             rank = levels.find(own)[0][back]
-            context = np.append(words, rank[:-1])
-            context[begin] = words
-            place = pairs.places(context, rank, words)
-            inner = np.ones(len(rank), bool)
-            inner[begin] = False
-            at = np.flatnonzero(inner)
-            (c, w), n = counted([place[at - 1].astype(np.uint64), rank[at].astype(np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(c, w, shards).astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(w.astype(np.int64)), pa.array(n.astype(np.int32))], ["shard", "context", "word", "n"])
+            context, following = np.append(words, rank[:-1]), np.append(rank[1:], words)
+            context[begin] = following[begin - 1] = words
+            if order < 3:
+                following[:] = words
+            pair = _pair(context, rank, words)
+            (pair, following), n = counted([pair, following.astype(np.uint64)])
+            shard = _shard(pair, shards)
+            at = np.argsort(shard, kind="stable")
+            shard, pair, following, n = shard[at], pair[at], following[at].astype("<u4"), n[at].astype("<u4")
+            edge = np.append(np.append(0, np.flatnonzero(np.diff(shard)) + 1), len(shard))
+            rows = [packed([x[a:b] for x in (pair, following, n)]) for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[edge[:-1]].astype(np.int32)), pa.array(np.diff(edge)), pa.array(rows, pa.binary())], ["shard", "n", "rows"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Vocabulary(*vocabulary)
+        for shard, (pair, following, n) in merged_shards(batches):
+            edge = np.append(0, np.flatnonzero(np.diff(pair)) + 1)
+            sums, pairs = np.add.reduceat(n, edge), pair[edge]
+            context, word = (pairs // np.uint64(words + 1)).astype(np.int64), pairs % np.uint64(words + 1)
+            first = np.append(0, np.flatnonzero(np.diff(context)) + 1)
+            own = context[first]
+            total = np.concatenate([levels_count(levels, own[own < words]), np.full(int((own == words).sum()), starts)])
+            number = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(pairs))))
+            arrays = [*EliasFano.build(own, words + 1).arrays(), *EliasFano.build(np.append(first, len(pairs)), len(pairs) + 1).arrays()]
+            arrays += [*EliasFano.build(number.astype(np.uint64) * np.uint64(words) + word, len(own) * words).arrays(), coded(-np.log10(sums / (total[number] + MU)))]
+            if order > 2:
+                inner = following < words
+                of = np.repeat(np.arange(len(pairs)), np.diff(np.append(edge, len(pair))))[inner]
+                begins = np.append(0, np.cumsum(np.bincount(of, minlength=len(pairs))))
+                arrays += [coded(np.log10((sums + MU) / MU)), *EliasFano.build(begins, int(inner.sum()) + 1).arrays()]
+                arrays += [*EliasFano.build(of.astype(np.uint64) * np.uint64(words) + following[inner], len(pairs) * words).arrays(), coded(-np.log10(n[inner] / (sums[of] + MU)))]
+            path = f"{folder}/pairs-{shard:06d}-{uuid.uuid4().hex}"
+            save(path, arrays)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], ["shard", "path"])
 
-    def totals() -> Callable[[np.ndarray], np.ndarray]:
-        return Pairs(pair_files).count
+    packs = docs.select("text").mapInArrow(count, "shard int, n long, rows binary")
+    dealt = packs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+    files = {r["shard"]: r["path"] for r in cut(dealt.mapInArrow(write, "shard int, path string"), "pair-files").collect()}
+    return [files.get(s, "") for s in range(shards)]
 
-    return written(docs.select("text").mapInArrow(count, "shard int, context long, word long, n int"), folder, "triples", shards, tokens + 1, words, totals, False)
 
+#: Rows of one shard that are held before equal ones are added up.
+HELD = 1 << 23
 
-def written(counts: DataFrame, folder: str, name: str, shards: int, bound: int, words: int, totals: Callable, keeps: bool) -> list[str]:
-    """Files of a level in order of shards. totals() gives the counts of contexts, in ascending order; keeps: whether its own counts are kept."""
-    dealt = counts.repartition(shards, "shard").groupBy("shard", "context", "word").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "context", "word")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total_of = totals()
-        for shard, (context, word, n) in by_shard(batches):
-            edge = np.append(0, np.flatnonzero(np.diff(context)) + 1)
-            own = context[edge]
-            total = total_of(own)
-            number = np.repeat(np.arange(len(own)), np.diff(np.append(edge, len(context))))
-            level = -np.log10(n / (total[number] + MU))
-            path = f"{folder}/{name}-{shard:06d}-{uuid.uuid4().hex}"
-            contexts, pointers = EliasFano.build(own, bound), EliasFano.build(np.append(edge, len(context)), len(context) + 1)
-            nexts = EliasFano.build(number.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), len(own) * words)
-            save(path, [*contexts.arrays(), *pointers.arrays(), *nexts.arrays(), coded(level), *([n.astype(np.min_scalar_type(n.max()))] if keeps else [])])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path])], ["shard", "path"])
+def merged_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of each shard, whose packs follow each other, the distinct pairs and next words in order, and their counts."""
 
-    files = {r["shard"]: r["path"] for r in cut(dealt.mapInArrow(write, "shard int, path string"), f"{name}-files").collect()}
-    return [files.get(s, "") for s in range(shards)]
+    def added(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        pair, following, n = (np.concatenate(c) for c in zip(*held))
+        at = np.lexsort((following, pair))
+        pair, following, n = pair[at], following[at], n[at].astype(np.int64)
+        edge = np.append(0, np.flatnonzero((np.diff(pair) != 0) | (np.diff(following) != 0)) + 1)
+        return [pair[edge], following[edge], np.add.reduceat(n, edge)]
+
+    held, size, now = [], 0, None
+    for batch in batches:
+        for shard, n, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if held and (shard != now or size > HELD):
+                sums = added(held)
+                if shard != now:
+                    yield now, sums
+                held, size = ([sums], len(sums[0]) // 2) if shard == now else ([], 0)
+            now = shard
+            held.append(unpacked(rows.as_py(), PACKED, n))
+            size += n
+    if held:
+        yield now, added(held)
 
 
 def coded(level: np.ndarray) -> np.ndarray:
@@ -343,71 +396,66 @@ def levels_count(levels: Vocabulary, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    return mix64(context.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + word.astype(np.uint64)) % np.uint64(shards)
+def _pair(context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    return context.astype(np.uint64) * np.uint64(words + 1) + word.astype(np.uint64)
+
+
+def _shard(pair: np.ndarray, shards: int) -> np.ndarray:
+    found = mix64(pair * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(shards)
+    return found.astype(np.uint16 if shards <= 1 << 16 else np.uint32)
 
 
 class Pairs:
-    """All pair levels, or all triple levels, where context is a pair's place."""
+    """All pair levels and the triples in them; a file is opened when it is first asked."""
 
     def __init__(self, files: list[str]):
-        self.levels = []
-        for path in files:
-            a = load(path) if path else None
-            self.levels.append(a and (EliasFano.of(a[:4]), EliasFano.of(a[4:8]), EliasFano.of(a[8:12]), a[12], a[13] if len(a) > 13 else None))
-        self.first = np.append(0, np.cumsum([level[2].n if level else 0 for level in self.levels]))
-
-    def places(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-        """Place of each over all levels; -1 where it wasn't seen."""
-        out = np.full(len(word), -1, np.int64)
-        shard = _shard(context, word, len(self.levels)).astype(np.int64)
-        shard[(context < 0) | (word < 0)] = -1
+        self.files, self.levels = files, [None] * len(files)
+
+    def _level(self, s: int) -> tuple | None:
+        if self.levels[s] is None and self.files[s]:
+            a = load(self.files[s])
+            triples = (a[13], EliasFano.of(a[14:18]), EliasFano.of(a[18:22]), a[22]) if len(a) > 13 else None
+            self.levels[s] = EliasFano.of(a[:4]), EliasFano.of(a[4:8]), EliasFano.of(a[8:12]), a[12], triples
+        return self.levels[s]
+
+    def look(self, context: np.ndarray, word: np.ndarray, following: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the pair's own share of its probability and of the triple's with the following word, -inf where they weren't
+        seen, and log10 of (pair's count + MU) / MU."""
+        share, triple, count = np.full(len(word), -np.inf), np.full(len(word), -np.inf), np.zeros(len(word))
+        shard = _shard(_pair(np.maximum(context, 0), np.maximum(word, 0), words), len(self.files))
         order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(len(self.levels) + 1))
-        for s, level in enumerate(self.levels):
+        order = order[(context[order] >= 0) & (word[order] >= 0)]
+        edge = np.searchsorted(shard[order], np.arange(len(self.files) + 1))
+        for s in range(len(self.files)):
             at = order[edge[s] : edge[s + 1]]
-            if not level or not len(at):
+            if not len(at) or not (level := self._level(s)):
                 continue
-            contexts, pointers, nexts = level[:3]
-            number = contexts.successor(context[at])
-            known = number < contexts.n
-            known[known] = contexts.get(number[known]) == context[at][known].astype(np.uint64)
-            at, number = at[known], number[known]
-            sought = number.astype(np.uint64) * np.uint64(words) + word[at].astype(np.uint64)
-            place, end = nexts.successor(sought), pointers.get(number + 1).astype(np.int64)
-            known = place < end
-            known[known] = nexts.get(place[known]) == sought[known]
-            out[at[known]] = self.first[s] + place[known]
-        return out
-
-    def _at(self, place: np.ndarray, column: int, out: np.ndarray) -> np.ndarray:
-        """What a column of the levels has at the places; out as it is where a place is -1."""
-        shard = np.where(place < 0, -1, np.searchsorted(self.first, place, side="right") - 1)
-        order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(len(self.levels) + 1))
-        for s, level in enumerate(self.levels):
-            at = order[edge[s] : edge[s + 1]]
-            if len(at):
-                out[at] = level[column][place[at] - self.first[s]]
-        return out
-
-    def share(self, place: np.ndarray) -> np.ndarray:
-        """Quantised log10 of each one's own share of its probability; -inf where it wasn't seen."""
-        return -STEP * self._at(place, 3, np.full(len(place), np.inf))
-
-    def count(self, place: np.ndarray) -> np.ndarray:
-        return self._at(place, 4, np.zeros(len(place), np.int64))
+            contexts, pointers, nexts, codes, triples = level
+            number = contexts.find(context[at])
+            at, number = at[number >= 0], number[number >= 0]
+            place = nexts.find(number.astype(np.uint64) * np.uint64(words) + word[at].astype(np.uint64))
+            at, number, place = at[place >= 0], number[place >= 0], place[place >= 0]
+            share[at] = -STEP * codes[place]
+            if triples is None:
+                continue
+            counts, begins, after, shares = triples
+            count[at] = STEP * counts[place]
+            inner = following[at] >= 0
+            at, place = at[inner], place[inner]
+            # Most pairs have few next words: where a pair has none, nothing is sought.
+            found = after.find(place.astype(np.uint64) * np.uint64(words) + following[at].astype(np.uint64))
+            triple[at[found >= 0]] = -STEP * shares[found[found >= 0]]
+        return share, triple, count
 
     def find(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-        return self.share(self.places(context, word, words))
+        return self.look(context, word, np.full(len(word), -1), words)[0]
 
 
 def train(docs: DataFrame, folder: str, order: int = 2) -> dict:
     """The model's files and numbers, small and of one entry for each file."""
     files, bits, words, tokens, starts = word_levels(docs, folder)
-    pairs = pair_levels(docs, folder, (files, bits), words, tokens, starts)[0]
-    triples = triple_levels(docs, folder, (files, bits), pairs, words, tokens) if order > 2 else []
-    return {"vocabulary": (files, bits), "pairs": pairs, "triples": triples, "words": words, "tokens": tokens, "starts": starts}
+    pairs = pair_levels(docs, folder, (files, bits), words, tokens, starts, order)
+    return {"vocabulary": (files, bits), "pairs": pairs, "words": words, "tokens": tokens, "starts": starts}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -416,20 +464,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     words, tokens = model["words"], model["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs, triples = Vocabulary(*model["vocabulary"]), Pairs(model["pairs"]), Pairs(model["triples"])
+        vocabulary, pairs = Vocabulary(*model["vocabulary"]), Pairs(model["pairs"])
         for part, hashes, begin in chunks(batches, 2):
             own, back = np.unique(hashes, return_inverse=True)
             rank, count = (x[back] for x in vocabulary.find(own))
             base = (count + 1) / (tokens + words + 1)
-            context, seen = np.append(words, rank[:-1]), np.append(0, count[:-1])
-            context[begin], seen[begin] = words, model["starts"]
-            _, first, back = np.unique(mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64)), return_index=True, return_inverse=True)
-            place = pairs.places(context[first], rank[first], words)
-            full = np.minimum(1.0, 10.0 ** pairs.share(place)[back] + MU / (seen + MU) * base)
-            if triples.levels:
-                before, twice = np.append(-1, place[back][:-1]), np.append(0, pairs.count(place)[back][:-1])
-                before[begin], twice[begin] = -1, 0
-                full = np.minimum(1.0, 10.0 ** triples.find(before, rank, words) + MU / (twice + MU) * full)
+            context, seen, following = np.append(words, rank[:-1]), np.append(0, count[:-1]), np.append(rank[1:], -1)
+            context[begin], seen[begin], following[begin - 1] = words, model["starts"], -1
+            share, triple, times = pairs.look(context, rank, following, words)
+            pair = 10.0**share + MU / (seen + MU) * base
+            # What a pair says of its next word belongs to the token after it; a text's first has none.
+            triple, times = np.append(-np.inf, triple[:-1]), np.append(0.0, times[:-1])
+            triple[begin], times[begin] = -np.inf, 0.0
+            full = np.minimum(1.0, 10.0**triple + 10.0**-times * np.minimum(1.0, pair))
             sums = lambda x: np.add.reduceat(x, begin)
             n = np.diff(np.append(begin, len(hashes)))
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n, pa.int64()), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(len(n), tokens), pa.int64()), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(full)))], names)
