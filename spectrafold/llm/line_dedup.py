@@ -229,7 +229,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     each = split_lines(rows)
     once = each.groupBy("digest").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     # Written before it is used, so the numbers stay.
-    lines = cut(once.select(F.monotonically_increasing_id().alias("node"), "digest", "line", F.length("line").alias("chars"), "n"), "lines")
+    lines = cut(once.select(F.monotonically_increasing_id().alias("node"), "digest", "line", F.length("line").alias("chars"), "n"), "lines", "zstd")
     labels = classes(lines.select("node", "line", "chars"), edits)
     # Only lines that are repeated, or linked to others, can lose an occurrence.
     shared = lines.select("node", "digest", "n").join(labels, "node", "left").where("n > 1 or label is not null").select("digest", F.coalesce("label", "node").alias("label"))
