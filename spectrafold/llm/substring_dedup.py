@@ -9,11 +9,12 @@ stretches that differ under one seed, one copy of each is told apart window by w
 block knows of every window whether it also starts elsewhere and at which place first.
 
 A document is then parsed greedily: from a word where a repeated window starts, the factor grows as
-long as the windows go on at the same source, and the next one is sought from its end. Windows
-across the end of a factor are in the index too, so a span of two sources leaves no gap. The
-union is what is removed: each word that a window found elsewhere covers.
+long as the windows go on at the same source, and the next one is sought from its end. Each factor is WINDOW words at
+least and becomes a duplicate span. At its end the index is asked for windows that begin in the factor and reach beyond it,
+as they may be found at another source: what they cover is added to the span, so one of two sources leaves no gap.
+What the spans cover is removed.
 
-Windows are told apart by 128 bits, their seed's hash and their own.
+Windows are told apart by 128 bits, their seed's hash and their own; both are made of the same 64-bit hashes of words.
 
 Defined results: a null, empty or blank text has no words and keeps the empty text; fewer than
 WINDOW words keep all; repeated rows count as separate places, so all are removed where long enough;
@@ -123,7 +124,7 @@ def repeated_windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def greedy(runs: np.ndarray, window: int) -> tuple[list[dict], list[dict]]:
-    """Factors of the greedy parse and the covered spans. runs: rows of start, windows, source id, key and start, by start.
+    """Factors of the greedy parse and the duplicate spans that they make. runs: rows of start, windows, source id, key and start, by start.
 
     Stretches follow each other without a gap, so runs that go on at the same source are one.
     """
@@ -131,18 +132,23 @@ def greedy(runs: np.ndarray, window: int) -> tuple[list[dict], list[dict]]:
     goes_on = (start[1:] == start[:-1] + n[:-1]) & (runs[1:, 2] == runs[:-1, 2]) & (runs[1:, 3] == runs[:-1, 3]) & (at[1:] == at[:-1] + n[:-1])
     first = np.append(0, np.flatnonzero(~goes_on) + 1)
     last = np.append(first[1:] - 1, len(runs) - 1)
-    begin, end, factors, free = start[first], start[last] + n[last] - 1, [], 0
-    for k, i in enumerate(first):
-        if end[k] >= free:
-            skipped = max(0, free - int(begin[k]))
-            factors.append({"start": int(begin[k]) + skipped, "length": int(end[k] - begin[k]) - skipped + window, "source_id": int(runs[i, 2]), "source_start": int(at[i]) + skipped})
-            free = factors[-1]["start"] + factors[-1]["length"]
-    spans = []
-    for b, e in zip(begin.tolist(), end.tolist()):
-        if spans and b <= spans[-1]["end"]:
-            spans[-1]["end"] = e + window
+    factors, spans, free = [], [], 0
+
+    def duplicate(begin: int, end: int) -> None:
+        if spans and begin <= spans[-1]["end"]:
+            spans[-1]["end"] = max(end, spans[-1]["end"])
         else:
-            spans.append({"start": b, "end": e + window})
+            spans.append({"start": begin, "end": end})
+
+    for i, begin, final in zip(first, start[first].tolist(), (start[last] + n[last] - 1).tolist()):
+        if begin < free:
+            # At the boundary of the factor before: windows that begin in it.
+            duplicate(begin, min(final, free - 1) + window)
+        if final >= free:
+            skipped = max(0, free - begin)
+            factors.append({"start": begin + skipped, "length": final - begin - skipped + window, "source_id": int(runs[i, 2]), "source_start": int(at[i]) + skipped})
+            free = factors[-1]["start"] + factors[-1]["length"]
+            duplicate(factors[-1]["start"], free)
     return factors, spans
 
 
