@@ -66,7 +66,7 @@ def queue(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(by_source, "src")
-    within = Window.partitionBy("src", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("src", "part").orderBy("place", "doc_id", "size", "_key").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("so_far", F.sum("size").over(within)).join(parts, ["src", "part"]).withColumn("so_far", F.col("so_far") + F.col("before")).drop("before", "part")
 
 

@@ -201,4 +201,4 @@ def parse(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return parse(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce(F.size("factors"), F.lit(0)).cast("long").alias("n_factors"))
+    return parse(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

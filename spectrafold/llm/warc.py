@@ -298,4 +298,4 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     found = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark, "warc"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -52,3 +52,17 @@ def test_spans_come_from_factors_and_their_boundaries():
     apart = np.array([(0, 1, 1, 0, 0), (40, 5, 2, 0, 0)])
     factors, spans = substring_dedup.greedy(apart, 35)
     assert [f["source_id"] for f in factors] == [1, 2] and spans == [{"start": 0, "end": 35}, {"start": 40, "end": 79}]
+
+
+def test_mixing_against_sql(spark):
+    import duckdb
+
+    from spectrafold.llm.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    found = sorted(tuple(r) for r in QUERIES["op7_mixing"](spark, data).select(*columns).collect())
+    wanted = sorted(con.sql(ORACLES["op7_mixing"]).select(*columns).fetchall())
+    assert len(found) == len(wanted) and all(a[:3] == b[:3] and a[4] == b[4] and abs(a[3] - b[3]) < 1e-6 * b[3] + 1e-9 for a, b in zip(found, wanted))
