@@ -147,3 +147,27 @@ def correlation_bounds(n: Column, r: Column, z: float = 1.96) -> tuple[Column, C
 def shuffled_rank(rows: DataFrame, group: list[str], key: Column) -> DataFrame:
     """rank: a fixed permutation of each group's rows, by a hash of their key."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.md5(key.cast("string").cast("binary")), key)))
+
+
+def labels_along(labels: DataFrame, values: DataFrame, excluded: Column) -> DataFrame:
+    """Labels (.., y) repeated along the values of a dimension, 0 where excluded. The result has a row for each of both."""
+    return labels.crossJoin(values).withColumn("y", F.when(excluded, 0).otherwise(F.col("y")))
+
+
+def block_sub_problems(rows: DataFrame, block: str, y: str) -> DataFrame:
+    """One sub-problem a block: y in its own rows, 0 in all others. Blocks are few: their table is the distinct values."""
+    blocks = rows.select(F.col(block).alias("sub_problem")).distinct().where("sub_problem is not null")
+    return rows.crossJoin(blocks).withColumn(y, F.when(F.col(block).eqNullSafe(F.col("sub_problem")), F.col(y)).otherwise(0))
+
+
+def binned_labels(rows: DataFrame, along: str, width: int) -> DataFrame:
+    """mid and far of each bin: the median, and what is furthest from 0."""
+    keep = [c for c in rows.columns if c not in (along, "x")]
+    binned = rows.withColumn("bin", F.floor(F.col(along) / width))
+    return binned.groupBy(*keep, "bin").agg(F.median("x").alias("mid"), F.max_by("x", F.abs("x")).alias("far"))
+
+
+def with_universum(rows: DataFrame, label: str, positive: list, negative: list) -> DataFrame:
+    """y of the two sides, and all other labelled rows twice, once on either."""
+    one = F.when(F.col(label).isin(*positive), F.array(F.lit(1))).when(F.col(label).isin(*negative), F.array(F.lit(-1))).when(F.col(label).isNotNull(), F.array(F.lit(1), F.lit(-1)))
+    return rows.withColumn("y", F.explode(one))

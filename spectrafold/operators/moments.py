@@ -104,3 +104,23 @@ def signed_ranks(rows: DataFrame, group: list[str], difference: Column, order: l
     ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.abs("_d"), *order)))
     n = F.col("n").cast("double")
     return ranked.groupBy(*group).agg(F.abs(F.sum(F.signum("_d") * F.col("_r"))).alias("w"), F.count("*").alias("n")).withColumn("z", (F.col("w") - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 6))
+
+
+def lag_blocks(lagged: DataFrame, n: int) -> DataFrame:
+    """The block matrix of n lags of covariances by lag (lag from 0, i, j): lag_i, lag_j, i, j; below the diagonal i and j change places."""
+    places = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(n) for q in range(n)))
+    wide = lagged.withColumn("_b", F.explode(F.filter(places, lambda b: F.abs(b["p"] - b["q"]) == F.col("lag"))))
+    upper = F.col("_b.q") >= F.col("_b.p")
+    return wide.select(F.col("_b.p").alias("lag_i"), F.col("_b.q").alias("lag_j"), F.when(upper, F.col("i")).otherwise(F.col("j")).alias("i"), F.when(upper, F.col("j")).otherwise(F.col("i")).alias("j"), "x")
+
+
+def products_by_dimension(cube: DataFrame, dims: list[str], step: list[str]) -> DataFrame:
+    """dim, step, i, j, x: of each dimension named the sums of products over all others, per step."""
+    out = None
+    for dim in dims:
+        over = [c for c in cube.columns if c not in (dim, "x", *step)]
+        left = cube.select(*step, *over, F.col(dim).cast("string").alias("i"), F.col("x"))
+        right = cube.select(*step, *over, F.col(dim).cast("string").alias("j"), F.col("x").alias("_y"))
+        sums = left.join(right, [*step, *over]).groupBy(*step, "i", "j").agg(F.sum(F.col("x") * F.col("_y")).alias("x")).withColumn("dim", F.lit(dim))
+        out = sums if out is None else out.unionByName(sums)
+    return out

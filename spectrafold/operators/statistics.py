@@ -95,3 +95,21 @@ def clipped(cube: DataFrame, per: list[str], threshold: float = 2.75) -> DataFra
 
 def bin_averaged(cube: DataFrame, along: str, width: int) -> DataFrame:
     return cube.withColumn(along, F.floor(F.col(along) / width) * width).groupBy(*(c for c in cube.columns if c != "x")).agg(F.avg("x").alias("x"))
+
+
+def rereference_by(cube: DataFrame, keep: list[str], how: str) -> DataFrame:
+    """Less one of KINDS of the cells that agree in `keep`."""
+    return cube.withColumn("x", F.col("x") - KINDS[how](F.col("x")).over(Window.partitionBy(*keep)))
+
+
+def regressed_out(cube: DataFrame, artefact: str, dim: str = "ch", along: str = "time") -> DataFrame:
+    """The other channels less what they share with one: its cells times each series' least-squares weight, without offset.
+
+    Where the artefact has no cell, nothing is taken off.
+    """
+    step = [c for c in cube.columns if c not in (dim, along, "x")]
+    other = cube.where(F.col(dim) == artefact).select(*step, along, F.col("x").alias("_a"))
+    joined = cube.where(F.col(dim) != artefact).join(other, [*step, along], "left")
+    series = Window.partitionBy(dim, *step)
+    weight = F.try_divide(F.sum(F.col("x") * F.col("_a")).over(series), F.sum(F.col("_a") * F.col("_a")).over(series))
+    return joined.withColumn("x", F.col("x") - F.coalesce(weight * F.col("_a"), F.lit(0.0))).select(*cube.columns)

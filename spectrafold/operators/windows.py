@@ -91,3 +91,8 @@ def sample_rate(cube: DataFrame, along: str) -> DataFrame:
     keep = [c for c in cube.columns if c not in (along, "x")]
     t = F.col(along)
     return cube.groupBy(*keep).agg(F.try_divide(F.count(t) - 1, F.max(t) - F.min(t)).alias("x")).where("x is not null")
+
+
+def given_epochs(cube: DataFrame, spans: DataFrame, along: str) -> DataFrame:
+    """Cells within spans [lo, hi) that are given, each once for every span; spans are a short table, which is broadcast."""
+    return cube.join(F.broadcast(spans), (F.col(along) >= F.col("lo")) & (F.col(along) < F.col("hi"))).drop("lo", "hi")

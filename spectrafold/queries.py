@@ -245,9 +245,12 @@ def prototype_distances(spark, d):
     return rows.join(means, "feat").groupBy("epoch", "class").agg(F.round(F.sum(F.pow(F.col("x") - F.col("mu"), 2)), 5).alias("dist"))
 
 
-@query()
+_WELCH = "s AS (SELECT ch, epoch, min(time) AS lo, greatest(14, max(time) - min(time) + 1) AS n FROM cube GROUP BY 1, 2), w AS (SELECT ch, epoch, lo, unnest(range(0, greatest(0, n - 14) + 1, 7)) AS st FROM s), g AS (SELECT w.ch, w.epoch, st, i, coalesce(c.x, 0) AS x FROM w CROSS JOIN range(14) r(i) LEFT JOIN cube c ON c.ch = w.ch AND c.epoch = w.epoch AND c.time = w.lo + st + i), d AS (SELECT ch, epoch, st, i, (x - avg(x) OVER q - covar_pop(x, i) OVER q / 16.25 * (i - 6.5)) * (0.54 - 0.46 * cos(2 * pi() * i / 13)) AS y FROM g WINDOW q AS (PARTITION BY ch, epoch, st)), f AS (SELECT ch, epoch, st, k, sum(y * cos(2 * pi() * k * i / 14)) AS re, sum(y * sin(2 * pi() * k * i / 14)) AS im FROM d, range(8) o(k) GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"WITH {CUBE}, {_WELCH} SELECT ch, epoch, k / 14.0 AS freq, round(avg(2 * (re * re + im * im)) / (SELECT sum(power(0.54 - 0.46 * cos(2 * pi() * i / 13), 2)) FROM range(14) r(i)), 6) + 0 AS x FROM f GROUP BY 1, 2, 3")
 def welch_spectrum(spark, d):
-    return _rounded(welch(event_cube(spark, d), "time", 1.0, 14))
+    return welch(event_cube(spark, d), "time", 1.0, 14).withColumn("x", F.round("x", 6) + 0)
 
 
 LANDMARKS = f"{FEATURES}, z AS (SELECT label AS class, feat, avg(x) AS mu FROM feats GROUP BY 1, 2)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import decisions, fourier
 from .functions.predicates import found_at, nested_match, part_match
 from .operators import cells, moments, records, restructure, statistics, tensor
-from .queries import CUBE, FEATURES, ORACLES, QUERIES, _ordered_events, _rounded, query
+from .queries import CUBE, FEATURES, LANDMARKS, ORACLES, QUERIES, _class_means, _ordered_events, _rounded, query
 from .sources.cubes import event_cube, feature_rows
 
 #: The cube by day of the series, from its first, which is what transforms of 30 days take.
@@ -526,3 +526,163 @@ def made_cube(spark, d):
 
     side = F.when(F.col("epoch") % 2 == 0, 1).otherwise(-1)
     return _rounded(toy_cube(spark, 4, 100, 20, sine(10, 100) * (F.col("ch") + 1) * side + peak(40, 20)))
+
+
+# Labels along dimensions, epochs and references.
+
+
+@query(f"WITH {CUBE}, y AS (SELECT DISTINCT epoch, CASE WHEN epoch % 2 = 0 THEN 1 ELSE -1 END AS y FROM cube), t AS (SELECT DISTINCT time FROM cube) SELECT epoch, time, CASE WHEN time % 7 = 0 THEN 0 ELSE y END AS y FROM y, t")
+def labels_along_time(spark, d):
+    cube = event_cube(spark, d)
+    labels = cube.select("epoch").distinct().withColumn("y", F.when(F.col("epoch") % 2 == 0, 1).otherwise(-1))
+    return decisions.labels_along(labels, cube.select("time").distinct(), F.col("time") % 7 == 0)
+
+
+@query("SELECT vec_id, 'b' || CAST(k AS VARCHAR) AS sub_problem, CASE WHEN vec_id % 3 = k THEN CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END AS y FROM embeddings, range(3) s(k) WHERE label IS NOT NULL")
+def block_sub_problems(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("label is not null").select("vec_id", F.concat(F.lit("b"), F.col("vec_id") % 3).alias("block"), F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("y"))
+    return decisions.block_sub_problems(rows, "block", "y").select("vec_id", "sub_problem", "y")
+
+
+@query(f"WITH {SERIES}, b AS (SELECT ch, epoch, time // 7 AS bin, median(x) AS mid, arg_max(x, abs(x)) AS far FROM z GROUP BY 1, 2, 3) SELECT ch, epoch, CAST(bin AS BIGINT) AS bin, round(mid, 6) AS mid, round(far, 6) AS far FROM b")
+def label_bins(spark, d):
+    return _rounded(decisions.binned_labels(_series(spark, d), "time", 7).withColumn("bin", F.col("bin").cast("long")), "mid", "far")
+
+
+@query(f"WITH {CUBE}, e(name, lo, hi) AS (VALUES ('early', 19700, 19740), ('late', 19735, 19900)) SELECT name, ch, count(*) AS n, round(sum(x), 4) AS x FROM cube JOIN e ON time >= lo AND time < hi GROUP BY 1, 2")
+def given_epochs(spark, d):
+    from .operators.windows import given_epochs as cut
+
+    spans = spark.sql("SELECT * FROM VALUES ('early', 19700, 19740), ('late', 19735, 19900) AS t(name, lo, hi)")
+    return cut(event_cube(spark, d), spans, "time").groupBy("name", "ch").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"))
+
+
+@query(f"WITH {CUBE} SELECT ch, epoch, CAST(floor(time / 10.0) * 10 AS BIGINT) AS \"window\", count(*) AS n, round(sum(x * (0.54 - 0.46 * cos(2 * pi() * (time - floor(time / 10.0) * 10) / 9))), 5) AS x FROM cube GROUP BY 1, 2, 3")
+def tapered_windows(spark, d):
+    from .operators.windows import sliding
+
+    place = F.col("time") - F.col("window")
+    cut = sliding(event_cube(spark, d), "time", 10, 10).withColumn("x", F.col("x") * (0.54 - 0.46 * F.cos(2 * pi * place / 9)))
+    return cut.groupBy("ch", "epoch", F.col("window").cast("long").alias("window")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 5).alias("x"))
+
+
+@query(f"WITH {CUBE} SELECT ch, time, epoch, round(x - median(x) OVER (PARTITION BY time, epoch), 6) AS x FROM cube")
+def rereference_median(spark, d):
+    return _rounded(statistics.rereference_by(event_cube(spark, d), ["time", "epoch"], "median"))
+
+
+@query(f"WITH {CUBE}, r AS (SELECT time, epoch, x AS ref FROM cube WHERE ch = 'click') SELECT ch, time, epoch, round(x - coalesce(ref, 0), 6) AS x FROM cube LEFT JOIN r USING (time, epoch)")
+def rereference_named(spark, d):
+    return _rounded(statistics.rereference(event_cube(spark, d), "ch", F.col("ch") == "click"))
+
+
+_ARTEFACT = "a AS (SELECT time, epoch, x AS a FROM cube WHERE ch = 'error'), b AS (SELECT ch, epoch, sum(x * a) / nullif(sum(a * a), 0) AS b FROM cube JOIN a USING (time, epoch) WHERE ch <> 'error' GROUP BY 1, 2)"
+
+
+@query(f"WITH {CUBE}, {_ARTEFACT} SELECT ch, time, epoch, round(x - coalesce(b * a, 0), 5) AS x FROM cube LEFT JOIN a USING (time, epoch) LEFT JOIN b USING (ch, epoch) WHERE ch <> 'error'")
+def without_artefact(spark, d):
+    return statistics.regressed_out(event_cube(spark, d), "error").withColumn("x", F.round("x", 5))
+
+
+@query(f"WITH {CUBE}, w AS (SELECT ch, avg(abs(x)) / max(abs(x)) AS w FROM cube GROUP BY ch), s AS (SELECT time, epoch, sum(x * w) AS s FROM cube JOIN w USING (ch) GROUP BY 1, 2) SELECT epoch, round(avg(s * s), 4) AS x FROM s GROUP BY epoch")
+def filtered_power(spark, d):
+    cube = event_cube(spark, d)
+    weight = cube.groupBy("ch").agg((F.avg(F.abs("x")) / F.max(F.abs("x"))).alias("x"))
+    power = statistics.reduced(tensor.contract(cube, weight, ["ch"]), ["time"], "power")
+    return power.withColumn("x", F.round("x", 4))
+
+
+@query(f"WITH {CUBE}, c AS (SELECT a.ch AS i, b.ch AS j, sum(a.x * b.x) AS x FROM cube a JOIN cube b USING (time, epoch) GROUP BY 1, 2), w AS (SELECT ch, count(*) / 1000.0 AS w FROM cube GROUP BY ch) SELECT round(sum(x * CAST(a.w AS DOUBLE) * CAST(b.w AS DOUBLE)), 3) AS x FROM c JOIN w a ON a.ch = i JOIN w b ON b.ch = j")
+def quadratic_form(spark, d):
+    cube = event_cube(spark, d)
+    sums = tensor.contract(cube.withColumnRenamed("ch", "i"), cube.withColumnRenamed("ch", "j"), ["time", "epoch"])
+    weight = cube.groupBy("ch").agg((F.count("*") / 1000.0).alias("x"))
+    once = tensor.contract(sums, weight.withColumnRenamed("ch", "i"), ["i"])
+    return tensor.contract(once, weight.withColumnRenamed("ch", "j"), ["j"]).withColumn("x", F.round("x", 3))
+
+
+@query(f"WITH {CUBE}, g AS (SELECT CAST(k AS INT) AS lag, a.ch AS i, b.ch AS j, sum(a.x * b.x) AS x FROM (SELECT * FROM cube, (VALUES (0), (1), (2)) s(k)) a JOIN cube b ON a.epoch = b.epoch AND b.time = a.time + a.k GROUP BY 1, 2, 3) SELECT p AS lag_i, q AS lag_j, CASE WHEN q >= p THEN i ELSE j END AS i, CASE WHEN q >= p THEN j ELSE i END AS j, round(x, 4) AS x FROM (SELECT CAST(p AS INT) AS p, CAST(q AS INT) AS q FROM range(3) a(p), range(3) b(q)) t JOIN g ON lag = abs(p - q)")
+def lagged_blocks(spark, d):
+    from .operators.moments import lag_blocks, lagged_covariance
+
+    sums = lagged_covariance(event_cube(spark, d), [0, 1, 2]).groupBy("lag", "i", "j").agg(F.sum("x").alias("x"))
+    return lag_blocks(sums, 3).withColumn("x", F.round("x", 4))
+
+
+@query(f"WITH {CUBE} SELECT 'ch' AS dim, epoch, a.ch AS i, b.ch AS j, round(sum(a.x * b.x), 6) AS x FROM cube a JOIN cube b USING (epoch, time) GROUP BY 2, 3, 4 UNION ALL SELECT 'time', epoch, CAST(a.time AS VARCHAR), CAST(b.time AS VARCHAR), round(sum(a.x * b.x), 6) FROM cube a JOIN cube b USING (epoch, ch) WHERE abs(a.time - b.time) <= 1 GROUP BY 2, 3, 4")
+def covariance_by_dimension(spark, d):
+    cube = event_cube(spark, d)
+    over = moments.products_by_dimension(cube, ["ch", "time"], ["epoch"]).withColumn("x", F.round("x", 6))
+    # Times that are near each other, as far as the query is asked.
+    return over.where((F.col("dim") == "ch") | (F.abs(F.col("i").try_cast("long") - F.col("j").try_cast("long")) <= 1))
+
+
+@query(f"WITH {LANDMARKS} SELECT a.class AS class, b.class AS class2, round(sum(a.mu * b.mu), 6) AS x FROM z a JOIN z b USING (feat) GROUP BY 1, 2")
+def landmark_kernel(spark, d):
+    from .functions import kernels
+
+    means = _class_means(spark, d)
+    return _rounded(kernels.kernel(means, means.withColumnRenamed("class", "class2")))
+
+
+@query("SELECT vec_id, label, 1 AS y FROM embeddings WHERE label = 0 UNION ALL SELECT vec_id, label, -1 FROM embeddings WHERE label = 1 UNION ALL SELECT vec_id, label, s.y FROM embeddings, (VALUES (1), (-1)) s(y) WHERE label > 1")
+def universum(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label")
+    return decisions.with_universum(rows, "label", [0], [1]).select("vec_id", "label", "y")
+
+
+# Decompositions, held against what they must give.
+
+_IDENTITY = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS x FROM range({n}) a(i), range({n}) b(j)"
+
+
+def _small_vectors(spark, d):
+    from .queries import _vectors
+
+    return _vectors(spark, d).withColumn("v", F.slice(F.col("v").cast("array<double>"), 1, 8))
+
+
+def _moment_rows(rows):
+    wide = rows.select(F.posexplode("v").alias("i", "_a"), "v").select("i", "_a", F.posexplode("v").alias("j", "_b"))
+    return wide.groupBy("i", "j").agg((F.round(F.sum(F.col("_a") * F.col("_b")), 6) + 0).alias("x"))
+
+
+@query(_IDENTITY.format(n=8))
+def whitened_covariance(spark, d):
+    from .operators import spatial
+
+    rows = _small_vectors(spark, d).withColumn("all", F.lit(0))
+    weights = spatial.whitener(sum(spatial.second_moments(rows, "all", "v", 8).values()))
+    return _moment_rows(rows.select(spatial.project("v", weights).alias("v")))
+
+
+@query(_IDENTITY.format(n=4))
+def pattern_covariance(spark, d):
+    from .operators import spatial
+
+    rows = _small_vectors(spark, d)
+    sums = spatial.second_moments(rows, "side", "v", 8)
+    return _moment_rows(rows.select(spatial.project("v", spatial.common_patterns(sums[1], sums[0], 2)).alias("v")))
+
+
+_RIDGE = "r AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS y, vec_id % 5 AS fold FROM embeddings WHERE label IS NOT NULL), s AS (SELECT f.fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY 1), w AS (SELECT fold, (sxy - sx * sy / n) / (sxx - sx * sx / n + 1) AS b, sx / n AS mx, sy / n AS my FROM s), v AS (SELECT vec_id, r.fold, y, my + b * (x - mx) AS dv FROM r JOIN w USING (fold))"
+
+
+def _ridge_values(spark, d):
+    from .operators import spatial
+
+    rows = _small_vectors(spark, d).withColumn("v", F.slice("v", 1, 1))
+    weights = spatial.ridge_folds(rows, "fold", "v", "y", 1, 1.0)
+    return spatial.decision_values(rows, "fold", "v", weights)
+
+
+@query(f"WITH {_RIDGE} SELECT vec_id, CAST(fold AS BIGINT) AS fold, CAST(y AS DOUBLE) AS y, round(CAST(dv AS DOUBLE), 8) AS dv FROM v")
+def ridge_one_feature(spark, d):
+    return _ridge_values(spark, d).select("vec_id", "fold", "y", F.round("dv", 8).alias("dv"))
+
+
+@query(f"WITH {_RIDGE} SELECT CAST(fold AS BIGINT) AS fold, round(avg(CASE WHEN (dv > 0) = (y > 0) THEN 1.0 ELSE 0.0 END), 6) AS rate FROM v GROUP BY fold")
+def cross_validated_rate(spark, d):
+    from .functions.scores import binary_losses
+
+    return binary_losses(_ridge_values(spark, d), "y", "dv", ["fold"]).select("fold", F.round("rate", 6).alias("rate"))
