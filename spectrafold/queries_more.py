@@ -170,14 +170,14 @@ def _products(spark, d):
     return tensor.contract(cube.withColumnRenamed("time", "i"), cube.withColumnRenamed("time", "j"), ["ch", "epoch"])
 
 
-@query(f"WITH {CUBE}, {_PRODUCTS} SELECT i, j, round(x, 4) AS x FROM p WHERE j - i = 1")
+@query(f"WITH {CUBE}, {_PRODUCTS} SELECT i, j, round(x, 6) AS x FROM p WHERE j - i = 1")
 def first_diagonal(spark, d):
-    return cells.kth_diagonal(_products(spark, d), "i", "j", 1).withColumn("x", F.round("x", 4))
+    return cells.kth_diagonal(_products(spark, d), "i", "j", 1).withColumn("x", F.round("x", 6))
 
 
-@query(f"WITH {CUBE}, {_PRODUCTS} SELECT i, round(x, 4) AS x FROM p WHERE i = j")
+@query(f"WITH {CUBE}, {_PRODUCTS} SELECT i, round(x, 6) AS x FROM p WHERE i = j")
 def diagonal(spark, d):
-    return restructure.diagonal(_products(spark, d), "i", "j").withColumn("x", F.round("x", 4))
+    return restructure.diagonal(_products(spark, d), "i", "j").withColumn("x", F.round("x", 6))
 
 
 @query(f"WITH {CUBE} SELECT ch, CAST(time + epoch * 100000 AS BIGINT) AS time, round(x, 6) AS x FROM cube")
@@ -252,10 +252,10 @@ def _stimuli(spark, d):
     return _ordered_events(spark, d).where("value > 50").select(F.col("user_id").alias("epoch"), F.col("at").alias("time"), F.col("event_type").alias("code")).distinct()
 
 
-@query(f"WITH {CUBE}, {_STIMULI} SELECT ch, code, CAST(k AS INT) AS lag, round(sum(x * 0.5), 4) AS x, count(*) AS n FROM (SELECT epoch, d + k AS time, code, k FROM st, (VALUES (0), (1), (2)) s(k)) q JOIN cube USING (epoch, time) GROUP BY 1, 2, 3")
+@query(f"WITH {CUBE}, {_STIMULI} SELECT ch, code, CAST(k AS INT) AS lag, round(sum(x * 0.5), 6) AS x, count(*) AS n FROM (SELECT epoch, d + k AS time, code, k FROM st, (VALUES (0), (1), (2)) s(k)) q JOIN cube USING (epoch, time) GROUP BY 1, 2, 3")
 def cross_covariance(spark, d):
     found = moments.cross_covariance(event_cube(spark, d), _stimuli(spark, d).withColumn("w", F.lit(0.5)), [0, 1, 2])
-    return found.withColumn("x", F.round("x", 4))
+    return found.withColumn("x", F.round("x", 6))
 
 
 @query(f"WITH {CUBE}, {_STIMULI} SELECT ch, code, CAST(k AS INT) AS lag, round(avg(x), 6) AS x, count(*) AS n FROM (SELECT epoch, d + k AS time, code, k FROM st, (VALUES (0), (1), (2)) s(k)) q JOIN cube USING (epoch, time) GROUP BY 1, 2, 3")
@@ -549,12 +549,12 @@ def label_bins(spark, d):
     return _rounded(decisions.binned_labels(_series(spark, d), "time", 7).withColumn("bin", F.col("bin").cast("long")), "mid", "far")
 
 
-@query(f"WITH {CUBE}, e(name, lo, hi) AS (VALUES ('early', 19700, 19740), ('late', 19735, 19900)) SELECT name, ch, count(*) AS n, round(sum(x), 4) AS x FROM cube JOIN e ON time >= lo AND time < hi GROUP BY 1, 2")
+@query(f"WITH {CUBE}, e(name, lo, hi) AS (VALUES ('early', 19700, 19740), ('late', 19735, 19900)) SELECT name, ch, count(*) AS n, round(sum(x), 6) AS x FROM cube JOIN e ON time >= lo AND time < hi GROUP BY 1, 2")
 def given_epochs(spark, d):
     from .operators.windows import given_epochs as cut
 
     spans = spark.sql("SELECT * FROM VALUES ('early', 19700, 19740), ('late', 19735, 19900) AS t(name, lo, hi)")
-    return cut(event_cube(spark, d), spans, "time").groupBy("name", "ch").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"))
+    return cut(event_cube(spark, d), spans, "time").groupBy("name", "ch").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("x"))
 
 
 @query(f"WITH {CUBE} SELECT ch, epoch, CAST(floor(time / 10.0) * 10 AS BIGINT) AS \"window\", count(*) AS n, round(sum(x * (0.54 - 0.46 * cos(2 * pi() * (time - floor(time / 10.0) * 10) / 9))), 5) AS x FROM cube GROUP BY 1, 2, 3")
@@ -601,12 +601,12 @@ def quadratic_form(spark, d):
     return tensor.contract(once, weight.withColumnRenamed("ch", "j"), ["j"]).withColumn("x", F.round("x", 3))
 
 
-@query(f"WITH {CUBE}, g AS (SELECT CAST(k AS INT) AS lag, a.ch AS i, b.ch AS j, sum(a.x * b.x) AS x FROM (SELECT * FROM cube, (VALUES (0), (1), (2)) s(k)) a JOIN cube b ON a.epoch = b.epoch AND b.time = a.time + a.k GROUP BY 1, 2, 3) SELECT p AS lag_i, q AS lag_j, CASE WHEN q >= p THEN i ELSE j END AS i, CASE WHEN q >= p THEN j ELSE i END AS j, round(x, 4) AS x FROM (SELECT CAST(p AS INT) AS p, CAST(q AS INT) AS q FROM range(3) a(p), range(3) b(q)) t JOIN g ON lag = abs(p - q)")
+@query(f"WITH {CUBE}, g AS (SELECT CAST(k AS INT) AS lag, a.ch AS i, b.ch AS j, sum(a.x * b.x) AS x FROM (SELECT * FROM cube, (VALUES (0), (1), (2)) s(k)) a JOIN cube b ON a.epoch = b.epoch AND b.time = a.time + a.k GROUP BY 1, 2, 3) SELECT p AS lag_i, q AS lag_j, CASE WHEN q >= p THEN i ELSE j END AS i, CASE WHEN q >= p THEN j ELSE i END AS j, round(x, 6) AS x FROM (SELECT CAST(p AS INT) AS p, CAST(q AS INT) AS q FROM range(3) a(p), range(3) b(q)) t JOIN g ON lag = abs(p - q)")
 def lagged_blocks(spark, d):
     from .operators.moments import lag_blocks, lagged_covariance
 
     sums = lagged_covariance(event_cube(spark, d), [0, 1, 2]).groupBy("lag", "i", "j").agg(F.sum("x").alias("x"))
-    return lag_blocks(sums, 3).withColumn("x", F.round("x", 4))
+    return lag_blocks(sums, 3).withColumn("x", F.round("x", 6))
 
 
 @query(f"WITH {CUBE} SELECT 'ch' AS dim, epoch, a.ch AS i, b.ch AS j, round(sum(a.x * b.x), 6) AS x FROM cube a JOIN cube b USING (epoch, time) GROUP BY 2, 3, 4 UNION ALL SELECT 'time', epoch, CAST(a.time AS VARCHAR), CAST(b.time AS VARCHAR), round(sum(a.x * b.x), 6) FROM cube a JOIN cube b USING (epoch, ch) WHERE abs(a.time - b.time) <= 1 GROUP BY 2, 3, 4")
