@@ -11,9 +11,9 @@ A task names its file after itself and its attempt and returns the name with its
 table, is the manifest, so files of failed or repeated attempts are never read.
 
 A blank, or a single line break, before a word always begins a pre-token, and pieces don't reach across pre-tokens. So a
-text's ids are those of its parts, cut there, in a row. A bounded table remembers the parts' ids; those that are new are encoded
-together, as one text, and told apart by the bytes that each id stands for. Texts that hold one of the tokenizer's
-special strings go to the library whole.
+text's ids are those of its parts, cut there, in a row. A bounded table remembers the parts' ids. A new part of Latin letters, with
+ASCII punctuation after them or without, is two pre-tokens or one, which the library's model turns into ids; any other part
+goes through the whole tokenizer, and so do texts that hold one of the tokenizer's special strings.
 
 Defined results: a null text is the empty text, whose only id is the end; null doc_ids come first; repeated rows are
 separate documents beside each other; an empty table gives an empty manifest; other columns are not read.
@@ -43,66 +43,78 @@ END = 0
 FRAME_IDS = 1 << 18
 #: Parts of texts that a worker remembers, from task to task.
 REMEMBERED = 1_000_000
-#: Parts that are encoded together.
-TOGETHER = 2000
+#: Code points of a part that is remembered, at most.
+LONGEST = 64
 #: Ids of a file; the next one is begun beyond.
 FILE_IDS = 1 << 24
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Blanks and line breaks that begin no part, and blanks that do.
 BLANKS, PARTS = re.compile(r"[ \n](?:\s|\Z)"), re.compile(r" (?=\S)")
+LAST_LETTER = 0x24F
+#: Latin letters to LAST_LETTER, perhaps after a line break, and ASCII punctuation without the apostrophe, which begins short pre-tokens.
+LETTERS = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)?")
 #: doc_id, null mark, frame, first id in it, number of ids, their checksum.
 ENTRY = "<qBIIII"
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library, asked once for each part."""
+class Encoder(dict):
+    """Ids of texts by the tokenizers library, asked once for each part that is remembered.
+
+    Of a part, letters and the punctuation after them are pre-tokens of their own; the library's model is asked for each.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.whole = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # A byte-level token has one character for each byte.
-        vocabulary = self.whole.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.bytes_of[number] = len(token)
-        # Parts met of late, and those met before them.
-        self.known: dict[str, bytes] = {}
+        # How the library writes the bytes of each character that LETTERS and ENDS let through, a blank and a line break.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(1, LAST_LETTER + 1)}
+        self.model, self.end = self.whole.model, lru_cache(10_000)(self._pre_token)
+        # Parts met before those remembered of late.
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of parts, each after a blank or with its line break."""
-        whole = [p if p[0] == "\n" else " " + p for p in new]
-        ids = self._ids("".join(whole))
-        ends = np.cumsum([len(p.encode()) for p in whole])
-        last = 1 + np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
-        raw, at = ids.tobytes(), 0
-        for part, end in zip(new, (4 * last).tolist()):
-            self.known[part] = raw[at:end]
-            at = end
+    def _pre_token(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text.translate(self.written))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _new(self, part: str) -> bytes:
+        """The ids of a part after a blank, or with its line break."""
+        plain = LETTERS.fullmatch(part)
+        if not plain:
+            return self._ids(part if part[0] == "\n" else " " + part)
+        letters, end = plain.groups()
+        if end:
+            return self[letters] + self.end(end)
+        return self.end("\n") + self._pre_token(part[1:]) if part[0] == "\n" else self._pre_token(" " + part)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self._new(part)
+        if len(part) <= LONGEST:
+            if 2 * len(self) > REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, and the end."""
-        split = [None if any(s in text for s in self.special) else PARTS.split(text) if BLANKS.search(text) else text.replace("\n", " \n").split(" ") for text in texts]
-        met = set().union(*(parts[1:] for parts in split if parts))
-        if 2 * len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        new = met.difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update((p, self.old[p]) for p in again)
-        listed = [*new.difference(again)]
-        for at in range(0, len(listed), TOGETHER):
-            self._learn(listed[at : at + TOGETHER])
-        for text, parts in zip(texts, split):
-            if parts is None:
-                yield np.append(self._ids(text), np.uint32(END)).astype("<u4")
+        end = struct.pack("<I", END)
+        for text in texts:
+            if any(s in text for s in self.special):
+                own = self._ids(text)
             else:
-                first = self._ids(parts[0]).tobytes() if parts[0] else b""
-                yield np.frombuffer(b"".join([first, *map(self.known.__getitem__, parts[1:]), struct.pack("<I", END)]), "<u4")
+                first, *parts = PARTS.split(text) if BLANKS.search(text) else text.replace("\n", " \n").split(" ")
+                own = b"".join([self._ids(first) if first else b"", *map(self.__getitem__, parts)])
+            yield np.frombuffer(own + end, "<u4")
 
 
 @lru_cache(1)
