@@ -217,19 +217,24 @@ def classes(lines: DataFrame, edits: int) -> DataFrame:
     return connected(first.unionByName(verified(cut(rest, "rivals"), texts, edits)))
 
 
+def digest() -> Column:
+    return F.unhex(F.md5(F.col("line").cast("binary")))
+
+
 def split_lines(rows: DataFrame) -> DataFrame:
     """_id, _key, none (null doc_id), at, line, digest of each line that has a word."""
     each = rows.select("_id", "_key", F.isnull("doc_id").alias("none"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary"))))
+    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("digest", digest())
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """_row, doc_id, n_lines (with a word), n_removed, kept (text) of each document."""
     rows = keyed(docs)
     each = split_lines(rows)
-    once = each.groupBy("digest").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    # By the line itself: a string among the aggregates would have every task sort its lines.
+    once = each.groupBy("line").agg(F.count("*").alias("n"))
     # Written before it is used, so the numbers stay.
-    lines = cut(once.select(F.monotonically_increasing_id().alias("node"), "digest", "line", F.length("line").alias("chars"), "n"), "lines", "zstd")
+    lines = cut(once.select(F.monotonically_increasing_id().alias("node"), digest().alias("digest"), "line", F.length("line").alias("chars"), "n"), "lines", "zstd")
     labels = classes(lines.select("node", "line", "chars"), edits)
     # Only lines that are repeated, or linked to others, can lose an occurrence.
     shared = lines.select("node", "digest", "n").join(labels, "node", "left").where("n > 1 or label is not null").select("digest", F.coalesce("label", "node").alias("label"))
