@@ -12,12 +12,13 @@ from .mixing import op7_mixing
 from .near_dedup import op6_near_dedup
 from .ngram_trie import op9_ngram_trie
 from .quality_rules import op2_quality_rules
+from .resampling import op11_resampling
 from .sharding import op5_sharding
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
 from .warc import op3_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files, op11_resampling)}
 
 #: The queue in SQL: all copies in order of their finish, cut where the budget ends. The decision list, components, cuts by
 #: binary search, files and the trie are held against brute force in tests/llm.
@@ -78,4 +79,23 @@ l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS latest FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INT), 1)), '') AS payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> latest THEN latest END AS refers_to FROM l
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRINGS, "op3_warc": CAPTURES, "op6_near_dedup": NEAR, "op7_mixing": MIXING, "op8_decontamination": LEAKS}
+#: Checksums of distinct runs byte by byte from a table of 256, counts of both corpora, gains, floors, and the draw by rank.
+RESAMPLING = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+v AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+f AS (SELECT row, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w),
+g AS (SELECT unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM v),
+t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+h AS (SELECT feature, hex(encode(feature)) AS digits FROM (SELECT feature FROM f UNION SELECT feature FROM g) q),
+k AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(digits) // 2), lambda i: CAST('0x' || substr(digits, CAST(1 + 2 * i AS INT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket FROM h, t),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN k USING (feature) GROUP BY 1),
+u AS (SELECT bucket, count(*) AS n FROM g JOIN k USING (feature) GROUP BY 1),
+p AS (SELECT b.bucket, CAST(floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM u) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN u USING (bucket)),
+m AS (SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN k USING (feature) JOIN p USING (bucket) GROUP BY 1),
+x AS (SELECT row, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight, (CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS unit FROM w LEFT JOIN m USING (row)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln(unit))) AS BIGINT) AS score FROM x),
+z AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS fit FROM y WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN rank <= 25 * fit // 100 THEN rank END AS BIGINT) AS rank FROM y LEFT JOIN z USING (row)
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRINGS, "op3_warc": CAPTURES, "op6_near_dedup": NEAR, "op7_mixing": MIXING, "op8_decontamination": LEAKS, "op11_resampling": RESAMPLING}
