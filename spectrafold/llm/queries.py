@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .language_id import op13_language_id
 from .line_dedup import op4_line_dedup
 from .mixing import op7_mixing
 from .near_dedup import op6_near_dedup
@@ -18,7 +19,7 @@ from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
 from .warc import op3_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files, op11_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files, op11_resampling, op13_language_id)}
 
 #: The queue in SQL: all copies in order of their finish, cut where the budget ends. The decision list, components, cuts by
 #: binary search, files and the trie are held against brute force in tests/llm.
