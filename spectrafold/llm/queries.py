@@ -17,9 +17,10 @@ from .resampling import op11_resampling
 from .sharding import op5_sharding
 from .substring_dedup import op1_substring_dedup
 from .token_files import op10_token_files
+from .token_alignment import op12_token_alignment
 from .warc import op3_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files, op11_resampling, op13_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_warc, op4_line_dedup, op5_sharding, op6_near_dedup, op7_mixing, op8_decontamination, op9_ngram_trie, op10_token_files, op11_resampling, op12_token_alignment, op13_language_id)}
 
 #: The queue in SQL: all copies in order of their finish, cut where the budget ends. The decision list, components, cuts by
 #: binary search, files and the trie are held against brute force in tests/llm.
