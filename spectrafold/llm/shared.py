@@ -38,11 +38,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder once and read it back, so lost executors cost no recomputation."""
+    """Write df to the shared folder once and read it back, so lost executors cost no recomputation.
+
+    What comes after reads the files, so the shuffle files that made them are removed.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    path, was = new_folder(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

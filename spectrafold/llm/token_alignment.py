@@ -37,7 +37,7 @@ from .shared import BROADCAST_BYTES, cut, slices, with_small
 #: Where a stretch may begin: before a blank or line break, between characters that are no white space, controls or unassigned.
 PATTERN = r"(?<=[^\s\p{Z}\p{C}])(?=[ \n][^\s\p{Z}\p{C}])"
 #: Bytes of the broadcast table of frequent stretches, at most, and of a row in it.
-HOT_BYTES, HOT_ROW = BROADCAST_BYTES, 160
+HOT_BYTES, HOT_ROW = 2 * BROADCAST_BYTES, 160
 BLANK_MARK = "▁"
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -129,13 +129,6 @@ def links(tokens: DataFrame) -> DataFrame:
     return met.select("number", "end", "a_ends", "b_ends", F.last("a", True).over(back).alias("a"), F.last("b", True).over(back).alias("b"), F.sum((F.col("a_ends") & F.col("b_ends")).cast("int")).over(back).alias("group"))
 
 
-def pair_counts(linked: DataFrame, weights: DataFrame) -> DataFrame:
-    """a, b, count (links of the corpus that hold them linked), best (no other id's link with b is counted higher)."""
-    pairs = cut(linked.join(weights, "number").groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
-    highest = pairs.groupBy("b").agg(F.max("count").alias("highest"))
-    return pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
-
-
 def _ids(side: str) -> Column:
     """The ids of the tokens that end in a group, in order, joined by commas."""
     own = F.sort_array(F.collect_list(F.when(F.col(f"{side}_ends"), F.struct("end", side))))
@@ -144,12 +137,17 @@ def _ids(side: str) -> Column:
 
 def aligned_stretches(tokens: DataFrame) -> DataFrame:
     """stretch, n, the sums of a stretch and its groups as text."""
-    linked = cut(links(tokens), "links", "zstd")
-    counted = with_small(linked, pair_counts(linked, tokens.select("number", "n")), ["a", "b"], 64)
-    groups = counted.repartition("number").groupBy("number", "group").agg(F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("ids"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("group"), F.col("ids"))), False), lambda g: g["ids"]), ";")
-    each = groups.groupBy("number").agg(ordered.alias("groups"), F.count("*").alias("n_groups"), *(F.sum(c).alias(c) for c in SUMS if c != "n_groups"))
-    return cut(tokens.select("number", "stretch", "n").join(each, "number").select("stretch", "n", *SUMS, "groups"), "stretches", "zstd")
+    groups = links(tokens).groupBy("number", "group").agg(F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("ids"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.collect_list(F.struct("a", "b")).alias("pairs"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "ids")), False), lambda g: g["ids"]), ";")
+    each = groups.groupBy("number").agg(ordered.alias("groups"), F.count("*").alias("n_groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+    linked = cut(tokens.select("number", "stretch", "n").join(each, "number"), "links", "zstd")
+    # How many of the corpus's links hold a pair, and whether no other id's links with b are more.
+    pairs = cut(linked.select("n", F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    highest = pairs.groupBy("b").agg(F.max("count").alias("highest"))
+    counts = pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
+    sums = with_small(linked.select("number", F.inline("pairs")), counts, ["a", "b"], 64).groupBy("number").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    whole = linked.withColumn("n_links", F.size("pairs").cast("long")).drop("pairs").join(sums, "number")
+    return cut(whole.select("stretch", "n", *SUMS, "groups"), "stretches", "zstd")
 
 
 def _frequent(stretches: DataFrame) -> Column:
