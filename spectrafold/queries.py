@@ -405,4 +405,4 @@ def cross_validated_losses(spark, d):
     return scores.binary_losses(ridge_decision_values(spark, d), "y", "dv", ["fold"])
 
 
-from . import queries_more  # noqa: E402, F401  registers its queries
+from . import queries_more, queries_signals  # noqa: E402, F401  register their queries
