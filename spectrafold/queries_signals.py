@@ -51,3 +51,39 @@ def running_values(spark, d):
     rows = _events(spark, d).select("user_id", "event_id", "ts", "value")
     sums = ordered.running_sums(rows, ["user_id"], ["ts", "event_id"], {"so_far": F.col("value")}, total=True)
     return _rounded(ordered.numbered(sums, ["user_id"], ["ts", "event_id"]), "so_far", "so_far_all").withColumns({c: F.round(c, 4) for c in ("so_far", "so_far_all")}).select("user_id", "event_id", "number", "so_far", "so_far_all")
+
+
+# Hours with events, of each type: a series of 1024 places, whose transform SQL takes term by term.
+
+_HOURS = "h AS (SELECT event_type AS ch, date_diff('hour', TIMESTAMP '2024-01-01', ts) % 1024 AS t, sum(value) AS x FROM events GROUP BY 1, 2)"
+_COEFFICIENTS = "c AS (SELECT ch, k, sum(x * cos(-2 * pi() * ((k * t) % 1024) / 1024)) AS re, sum(x * sin(-2 * pi() * ((k * t) % 1024) / 1024)) AS im FROM h, range({n}) r(k) GROUP BY 1, 2)"
+
+
+def _hours(spark, d):
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600) - 473352
+    return _events(spark, d).groupBy(F.col("event_type").alias("ch"), (hour % 1024).alias("t")).agg(F.sum("value").alias("x"))
+
+
+@query(f"WITH {_HOURS}, {_COEFFICIENTS.format(n=1024)} SELECT ch, CAST(k AS BIGINT) AS k, round(re, 4) + 0 AS re, round(im, 4) + 0 AS im FROM c")
+def long_transform(spark, d):
+    from .functions import long_fourier
+
+    return long_fourier.transform(_hours(spark, d), "t", 1024).select("ch", "k", *((F.round(c, 4) + 0).alias(c) for c in ("re", "im")))
+
+
+@query(f"WITH {_HOURS}, {_COEFFICIENTS.format(n=513)}, g AS (SELECT * FROM c WHERE k BETWEEN 10 AND 60 OR k = 512) SELECT ch, CAST(t AS BIGINT) AS t, round(sum(CASE WHEN k = 512 THEN 0.5 ELSE 2 END * (re * cos(2 * pi() * ((k * t) % 1024) / 1024) - im * sin(2 * pi() * ((k * t) % 1024) / 1024))) / 1024, 5) + 0 AS x FROM g, range(1024) r(t) GROUP BY 1, 2")
+def long_filtered(spark, d):
+    from .functions import long_fourier
+
+    gain = F.when(F.col("k").between(10, 60), 1.0).when(F.col("k") == 512, 0.5).otherwise(0.0)
+    return long_fourier.filtered(_hours(spark, d), "t", 1024, gain).select("ch", "t", (F.round("x", 5) + 0).alias("x"))
+
+
+@query(f"WITH {_HOURS} SELECT ch, CAST(s.t AS BIGINT) AS t, round(coalesce(x, 0), 5) + 0 AS x FROM (SELECT * FROM (SELECT DISTINCT ch FROM h) q, range(1021) r(t)) s LEFT JOIN (SELECT ch, t % 1021 AS t, sum(x) AS x FROM h GROUP BY 1, 2) m USING (ch, t)")
+def chirped_there_and_back(spark, d):
+    # 1021 is prime: by chirps, and back it must be the series.
+    from .functions import long_fourier
+
+    cells = _hours(spark, d).withColumn("t", F.col("t") % 1021)
+    there = long_fourier.transform(cells, "t", 1021, 512)
+    return long_fourier.inverse(there, "t", 1021, 512).select("ch", "t", (F.round("re", 5) + 0).alias("x"))
