@@ -190,11 +190,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = PATTE
     # Texts are dealt by row before they are exploded, so what is looked up stays where it is.
     near = exploded(rows.repartition("row")).join(F.broadcast(hot), "stretch").groupBy("row").agg(F.collect_list(part).alias("parts"), *sums)
     rest = exploded(rows).join(F.broadcast(hot.select("stretch")), "stretch", "left_anti").join(cold, "stretch").groupBy("row").agg(F.collect_list(part).alias("more"), *(F.sum(c).alias(f"{c}_more") for c in SUMS))
-    both = near.join(rest, "row", "full")
     none = F.array().cast("array<struct<place:int,groups:string>>")
     whole = F.sort_array(F.concat(F.coalesce("parts", none), F.coalesce("more", none)))
-    made = both.select("row", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_more", F.lit(0))).alias(c) for c in SUMS), F.array_join(F.transform(whole, lambda x: x["groups"]), ";").alias("groups"))
-    return rows.select("row", "doc_id").join(made, "row", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMS), F.coalesce("groups", F.lit("")).alias("groups"))
+    # Left joins keep the rows where they are; parts of texts are never dealt again.
+    both = rows.select("row", "doc_id").join(near, "row", "left").join(rest, "row", "left")
+    return both.select("doc_id", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_more", F.lit(0))).cast("long").alias(c) for c in SUMS), F.array_join(F.transform(whole, lambda x: x["groups"]), ";").alias("groups"))
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
