@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import recursive
-from .queries import _rounded, query
+from .queries import ORACLES, QUERIES, _rounded, query
 
 
 def _events(spark, d):
@@ -87,3 +87,73 @@ def chirped_there_and_back(spark, d):
     cells = _hours(spark, d).withColumn("t", F.col("t") % 1021)
     there = long_fourier.transform(cells, "t", 1021, 512)
     return long_fourier.inverse(there, "t", 1021, 512).select("ch", "t", (F.round("re", 5) + 0).alias("x"))
+
+
+# Responses: days of a user are a series, its purchases and errors stimuli; two lags of one code have a closed form.
+
+_DAYS = "v AS (SELECT event_type AS ch, user_id AS epoch, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS time, sum(value) AS x FROM events GROUP BY 1, 2, 3), u AS (SELECT user_id AS epoch, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS time, count(*)::DOUBLE AS w FROM events WHERE event_type = 'error' GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {_DAYS}, hi AS (SELECT epoch, max(time) AS hi FROM v GROUP BY 1), g AS (SELECT sum(w * w) AS g00, sum(CASE WHEN time + 1 <= hi THEN w * w ELSE 0 END) AS g11 FROM u JOIN hi USING (epoch)), p AS (SELECT sum(a.w * b.w) AS g01 FROM u a JOIN u b ON a.epoch = b.epoch AND b.time = a.time + 1), "
+    "c AS (SELECT ch, sum(CASE WHEN v.time = u.time THEN x * w ELSE 0 END) AS c0, sum(CASE WHEN v.time = u.time + 1 THEN x * w ELSE 0 END) AS c1 FROM v JOIN u ON u.epoch = v.epoch AND v.time - u.time IN (0, 1) GROUP BY ch) "
+    "SELECT ch, CAST(l AS INT) AS lag, round(CASE l WHEN 0 THEN (g11 * c0 - g01 * c1) ELSE (g00 * c1 - g01 * c0) END / (g00 * g11 - g01 * g01), 6) + 0 AS x FROM c, g, p, range(2) r(l)"
+)
+def deconvolved(spark, d):
+    from .operators import responses
+
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    events = _events(spark, d).select(F.col("event_type").alias("ch"), F.col("user_id").alias("epoch"), day.alias("time"), "value")
+    cube = events.groupBy("ch", "epoch", "time").agg(F.sum("value").alias("x"))
+    stimuli = events.where("ch = 'error'").groupBy("epoch", "time").agg(F.count("*").cast("double").alias("w")).withColumn("code", F.lit(1))
+    return responses.deconvolved(cube, stimuli, ["epoch"], 2).select("ch", "lag", (F.round("x", 6) + 0).alias("x"))
+
+
+_TIMED = "e AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t FROM events)"
+_BLOCKS = "m AS (SELECT *, lead(t) OVER w AS nt, lead(event_type) OVER w AS ny FROM e WHERE event_type IN ('purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), b AS (SELECT user_id, t AS lo, nt AS hi, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS block FROM m WHERE event_type = 'purchase' AND ny = 'error')"
+
+
+def _timed(spark, d):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _events(spark, d).select("user_id", "event_id", "event_type", "value", t.alias("t"))
+
+
+@query(f"WITH {_TIMED}, {_BLOCKS} SELECT user_id, CAST(block AS INT) AS block, round(lo, 3) AS lo, round(hi, 3) AS hi FROM b")
+def block_spans(spark, d):
+    from .operators import blocks
+
+    return _rounded(blocks.spans_between(_timed(spark, d), "user_id", "t", "event_id", F.col("event_type") == "purchase", F.col("event_type") == "error"), "lo", "hi").withColumns({c: F.round(c, 3) for c in ("lo", "hi")})
+
+
+@query(f"WITH {_TIMED}, {_BLOCKS}, s AS (SELECT b.user_id, block, e.t AS start, row_number() OVER (PARTITION BY b.user_id, block ORDER BY e.t, e.event_id) AS epoch FROM b JOIN e ON e.user_id = b.user_id AND e.t BETWEEN lo AND hi WHERE e.event_type = 'click') SELECT s.user_id, e.event_id, e.event_type, e.value, CAST(s.block AS INT) AS block, CAST(s.epoch AS INT) AS epoch, round(e.t - start, 3) + 0 AS off FROM s JOIN e ON e.user_id = s.user_id AND e.t BETWEEN start - 3600 AND start + 86400")
+def block_epochs(spark, d):
+    from .operators import blocks
+
+    kind = F.col("event_type")
+    rows = _timed(spark, d)
+    found = blocks.block_epochs(rows.select("user_id", "event_id", "event_type", "t"), rows, "user_id", "t", "event_id", kind == "purchase", kind == "error", kind == "click", (-3600.0, 86400.0))
+    return found.select("user_id", "event_id", "event_type", "value", "block", "epoch", (F.round("offset", 3) + 0).alias("off"))
+
+
+@query(f"WITH {_TIMED}, k AS (SELECT user_id, t AS start, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY t, value) AS i FROM e WHERE event_type = 'view'), a AS (SELECT *, (i - 1) // 2 + 1 AS n FROM k WHERE (i - 1) % 2 = 0), g AS (SELECT max(d) AS longer FROM (SELECT lead(start) OVER (PARTITION BY user_id ORDER BY start, y) - start AS d FROM a) q) SELECT e.user_id, e.event_id, CAST(n AS INT) AS subepoch, y, round(e.t - start - 60, 3) + 0 AS off FROM a JOIN e ON e.user_id = a.user_id, g WHERE e.t >= start + 60 AND e.t < start + longer + 7200 + 120")
+def sequence_epochs(spark, d):
+    from .operators import blocks
+
+    rows = _timed(spark, d)
+    stimuli = rows.where("event_type = 'view'").select("user_id", "t", F.col("value").alias("y"))
+    found = blocks.sequence_epochs(rows.select("user_id", "event_id", "t"), stimuli, "user_id", "t", 7200.0, 2, (60.0, 120.0))
+    return found.select("user_id", "event_id", "subepoch", "y", (F.round("offset", 3) + 0).alias("off"))
+
+
+_CHANGED = {"rise": "CASE WHEN d0 > 0 THEN 1 ELSE 0 END", "curve": "coalesce(d1 - d0, 0)", "turn": "CASE WHEN (d0 > 0 AND d1 <= 0) OR (d0 <= 0 AND d1 > 0) THEN 1 ELSE 0 END"}
+
+for _change, _sql in _CHANGED.items():
+
+    @query(f"WITH s AS (SELECT user_id, event_id, value AS x, value - lag(value) OVER w AS d0, lead(value) OVER w - value AS d1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, round(CAST({_sql} AS DOUBLE), 5) + 0 AS x FROM s")
+    def _sequence(spark, d, change=_change):
+        from .operators import blocks
+
+        rows = _events(spark, d).select("user_id", "event_id", F.col("value").alias("x"))
+        return blocks.sequence_values(rows, ["user_id"], "event_id", change).select("user_id", "event_id", (F.round("x", 5) + 0).alias("x"))
+
+    QUERIES[f"sequence_{_change}"], ORACLES[f"sequence_{_change}"] = QUERIES.pop("_sequence"), ORACLES.pop("_sequence")
