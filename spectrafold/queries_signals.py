@@ -157,3 +157,108 @@ for _change, _sql in _CHANGED.items():
         return blocks.sequence_values(rows, ["user_id"], "event_id", change).select("user_id", "event_id", (F.round("x", 5) + 0).alias("x"))
 
     QUERIES[f"sequence_{_change}"], ORACLES[f"sequence_{_change}"] = QUERIES.pop("_sequence"), ORACLES.pop("_sequence")
+
+
+# Decompositions of all 64 features: what they must give, or SQL of the same rounds.
+
+_UNIT = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM range({n}) a(i), range({n}) b(j)"
+
+
+def _vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _products(rows, dimension, scale=None):
+    """i, j, x: sums of products of the entries, each by a scale."""
+    from .operators import wide
+
+    sums = wide.outer_sums(rows, F.lit(0), "v", dimension).select("i", F.posexplode("sums").alias("j", "x"))
+    return sums.select("i", "j", (F.round(F.col("x") * (1.0 if scale is None else scale), 6) + 0).alias("x"))
+
+
+@query(_UNIT.format(n=64))
+def whitened_all_features(spark, d):
+    from .operators import spatial, wide
+
+    rows = _vectors(spark, d)
+    sums = wide.gathered(wide.outer_sums(rows, F.lit(0), "v", 64), 64, 64)[0]
+    return _products(wide.projected(rows, "v", spatial.whitener(sums)), 64)
+
+
+@query("SELECT vec_id, CAST(i AS INT) AS feat, round(CAST(embedding[i + 1] AS DOUBLE), 5) + 0 AS x FROM embeddings, range(64) r(i)")
+def principal_reconstruction(spark, d):
+    from .operators import wide
+
+    rows = _vectors(spark, d)
+    middle, components, _ = wide.principal(rows, "v", 64, 64)
+    scores = wide.projected(rows, "v", components, middle)
+    back = wide.mapped(scores, "v", 64, lambda s: s @ components.T + middle)
+    return back.select("vec_id", F.posexplode("v").alias("feat", "x")).withColumn("x", F.round("x", 5) + 0)
+
+
+@query("SELECT round(sum(v), 6) AS total FROM (SELECT var_pop(CAST(embedding[i + 1] AS DOUBLE)) AS v FROM embeddings, range(64) r(i) GROUP BY i) q")
+def principal_total(spark, d):
+    # From factors alone: the squares of R's entries, by the number of vectors.
+    from .operators import wide
+
+    rows = _vectors(spark, d)
+    n, middle = wide.mean(rows, "v", 64)
+    import numpy as np
+
+    r = wide.triangle(wide.projected(rows, "v", np.eye(64), middle), "v", 64)
+    return rows.select("v").limit(1).select(F.round(F.lit(float((r * r).sum() / n)), 6).alias("total"))
+
+
+@query(_UNIT.format(n=6))
+def principal_scores(spark, d):
+    from .operators import wide
+
+    rows = _vectors(spark, d)
+    middle, components, variances = wide.principal(rows, "v", 64, 6)
+    n, _ = wide.mean(rows, "v", 64)
+    return _products(wide.projected(rows, "v", components / (variances * n) ** 0.5, middle), 6)
+
+
+@query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM range(64) a(i), range(64) b(j) WHERE (i < 32) = (j < 32) OR i % 32 <> j % 32")
+def canonical_pairs(spark, d):
+    # Variates of either half have unit variance and vary together with their partner alone.
+    from .operators import wide
+
+    import numpy as np
+
+    rows = _vectors(spark, d)
+    halves = rows.select("vec_id", F.slice("v", 1, 32).alias("p"), F.slice("v", 33, 32).alias("q"))
+    wx, wy, _ = wide.canonical(halves, "p", "q", 32, 32)
+    n, middle = wide.mean(rows, "v", 64)
+    both = np.block([[wx, np.zeros((32, 32))], [np.zeros((32, 32)), wy]])
+    found = _products(wide.projected(rows, "v", both, middle), 64, 1 / n)
+    return found.where(((F.col("i") < 32) == (F.col("j") < 32)) | (F.col("i") % 32 != F.col("j") % 32))
+
+
+@query("WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM e) SELECT round(sqrt((ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab)), 6) AS rho FROM r")
+def canonical_correlation(spark, d):
+    from .operators import wide
+
+    rows = _vectors(spark, d).select(F.slice("v", 1, 2).alias("p"), F.slice("v", 3, 1).alias("q"))
+    _, _, rho = wide.canonical(rows, "p", "q", 2, 1)
+    return rows.limit(1).select(F.round(F.lit(float(rho[0])), 6).alias("rho"))
+
+
+def _robust_sql(rounds: int, parameter: float) -> str:
+    """Pairs of features, each pair a group of its own; a round weighs by the matrix of the round before."""
+    steps = ["e AS (SELECT CAST(p AS INT) AS g, CAST(embedding[2 * p + 1] AS DOUBLE) AS a, CAST(embedding[2 * p + 2] AS DOUBLE) AS b FROM embeddings, range(32) r(p))", "m0 AS (SELECT g, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM e GROUP BY g)"]
+    for k in range(rounds):
+        steps.append(f"w{k} AS (SELECT e.*, n, least(1.0::DOUBLE, {parameter**2}::DOUBLE * 2 / n / greatest((bb * a * a - 2 * ab * a * b + aa * b * b) / (aa * bb - ab * ab), 1e-300)) AS w FROM e JOIN m{k} USING (g))")
+        steps.append(f"m{k + 1} AS (SELECT g, max(n) AS n, sum(w * a * a) * max(n) / sum(w) AS aa, sum(w * a * b) * max(n) / sum(w) AS ab, sum(w * b * b) * max(n) / sum(w) AS bb FROM w{k} GROUP BY g)")
+    return "WITH " + ", ".join(steps) + f" SELECT g, round(aa, 5) AS aa, round(ab, 5) + 0 AS ab, round(bb, 5) AS bb FROM m{rounds}"
+
+
+@query(_robust_sql(4, 1.5))
+def robust_pairs(spark, d):
+    from .operators import wide
+
+    pairs = _vectors(spark, d).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda p: F.slice("v", 2 * p + 1, 2))).alias("g", "v"))
+    found = wide.robust_covariance(pairs, F.col("g"), "v", 2, "bounded", 1.5, rounds=4, tolerance=0.0)
+    rows = [(g, float(m[0, 0]), float(m[0, 1]), float(m[1, 1])) for g, (m, _) in sorted(found.items())]
+    made = spark.createDataFrame(rows, "g int, aa double, ab double, bb double")
+    return made.select("g", F.round("aa", 5).alias("aa"), (F.round("ab", 5) + 0).alias("ab"), F.round("bb", 5).alias("bb"))
