@@ -171,3 +171,54 @@ def with_universum(rows: DataFrame, label: str, positive: list, negative: list)
     """y of the two sides, and all other labelled rows twice, once on either."""
     one = F.when(F.col(label).isin(*positive), F.array(F.lit(1))).when(F.col(label).isin(*negative), F.array(F.lit(-1))).when(F.col(label).isNotNull(), F.array(F.lit(1), F.lit(-1)))
     return rows.withColumn("y", F.explode(one))
+
+
+def permutation_bounds(rows: DataFrame, group: list[str], y: str, dv: str, delta: float = 0.05) -> DataFrame:
+    """group, n, rate, p (that labels in random order give a higher rate) and bound (the highest rate that chance reaches with delta).
+
+    With labels in random order the number of true positives is hypergeometric in the counts of positives and of positive
+    values, and the rate follows from it; so all orders count at once, and no row is copied. Labels of 0 or null and null values
+    are left out; a value of 0 is negative. No label left: no row.
+    """
+    from math import lgamma
+
+    import numpy as np
+    import pyarrow as pa
+
+    pos, says = F.col(y) > 0, F.col(dv) > 0
+    counts = rows.where((F.col(y) != 0) & F.col(dv).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.count_if(pos).alias("_p"), F.count_if(says).alias("_q"), F.count_if(pos == says).alias("_right"))
+    counts = counts.where("n > 0")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counts.select(*group).schema)
+    at = len(group)
+
+    def run(batches):
+        choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+        for batch in batches:
+            made = []
+            for n, p, q, right in zip(*(batch.column(at + k).to_pylist() for k in range(4))):
+                # Ten standard deviations to either side hold all but 1e-20.
+                middle, spread = p * q / n, (p * q * (n - p) * (n - q) / max(n * n * (n - 1), 1)) ** 0.5
+                hits = np.arange(max(0, p + q - n, int(middle - 10 * spread) - 2), min(p, q, int(middle + 10 * spread) + 2) + 1)
+                chance = np.exp([choose(p, k) + choose(n - p, q - k) - choose(n, q) for k in hits.tolist()])
+                rate = (n - p - q + 2 * hits) / n
+                above = np.cumsum(chance[::-1])[::-1]
+                reach = rate[above >= delta]
+                made.append((n, right / n, float(chance[rate > right / n + 1e-12].sum()), float(reach.max() if len(reach) else rate[0])))
+            if made:
+                n, rate, p, bound = zip(*made)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in (rate, p, bound))], [*group, "n", "rate", "p", "bound"])
+
+    return counts.mapInArrow(run, f"{kinds}n long, rate double, p double, bound double")
+
+
+def auc_chance(rows: DataFrame, group: list[str], y: str = "y", value: str = "x") -> DataFrame:
+    """group, auc, se (of the area under labels in random order, ties included) and z. Labels of 0 or null are left out."""
+    from .scores import auc
+
+    labelled = rows.where((F.col(y) != 0) & F.col(value).isNotNull())
+    ties = labelled.groupBy(*group, value).agg(F.count_if(F.col(y) > 0).alias("p"), F.count("*").alias("t"))
+    t = F.col("t").cast("double")
+    sums = ties.groupBy(*group).agg(F.sum("p").cast("double").alias("_p"), F.sum(t).alias("_n"), F.sum(t * t * t - t).alias("_ties"))
+    n, p = F.col("_n"), F.col("_p")
+    se = F.sqrt(F.try_divide((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1)), 12 * p * (n - p)))
+    return met(auc(labelled, group, value, y), sums, group).select(*group, "auc", se.alias("se"), F.try_divide(F.col("auc") - 0.5, se).alias("z"))

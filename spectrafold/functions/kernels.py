@@ -3,9 +3,13 @@
 Landmarks (class means, centres of a Nystrom map) are few; where they are small Spark broadcasts them by its own statistics.
 """
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrafold.operators import wide
 from spectrafold.operators.tensor import contract
 
 
@@ -42,3 +46,58 @@ def centred(matrix: DataFrame, row: str, column: str) -> DataFrame:
     total = matrix.agg(F.avg("x").alias("_m"))
     joined = matrix.join(means, column).crossJoin(F.broadcast(total))
     return joined.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(row)) - F.col("_c") + F.col("_m")).drop("_c", "_m")
+
+
+def between(x: np.ndarray, z: np.ndarray, kind: str = "linear", scale: float = 1.0, order: int = 2) -> np.ndarray:
+    """The kernels of kernel() between the rows of two matrices."""
+    if kind == "linear":
+        return x @ z.T
+    if kind == "poly":
+        return (x @ z.T + scale) ** order
+    d = np.maximum((x * x).sum(1)[:, None] + (z * z).sum(1) - 2 * x @ z.T, 0)
+    return np.exp(-0.5 * d / scale) if kind == "rbf" else np.exp(-np.sqrt(d) / scale)
+
+
+def feature_map(landmarks: np.ndarray, kind: str, scale: float, order: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Features whose products are the kernel as far as the landmarks span it: K(x, landmarks) K(landmarks, landmarks)^-1/2."""
+    values, vectors = np.linalg.eigh(between(landmarks, landmarks, kind, scale, order))
+    good = values > 1e-10 * max(values.max(), 1e-300)
+    root = vectors[:, good] / np.sqrt(values[good])
+    return lambda x: between(x, landmarks, kind, scale, order) @ root
+
+
+def landmarks(rows: DataFrame, vector: str, dimension: int, count: int, passes: int = 4, kind: str = "linear", scale: float = 1.0, order: int = 2, seed: int = 7) -> tuple[np.ndarray, float]:
+    """count vectors (fewer if there are fewer that differ), and the mean error of the kernel's diagonal that they leave.
+
+    Each pass draws its share by weight: vectors that those drawn so far represent badly are the likelier ones. A draw is
+    the head of an order by an exponential variable of a hash, divided by the weight, so it is one top-k and reruns agree.
+    """
+    found = np.zeros((0, dimension))
+    kept = rows.where(wide.whole(vector, dimension)).select(F.col(vector).cast("array<double>").alias("v"))
+
+    def left(found: np.ndarray) -> DataFrame:
+        change = feature_map(found, kind, scale, order) if len(found) else None
+
+        def errors(v: np.ndarray) -> np.ndarray:
+            whole = (v * v).sum(1) if kind == "linear" else ((v * v).sum(1) + scale) ** order if kind == "poly" else np.ones(len(v))
+            rest = np.maximum(whole - ((change(v) ** 2).sum(1) if change else 0), 0)
+            return np.c_[np.where(rest > 1e-9 * np.maximum(whole, 1e-300), rest, 0)]
+
+        return wide.mapped(kept.withColumn("_e", F.col("v")), "_e", dimension, errors).withColumn("_e", F.col("_e")[0])
+
+    for k in range(passes):
+        share = -(-(count - len(found)) // (passes - k))
+        if share <= 0:
+            break
+        unit = (F.pmod(F.xxhash64(F.col("v"), F.lit(seed + k)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
+        drawn = left(found).where("_e > 0").select("v", (-F.log(unit) / F.col("_e")).alias("_key")).orderBy("_key", "v").limit(share).collect()
+        # Equal vectors draw equal keys and lie side by side.
+        new = np.unique(np.array([r["v"] for r in drawn]).reshape(-1, dimension), axis=0)
+        found = np.vstack([found, new])
+    error = left(found).agg(F.avg("_e")).first()[0] if len(found) else None
+    return found, float(error or 0.0)
+
+
+def nystrom(rows: DataFrame, vector: str, dimension: int, chosen: np.ndarray, kind: str = "linear", scale: float = 1.0, order: int = 2) -> DataFrame:
+    """rows with the vector's features by landmarks: their products are about the kernel, and exact between landmarks."""
+    return wide.mapped(rows, vector, dimension, feature_map(chosen, kind, scale, order))

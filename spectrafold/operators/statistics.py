@@ -113,3 +113,16 @@ def regressed_out(cube: DataFrame, artefact: str, dim: str = "ch", along: str =
     series = Window.partitionBy(dim, *step)
     weight = F.try_divide(F.sum(F.col("x") * F.col("_a")).over(series), F.sum(F.col("_a") * F.col("_a")).over(series))
     return joined.withColumn("x", F.col("x") - F.coalesce(weight * F.col("_a"), F.lit(0.0))).select(*cube.columns)
+
+
+def fractional_bins(cube: DataFrame, along: str, width: float, origin: float = 0.0) -> DataFrame:
+    """Means over bins of a width that need not be whole: bin, x and weight (what of the bin its cells cover).
+
+    A cell at t lasts from t to t + 1 and counts in each bin by what it has in common with it. Null cells count for none; null
+    places are left out. bin k lasts from origin + k width on.
+    """
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    t = F.col(along) - F.lit(float(origin))
+    cells = cube.where(F.col(along).isNotNull()).withColumn("bin", F.explode(F.sequence(F.floor(t / width), F.ceil((t + 1) / width) - 1)))
+    part = F.when(F.col("x").isNotNull(), F.least(t + 1, (F.col("bin") + 1) * width) - F.greatest(t, F.col("bin") * width))
+    return cells.groupBy(*keep, "bin").agg((F.sum(part * F.col("x")) / F.sum(part)).alias("x"), F.coalesce(F.sum(part), F.lit(0.0)).alias("weight"))

@@ -262,3 +262,120 @@ def robust_pairs(spark, d):
     rows = [(g, float(m[0, 0]), float(m[0, 1]), float(m[1, 1])) for g, (m, _) in sorted(found.items())]
     made = spark.createDataFrame(rows, "g int, aa double, ab double, bb double")
     return made.select("g", F.round("aa", 5).alias("aa"), (F.round("ab", 5) + 0).alias("ab"), F.round("bb", 5).alias("bb"))
+
+
+# Fitted pipelines, kernel features, distances of matrices, chance.
+
+_LINE = "r AS (SELECT vec_id, vec_id % 5 AS fold, CAST(i AS INT) AS feat, CAST(embedding[i + 1] AS DOUBLE) AS x, CASE WHEN label % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM embeddings, range(64) r(i) WHERE label IS NOT NULL)"
+
+
+def _labelled(spark, d):
+    side = F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)
+    return _vectors(spark, d).where("label IS NOT NULL").select("vec_id", (F.col("vec_id") % 5).alias("fold"), side.alias("y"), "v")
+
+
+@query(
+    f"WITH {_LINE}, m AS (SELECT f.fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS xy, count(*) AS n FROM (SELECT * FROM r WHERE feat = 0) t JOIN (SELECT DISTINCT fold FROM r) f ON t.fold <> f.fold GROUP BY f.fold), p(penalty) AS (VALUES (1.0::DOUBLE), (10.0::DOUBLE)) "
+    "SELECT vec_id, CAST(fold AS BIGINT) AS fold, penalty, round(my + (x - mx) / sx * (n * xy / sx) / (n + penalty), 6) + 0 AS dv FROM r JOIN m USING (fold), p WHERE feat = 0"
+)
+def standardised_ridge(spark, d):
+    # One feature, standardised within the other folds, then ridge regression: a closed form.
+    from .functions import pipelines
+
+    rows = _labelled(spark, d).withColumn("v", F.slice("v", 1, 1))
+    weights = pipelines.fold_weights(rows, "fold", "v", "y", 1, [pipelines.standardised], [1.0, 10.0])
+    return pipelines.fold_values(rows, "fold", "v", weights, [1.0, 10.0]).select("vec_id", "fold", "penalty", (F.round("dv", 6) + 0).alias("dv"))
+
+
+@query(f"WITH {_LINE} SELECT DISTINCT vec_id, CAST(fold AS BIGINT) AS fold, penalty, 0.0::DOUBLE AS difference FROM r, (VALUES (0.5::DOUBLE), (5.0::DOUBLE)) p(penalty)")
+def whitened_ridge(spark, d):
+    # All features, whitened within the other folds: the same as ridge by the features' covariance, computed another way.
+    import numpy as np
+
+    from .functions import pipelines
+
+    rows, penalties = _labelled(spark, d), [0.5, 5.0]
+    weights = pipelines.fold_weights(rows, "fold", "v", "y", 64, [pipelines.standardised, pipelines.whitened], penalties)
+    found = pipelines.fold_values(rows, "fold", "v", weights, penalties)
+    other = {}
+    for f in sorted({f for f, _ in weights}):
+        train = rows.where(F.col("fold") != f)
+        from .operators import wide
+
+        sums = wide.gathered(wide.outer_sums(train.select(F.concat(F.array(F.lit(1.0)), "v", F.array("y")).alias("v")), F.lit(0), "v", 66), 66, 66)[0]
+        n, mean, target = sums[0, 0], sums[0, 1:-1] / sums[0, 0], sums[0, -1] / sums[0, 0]
+        covariance, shared = sums[1:-1, 1:-1] / n - np.outer(mean, mean), sums[1:-1, -1] / n - mean * target
+        for p in penalties:
+            # After whitening the penalty weighs every direction alike: n / (n + p) of the unpenalised weights.
+            w = np.linalg.solve(covariance, shared) * n / (n + p)
+            other[f, p] = np.r_[target - w @ mean, w]
+    twin = pipelines.fold_values(rows, "fold", "v", other, penalties).select("vec_id", "penalty", F.col("dv").alias("_o"))
+    return found.join(twin, ["vec_id", "penalty"]).select("vec_id", "fold", "penalty", (F.round(F.abs(F.col("dv") - F.col("_o")), 5) + 0).alias("difference"))
+
+
+@query("SELECT vec_id, round(sum(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[i + 1] AS DOUBLE)), 5) AS x FROM embeddings, range(64) r(i) GROUP BY vec_id")
+def nystrom_norms(spark, d):
+    # With as many landmarks as span all vectors the features' products are the kernel.
+    from .functions import kernels
+
+    rows = _vectors(spark, d)
+    chosen, _ = kernels.landmarks(rows, "v", 64, 80)
+    found = kernels.nystrom(rows, "v", 64, chosen)
+    return found.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e), 5).alias("x"))
+
+
+_MATRICES = "c AS (SELECT user_id, 1 + avg(value * value) / 1000 AS aa, avg(value * m) / 1000 AS ab, 1 + avg(m * m) / 1000 AS bb FROM (SELECT user_id, value, (event_id % 60)::DOUBLE AS m FROM events) q GROUP BY 1), z(k, aa, ab, bb) AS (VALUES (0, 2.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE), (1, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE))"
+
+
+def _matrices(spark, d):
+    a, b = F.col("value"), (F.col("event_id") % 60).cast("double")
+    found = _events(spark, d).groupBy("user_id").agg((1 + F.avg(a * a) / 1000).alias("aa"), (F.avg(a * b) / 1000).alias("ab"), (1 + F.avg(b * b) / 1000).alias("bb"))
+    return found.select("user_id", F.array("aa", "ab", "ab", "bb").alias("m"))
+
+
+_DISTANCES = {
+    "log_product": "0.5 * (ln(c.aa * c.bb - c.ab * c.ab) / 2 + ln(z.aa * z.bb - z.ab * z.ab) / 2 - ln(((c.aa + z.aa) * (c.bb + z.bb) - (c.ab + z.ab) * (c.ab + z.ab)) / 4))",
+    "traces": "((z.aa * c.bb - 2 * z.ab * c.ab + z.bb * c.aa) / (c.aa * c.bb - c.ab * c.ab) + (c.aa * z.bb - 2 * c.ab * z.ab + c.bb * z.aa) / (z.aa * z.bb - z.ab * z.ab)) / 2",
+    "logarithms": "sqrt(pow(ln((t + sqrt(t * t - 4 * q)) / 2), 2) + pow(ln((t - sqrt(t * t - 4 * q)) / 2), 2))",
+}
+
+for _how, _sql in _DISTANCES.items():
+
+    @query(f"WITH {_MATRICES} SELECT user_id, CAST(k AS INT) AS k, round({_sql}, 6) + 0 AS x FROM (SELECT c.user_id, z.k, c, z, (z.aa * c.bb - 2 * z.ab * c.ab + z.bb * c.aa) / (c.aa * c.bb - c.ab * c.ab) AS t, (z.aa * z.bb - z.ab * z.ab) / (c.aa * c.bb - c.ab * c.ab) AS q FROM c, z) s")
+    def _distance(spark, d, how=_how):
+        from .functions import covariances
+
+        found = covariances.distances(_matrices(spark, d), "m", 2, [[[2.0, 0.5], [0.5, 1.0]], [[1.0, 0.0], [0.0, 1.0]]], how)
+        return found.select("user_id", F.posexplode("distance").alias("k", "x")).withColumn("x", F.round("x", 6) + 0)
+
+    QUERIES[f"matrix_{_how}"], ORACLES[f"matrix_{_how}"] = QUERIES.pop("_distance"), ORACLES.pop("_distance")
+
+_VALUED = "f AS (SELECT CAST(i AS INT) AS feat, CAST(embedding[i + 1] AS DOUBLE) AS x, CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END AS y FROM embeddings, range(64) r(i) WHERE label IS NOT NULL)"
+
+
+@query(
+    f"WITH {_VALUED}, c AS (SELECT feat, count(*) AS n, count(*) FILTER (y > 0) AS p, count(*) FILTER (x > 0) AS q, count(*) FILTER ((y > 0) = (x > 0)) AS ok FROM f GROUP BY feat), h AS (SELECT *, unnest(range(greatest(0, p + q - n), least(p, q) + 1)) AS k FROM c), "
+    "d AS (SELECT *, (n - p - q + 2 * k) / n AS r, exp(lgamma(p + 1) - lgamma(k + 1) - lgamma(p - k + 1) + lgamma(n - p + 1) - lgamma(q - k + 1) - lgamma(n - p - q + k + 1) - lgamma(n + 1) + lgamma(q + 1) + lgamma(n - q + 1)) AS w FROM h), e AS (SELECT *, sum(w) OVER (PARTITION BY feat ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS above FROM d) "
+    "SELECT feat, n, round(max(ok / n), 6) AS rate, round(sum(CASE WHEN r > ok / n + 1e-12 THEN w ELSE 0 END), 6) AS p, round(max(CASE WHEN above >= 0.05 THEN r END), 6) AS bound FROM e GROUP BY feat, n"
+)
+def permutation_bounds(spark, d):
+    from .functions import decisions
+
+    rows = _labelled(spark, d).select("y", F.posexplode("v").alias("feat", "x"))
+    return _rounded(decisions.permutation_bounds(rows, ["feat"], "y", "x"), "rate", "p", "bound")
+
+
+@query(f"WITH {_VALUED}, t AS (SELECT feat, x, sum((y > 0)::INT) AS p, count(*)::DOUBLE AS t FROM f GROUP BY 1, 2), b AS (SELECT *, sum(t - p) OVER (PARTITION BY feat ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM t), s AS (SELECT feat, sum(p)::DOUBLE AS p, sum(t) AS n, sum(t * t * t - t) AS ties, sum(p * (coalesce(below, 0) + (t - p) / 2)) AS won FROM b GROUP BY feat) SELECT feat, round(won / (p * (n - p)), 6) AS auc, round(sqrt((n + 1 - ties / (n * (n - 1))) / (12 * p * (n - p))), 6) AS se, round((won / (p * (n - p)) - 0.5) / sqrt((n + 1 - ties / (n * (n - 1))) / (12 * p * (n - p))), 5) + 0 AS z FROM s")
+def auc_chance(spark, d):
+    from .functions import decisions
+
+    rows = _labelled(spark, d).select("y", F.posexplode("v").alias("feat", "x"))
+    return _rounded(decisions.auc_chance(rows, ["feat"]), "auc", "se").withColumn("z", F.round("z", 5) + 0)
+
+
+@query(f"WITH cube AS (SELECT event_type AS ch, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS time, user_id AS epoch, avg(value) AS x FROM events GROUP BY 1, 2, 3), b AS (SELECT *, unnest(range(CAST(floor(time / 2.5::DOUBLE) AS BIGINT), CAST(ceil((time + 1) / 2.5::DOUBLE) AS BIGINT))) AS bin FROM cube), w AS (SELECT *, least(time + 1, (bin + 1) * 2.5::DOUBLE) - greatest(time, bin * 2.5::DOUBLE) AS part FROM b) SELECT ch, epoch, bin, round(sum(part * x) / sum(part), 6) AS x, round(sum(part), 6) AS weight FROM w GROUP BY 1, 2, 3")
+def fractional_bins(spark, d):
+    from .operators.statistics import fractional_bins as binned
+    from .sources.cubes import event_cube
+
+    return _rounded(binned(event_cube(spark, d), "time", 2.5), "x", "weight")
