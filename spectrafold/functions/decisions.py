@@ -2,10 +2,12 @@
 
 from math import log, pi
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectrafold.operators.ordered import followed, numbered, running_sums
 from spectrafold.operators.statistics import met
+from spectrafold.plans.lineage import small
 
 
 def labelled(indicators: DataFrame, item: list[str], name: str = "sub_problem", value: str = "y") -> DataFrame:
@@ -50,7 +52,7 @@ def decoded(values: DataFrame, codes: DataFrame, item: list[str]) -> DataFrame:
 
     The code table has one row a sub-problem and class: small.
     """
-    scores = values.join(F.broadcast(codes), "sub_problem").groupBy(*item, "class").agg(F.sum(F.col("dv") * F.col("w")).alias("score"))
+    scores = values.join(small(codes), "sub_problem").groupBy(*item, "class").agg(F.sum(F.col("dv") * F.col("w")).alias("score"))
     best = scores.groupBy(*item).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("class"))).alias("_b"))
     return best.select(*item, F.col("_b.class").alias("pred"), (-F.col("_b.s")).alias("score"))
 
@@ -72,7 +74,7 @@ def problem_losses(targets: DataFrame, values: DataFrame, item: list[str]) -> Da
 def sequence_values(values: DataFrame, sequences: DataFrame, along: str) -> DataFrame:
     """Sums of decision values times each sequence's weights: sequence, dv."""
     keep = [c for c in values.columns if c not in (along, "dv")]
-    return values.join(F.broadcast(sequences), along).groupBy(*keep, "sequence").agg(F.sum(F.col("dv") * F.col("w")).alias("dv"))
+    return values.join(small(sequences), along).groupBy(*keep, "sequence").agg(F.sum(F.col("dv") * F.col("w")).alias("dv"))
 
 
 def correlation(rows: DataFrame, y: str, estimate: str, group: list[str], centre_estimate: bool = False) -> DataFrame:
@@ -94,10 +96,8 @@ def best_offset(rows: DataFrame, y: str, dv: str, group: list[str]) -> DataFrame
     Labels of 0 are left out; equal values are cut in the order of their counts, so sums run over distinct values.
     """
     counted = rows.where(F.col(y) != 0).groupBy(*group, F.col(dv).alias("_v")).agg(F.count_if(F.col(y) > 0).alias("p"), F.count_if(F.col(y) < 0).alias("q"))
-    series = Window.partitionBy(*group)
-    upto = series.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    errors = F.sum("p").over(upto) + F.sum("q").over(series) - F.sum("q").over(upto)
-    cut = counted.withColumn("_e", errors).withColumn("_next", F.lead("_v").over(series.orderBy("_v")))
+    summed = running_sums(counted, group, ["_v"], {"_p": F.col("p"), "_q": F.col("q")}, total=True)
+    cut = followed(summed, group, ["_v"], "_v", "_next").withColumn("_e", F.col("_p") + F.col("_q_all") - F.col("_q"))
     best = cut.where("_next is not null").groupBy(*group).agg(F.min(F.struct("_e", "_v", "_next")).alias("_b"))
     return best.select(*group, (-(F.col("_b._v") + F.col("_b._next")) / 2).alias("offset"), F.col("_b._e").alias("errors"))
 
@@ -146,18 +146,18 @@ def correlation_bounds(n: Column, r: Column, z: float = 1.96) -> tuple[Column, C
 
 def shuffled_rank(rows: DataFrame, group: list[str], key: Column) -> DataFrame:
     """rank: a fixed permutation of each group's rows, by a hash of their key."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.md5(key.cast("string").cast("binary")), key)))
+    return numbered(rows, group, [F.md5(key.cast("string").cast("binary")), key], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def labels_along(labels: DataFrame, values: DataFrame, excluded: Column) -> DataFrame:
     """Labels (.., y) repeated along the values of a dimension, 0 where excluded. The result has a row for each of both."""
-    return labels.crossJoin(values).withColumn("y", F.when(excluded, 0).otherwise(F.col("y")))
+    return labels.crossJoin(small(values)).withColumn("y", F.when(excluded, 0).otherwise(F.col("y")))
 
 
 def block_sub_problems(rows: DataFrame, block: str, y: str) -> DataFrame:
     """One sub-problem a block: y in its own rows, 0 in all others. Blocks are few: their table is the distinct values."""
     blocks = rows.select(F.col(block).alias("sub_problem")).distinct().where("sub_problem is not null")
-    return rows.crossJoin(blocks).withColumn(y, F.when(F.col(block).eqNullSafe(F.col("sub_problem")), F.col(y)).otherwise(0))
+    return rows.crossJoin(small(blocks)).withColumn(y, F.when(F.col(block).eqNullSafe(F.col("sub_problem")), F.col(y)).otherwise(0))
 
 
 def binned_labels(rows: DataFrame, along: str, width: int) -> DataFrame:

@@ -1,8 +1,12 @@
 """Labels, folds, confusion and ranks."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrafold.operators.ordered import numbered, running_sums
+from spectrafold.operators.statistics import met
+from spectrafold.plans.lineage import small
+
 
 def indicators(rows: DataFrame, label: str, classes: list) -> DataFrame:
     """sub_problem and y: one against the rest for each class; null labels are 0, left out of training."""
@@ -14,12 +18,12 @@ def all_indicators(rows: DataFrame, label: str) -> DataFrame:
     """indicators() of all classes that the labels have."""
     classes = rows.select(F.col(label).alias("_c")).where("_c is not null").distinct()
     y = F.when(F.col(label).isNull(), 0).when(F.col(label) == F.col("_c"), 1).otherwise(-1)
-    return rows.crossJoin(F.broadcast(classes)).select(*rows.columns, F.col("_c").cast("string").alias("sub_problem"), y.alias("y"))
+    return rows.crossJoin(small(classes)).select(*rows.columns, F.col("_c").cast("string").alias("sub_problem"), y.alias("y"))
 
 
 def folds(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """Adds fold: rows of each class in turn over n folds, so that every fold has its share."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) % n)
+    return numbered(rows, [by], [order], "_n").withColumn("fold", ((F.col("_n") - 1) % n).cast("int")).drop("_n")
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -38,16 +42,16 @@ def auc(rows: DataFrame, group: list[str], value: str = "x", y: str = "y") -> Da
     Equal values are counted first, so the running sum is over distinct values, not over rows.
     """
     counted = rows.where(F.col(y) != 0).groupBy(*group, value).agg(F.count_if(F.col(y) > 0).alias("p"), F.count_if(F.col(y) < 0).alias("q"))
-    before = F.coalesce(F.sum("q").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("won", F.col("p") * (before + F.col("q") / 2)).groupBy(*group).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
+    summed = running_sums(counted, group, [value], {"_upto": F.col("q")})
+    return summed.withColumn("won", F.col("p") * (F.col("_upto") - F.col("q") / 2)).groupBy(*group).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def agreement(counts: DataFrame, truth: str, predicted: str, group: list[str] = ()) -> DataFrame:
     """Cohen's kappa of confusion counts (column n): share of agreement p0, expected by chance pe, kappa."""
     grouped = lambda *by: counts.groupBy(*group, *by)
     rows, columns = grouped(truth).agg(F.sum("n").alias("r")), grouped(predicted).agg(F.sum("n").alias("c"))
-    met = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col(f"a.{truth}") == F.col(f"b.{predicted}")]
-    chance = rows.alias("a").join(columns.alias("b"), met).groupBy(*(F.col(f"a.{g}").alias(g) for g in group)).agg(F.sum(F.col("r").cast("double") * F.col("c")).alias("rc"))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col(f"a.{truth}") == F.col(f"b.{predicted}")]
+    chance = rows.alias("a").join(columns.alias("b"), same).groupBy(*(F.col(f"a.{g}").alias(g) for g in group)).agg(F.sum(F.col("r").cast("double") * F.col("c")).alias("rc"))
     total = grouped().agg(F.sum("n").alias("all"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
     joined = total.join(chance, list(group)) if group else total.crossJoin(chance)
     p0, pe = F.col("hit") / F.col("all"), F.col("rc") / F.col("all") / F.col("all")
@@ -71,7 +75,7 @@ def absolute_fit(rows: DataFrame, y: str, estimate: str, group: list[str] = ())
 
 def block_folds(rows: DataFrame, block: str, n: int) -> DataFrame:
     """Adds fold: whole blocks in turn, by their rank. Ranks come from the distinct blocks, not from the rows."""
-    ranked = rows.select(block).distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy(block)) - 1) % n)
+    ranked = numbered(rows.select(block).where(F.col(block).isNotNull()).distinct(), [], [block], "_n").select(block, ((F.col("_n") - 1) % n).cast("int").alias("fold"))
     return rows.join(ranked, block)
 
 
@@ -79,6 +83,5 @@ def balanced_rows(rows: DataFrame, label: str, order: str, group: list[str] = ()
     """As many rows of each label as its group's rarest has, the first in order."""
     sizes = rows.groupBy(*group, label).agg(F.count("*").alias("_n"))
     least = sizes.groupBy(*group).agg(F.min("_n").alias("_least"))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, label).orderBy(order)))
-    joined = numbered.join(least, list(group)) if group else numbered.crossJoin(F.broadcast(least))
+    joined = met(numbered(rows, [*group, label], [order], "_r"), least, list(group))
     return joined.where("_r <= _least").drop("_r", "_least")

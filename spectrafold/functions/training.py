@@ -1,8 +1,8 @@
 """Linear classifiers over folds and penalties: logistic regression by pyspark.ml, discriminants from second moments.
 
 A fit reads its training rows from the cluster; what reaches the driver is weights, as many as there are features.
-Rows of null label or vector are left out; a fold whose training rows are of one class gives that class's side, and an
-empty table gives no model.
+Rows of null label or vector are left out; a fold whose training rows are of one class gives that class's side, 1 or -1, one
+without training rows null values, and an empty table an empty one.
 """
 
 import numpy as np
@@ -17,8 +17,12 @@ from spectrafold.operators.spatial import second_moments
 def logistic(rows: DataFrame, vector: str, label: str, penalty: float, l1_share: float = 0.0, multinomial: bool = False, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Weights (one row a class, or one of all) and offsets of labels 0, 1, ..; l1_share is the lasso's part of the penalty."""
     kept = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    if kept.isEmpty():
+        return np.zeros((1, 0)), np.zeros(1)
     fitted = LogisticRegression(regParam=penalty, elasticNetParam=l1_share, maxIter=rounds, tol=1e-8, standardization=False, family="multinomial" if multinomial else "binomial").fit(kept)
-    return fitted.coefficientMatrix.toArray(), np.array(fitted.interceptVector.toArray())
+    offset = np.array(fitted.interceptVector.toArray())
+    # Labels of one class have an infinite offset: their side, instead.
+    return fitted.coefficientMatrix.toArray(), np.where(np.isinf(offset), np.sign(offset), offset)
 
 
 def discriminant(rows: DataFrame, vector: str, side: str, dimension: int, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
@@ -47,7 +51,7 @@ def over_folds(rows: DataFrame, vector: str, label: str, fold: str, folds: list[
         for k in folds:
             train, test = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
             w, b = logistic(train, vector, label, penalty, l1_share)
-            part = scored(test, vector, w[0], b[0]).withColumn("penalty", F.lit(float(penalty)))
+            part = (scored(test, vector, w[0], b[0]) if w.shape[1] else test.withColumn("dv", F.lit(None).cast("double"))).withColumn("penalty", F.lit(float(penalty)))
             out = part if out is None else out.unionByName(part)
     return out
 

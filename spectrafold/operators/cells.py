@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import small
 from .statistics import met
 
 
@@ -110,7 +111,7 @@ def upsampled(cube: DataFrame, times: int, how: str = "nearest", along: str = "t
 def positions(channels: DataFrame, cap: DataFrame, name: str = "ch") -> DataFrame:
     """Channels with x2, y2 (flat) and x3, y3, z3 (on the sphere) from a cap's lat and long in radians, and iseeg: whether the cap has them."""
     lat, long = F.col("lat"), F.col("long")
-    joined = channels.join(F.broadcast(cap), name, "left")
+    joined = channels.join(small(cap), name, "left")
     return joined.withColumns({"x2": lat * F.cos(long), "y2": lat * F.sin(long), "x3": F.sin(lat) * F.cos(long), "y3": F.sin(lat) * F.sin(long), "z3": F.cos(lat), "iseeg": lat.isNotNull()})
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .statistics import met
 
 
@@ -62,18 +63,18 @@ def lagged_average(cube: DataFrame, stimuli: DataFrame, lags: list[int], along:
 def shrunk_to_diagonal(cube: DataFrame, dim: str = "ch", sample: list[str] = ("time", "epoch")) -> DataFrame:
     """i, j, x, shrinkage: the centred covariance of complete samples, shrunk to its diagonal as far as its own noise says.
 
-    Products and their squares come from one self-join on the samples.
+    Complete samples are written once; products and their squares come from one self-join on them.
     """
     sample = list(sample)
     whole = cube.groupBy(*sample).agg(F.count("*").alias("_k"))
     channels = cube.select(dim).distinct().agg(F.count("*").alias("_all"))
     full = whole.crossJoin(F.broadcast(channels)).where("_k = _all").select(*sample)
-    kept = cube.join(full, sample)
+    kept = written(cube.join(full, sample).select(*sample, dim, "x"), "complete")
     means = kept.groupBy(dim).agg(F.avg("x").alias("_mu"))
     centred = met(kept, means, [dim]).select(*sample, dim, (F.col("x") - F.col("_mu")).alias("x"))
     twin = centred.select(*sample, F.col(dim).alias("j"), F.col("x").alias("_y"))
     product = F.col("x") * F.col("_y")
-    pairs = centred.withColumnRenamed(dim, "i").join(twin, sample).groupBy("i", "j").agg(F.count("*").alias("t"), F.avg(product).alias("s"), F.avg(product * product).alias("q"))
+    pairs = written(centred.withColumnRenamed(dim, "i").join(twin, sample).groupBy("i", "j").agg(F.count("*").alias("t"), F.avg(product).alias("s"), F.avg(product * product).alias("q")), "pairs")
     noise, off = F.col("q") - F.col("s") * F.col("s"), F.col("i") != F.col("j")
     kappa = F.try_divide(F.sum(F.when(off, noise).otherwise(0.0)), F.sum(F.when(off, F.col("s") * F.col("s")).otherwise(0.0)))
     amount = pairs.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), kappa / F.max("t"))).alias("shrinkage"))

@@ -28,8 +28,9 @@ def _before(parts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
     """Adds the row's number among those of its key, from 1."""
     there = placed(rows, keys, order)
-    parts = there.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    return met(there, _before(parts, keys, ["_n"]), [*keys, "_part"]).withColumn(name, F.col("_n") + F.col("_place") - F.col("_first") + 1).drop("_n", "_first", "_part", "_place")
+    parts = there.groupBy(*keys, "_part").agg(F.min("_place").alias("_first_place"), F.count("*").alias("_rows_before"))
+    found = met(there, _before(parts, keys, ["_rows_before"]), [*keys, "_part"])
+    return found.withColumn("_number", F.col("_rows_before") + F.col("_place") - F.col("_first_place") + 1).drop("_rows_before", "_first_place", "_part", "_place").withColumnRenamed("_number", name)
 
 
 def running_sums(rows: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], total: bool = False) -> DataFrame:
@@ -43,3 +44,12 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str | Column], su
     out = met(there, before, [*keys, "_part"]).withColumns({n: F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)) + F.col(f"_s_{n}_b") for n in sums})
     out = out.withColumnsRenamed({f"_s_{n}_all": f"{n}_all" for n in sums}) if total else out
     return out.drop("_part", "_place", *own, *(f"{c}_b" for c in own))
+
+
+def followed(rows: DataFrame, keys: list[str], order: list[str | Column], column: str, name: str) -> DataFrame:
+    """Adds the column's value in the row that follows among those of the key; null for the last."""
+    there = placed(rows, keys, order)
+    heads = there.groupBy(*keys, "_part").agg(F.min_by(F.struct(F.col(column).alias("v")), "_place").alias("_head"))
+    later = heads.withColumn("_head", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_part")))
+    inside = F.lead(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "_part").orderBy("_place"))
+    return met(there, later, [*keys, "_part"]).withColumn("_in", inside).withColumn(name, F.coalesce("_in", "_head")["v"]).drop("_part", "_place", "_head", "_in")

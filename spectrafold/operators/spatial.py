@@ -1,39 +1,25 @@
 """Second moments of vectors, and what follows from them: whitening, common spatial patterns, ridge regression.
 
-One pass over the rows sums outer products inside each Arrow batch; only matrices, as large as the
-vectors' dimension squared, are summed over the cluster and come to the driver.
+One pass over the rows sums outer products in each task; only matrices, as large as the vectors' dimension squared, are summed over
+the cluster, row by row, and come to the driver.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectrafold.operators import wide
+
 #: Above this dimension a matrix is too large for the driver; use kernels of landmarks.
 MAX_DIMENSION = 2048
 
 
 def second_moments(rows: DataFrame, group: str, vector: str, dimension: int) -> dict[int, np.ndarray]:
-    """Of each group (integer) the sum of outer products. Rows of a null group, or whose vector is null or of another length, are left out."""
+    """Of each group (integer) the sum of outer products. Rows of a null group, or whose vector is null, of another length or holds a null, are left out."""
     if dimension > MAX_DIMENSION:
         raise ValueError(f"dimension {dimension} is above {MAX_DIMENSION}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dimension)
-            for g in np.unique(ids):
-                part = values[ids == g]
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([(part.T @ part).ravel()], pa.list_(pa.float64()))], ["g", "sums"])
-
-    picked = rows.select(F.col(group).cast("long").alias("g"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dimension) & F.col("g").isNotNull())
-    summed = picked.mapInArrow(run, "g long, sums array<double>").select("g", F.posexplode("sums")).groupBy("g", "pos").agg(F.sum("col").alias("x"))
-    found: dict[int, np.ndarray] = {}
-    for g, pos, x in summed.collect():
-        found.setdefault(g, np.zeros(dimension * dimension))[pos] = x
-    return {g: m.reshape(dimension, dimension) for g, m in found.items()}
+    return wide.gathered(wide.outer_sums(rows, F.col(group), vector, dimension), dimension, dimension)
 
 
 def project(vector: str, weights: np.ndarray) -> Column:
@@ -67,7 +53,9 @@ def ridge_folds(rows: DataFrame, fold: str, vector: str, y: str, dimension: int,
 
 
 def decision_values(rows: DataFrame, fold: str, vector: str, weights: dict[int, np.ndarray]) -> DataFrame:
-    """Adds dv: of each row by the weights of its fold."""
+    """Adds dv: of each row by the weights of its fold; null without weights of it."""
+    if not weights:
+        return rows.withColumn("dv", F.lit(None).cast("double"))
     table = F.create_map(*(c for f, w in weights.items() for c in (F.lit(f), F.array(*(F.lit(float(v)) for v in w)))))
     terms = F.zip_with(F.concat(F.col(vector).cast("array<double>"), F.array(F.lit(1.0))), F.element_at(table, F.col(fold)), lambda a, b: a * b)
     return rows.withColumn("dv", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))

@@ -94,5 +94,11 @@ def sample_rate(cube: DataFrame, along: str) -> DataFrame:
 
 
 def given_epochs(cube: DataFrame, spans: DataFrame, along: str) -> DataFrame:
-    """Cells within spans [lo, hi) that are given, each once for every span; spans are a short table, which is broadcast."""
-    return cube.join(F.broadcast(spans), (F.col(along) >= F.col("lo")) & (F.col(along) < F.col("hi"))).drop("lo", "hi")
+    """Cells within spans [lo, hi) that are given, each once for every span.
+
+    A span lies in every bin that it touches, bins being as wide as the mean span, so cells meet spans by equality.
+    """
+    width = max(float(spans.agg(F.avg(F.col("hi") - F.col("lo"))).first()[0] or 1), 1e-9)
+    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    joined = cube.withColumn("_bin", F.floor(F.col(along) / width)).join(binned, "_bin")
+    return joined.where((F.col(along) >= F.col("lo")) & (F.col(along) < F.col("hi"))).drop("_bin", "lo", "hi")

@@ -6,6 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A table is broadcast only if its rows, counted, keep to this.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(table: DataFrame, row_bytes: int = 128) -> DataFrame:
+    """The table, marked for broadcast if it is small, by its number of rows of so many bytes at most; else Spark chooses."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
 
 #: Spark's setting by which an execution's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

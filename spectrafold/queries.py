@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import kernels, scores
 from .functions.predicates import matches, within
 from .functions.spectra import fourier, welch
-from .operators import records, restructure, spatial, statistics, tensor, windows
+from .operators import records, restructure, spatial, statistics, tensor, wide, windows
 from .sources.cubes import event_cube, feature_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,14 +383,14 @@ def whiten(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"), F.lit(0).cast("long").alias("all"))
     moments = spatial.second_moments(rows, "all", "v", 64)
     weights = spatial.whitener(sum(moments.values()) / max(rows.count(), 1)) if moments else spatial.np.eye(64)
-    return rows.select("vec_id", spatial.project("v", weights).alias("v"))
+    return wide.projected(rows.select("vec_id", "v"), "v", weights)
 
 
 @query()
 def common_spatial_patterns(spark, d):
     rows = _vectors(spark, d)
     sums = spatial.second_moments(rows, "side", "v", 64)
-    return rows.select("vec_id", "y", spatial.project("v", spatial.common_patterns(sums[1], sums[0], 2)).alias("v"))
+    return wide.projected(rows.select("vec_id", "y", "v"), "v", spatial.common_patterns(sums[1], sums[0], 2))
 
 
 @query()
