@@ -54,7 +54,17 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        if written := getattr(table, "cut_path", None):
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_shared(path: str, mode: str):

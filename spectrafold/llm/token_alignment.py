@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, cut, slices, with_small
+from .shared import BROADCAST_BYTES, cut, discard, slices, with_small
 
 #: Where a stretch may begin: before a blank or line break, between characters that are no white space, controls or unassigned.
 PATTERN = r"(?<=[^\s\p{Z}\p{C}])(?=[ \n][^\s\p{Z}\p{C}])"
@@ -136,18 +136,21 @@ def _ids(side: str) -> Column:
 
 
 def aligned_stretches(tokens: DataFrame) -> DataFrame:
-    """stretch, n, the sums of a stretch and its groups as text."""
+    """stretch, n, the sums of a stretch and its groups as text. tokens is removed."""
     groups = links(tokens).groupBy("number", "group").agg(F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("ids"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.collect_list(F.struct("a", "b")).alias("pairs"))
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "ids")), False), lambda g: g["ids"]), ";")
     each = groups.groupBy("number").agg(ordered.alias("groups"), F.count("*").alias("n_groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    linked = cut(tokens.select("number", "stretch", "n").join(each, "number"), "links", "zstd")
+    linked = cut(tokens.select("number", "stretch", "n").join(each, "number"), "links")
+    discard(tokens)
     # How many of the corpus's links hold a pair, and whether no other id's links with b are more.
     pairs = cut(linked.select("n", F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     highest = pairs.groupBy("b").agg(F.max("count").alias("highest"))
     counts = pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
     sums = with_small(linked.select("number", F.inline("pairs")), counts, ["a", "b"], 64).groupBy("number").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     whole = linked.withColumn("n_links", F.size("pairs").cast("long")).drop("pairs").join(sums, "number")
-    return cut(whole.select("stretch", "n", *SUMS, "groups"), "stretches", "zstd")
+    found = cut(whole.select("stretch", "n", *SUMS, "groups"), "stretches")
+    discard(linked, pairs)
+    return found
 
 
 def _frequent(stretches: DataFrame) -> Column:
