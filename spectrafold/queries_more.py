@@ -520,12 +520,13 @@ def merged_records(spark, d):
 # Made data.
 
 
-@query(f"SELECT CAST(c AS BIGINT) AS ch, CAST(t AS BIGINT) AS time, CAST(e AS BIGINT) AS epoch, round(sin({2 * pi} * 10 * t / 100.0) * (c + 1) * (CASE WHEN e % 2 = 0 THEN 1 ELSE -1 END) + exp(-power((t - 40) / 20.0, 2) / 2), 6) AS x FROM range(4) a(c), range(100) b(t), range(20) q(e)")
+@query(f"WITH {CUBE} SELECT ch, time, epoch, round(x + sin({2 * pi} * 10 * time / 100.0) * length(ch) * (CASE WHEN epoch % 2 = 0 THEN 1 ELSE -1 END) + exp(-power((time - 19740) / 20.0, 2) / 2), 6) AS x FROM cube")
 def made_cube(spark, d):
-    from .sources.made import peak, sine, toy_cube
+    # A made signal on top of what was recorded.
+    from .sources.made import mixed, peak, sine
 
     side = F.when(F.col("epoch") % 2 == 0, 1).otherwise(-1)
-    return _rounded(toy_cube(spark, 4, 100, 20, sine(10, 100) * (F.col("ch") + 1) * side + peak(40, 20)))
+    return _rounded(mixed(event_cube(spark, d), sine(10, 100) * F.length("ch") * side + peak(19740, 20)))
 
 
 # Labels along dimensions, epochs and references.

@@ -379,3 +379,44 @@ def fractional_bins(spark, d):
     from .sources.cubes import event_cube
 
     return _rounded(binned(event_cube(spark, d), "time", 2.5), "x", "weight")
+
+
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CAST('0x' || substr(md5(user_id || ':' || event_id), 1, 8) AS BIGINT) / 2147483648.0::DOUBLE - 1 AS w FROM events), r AS (SELECT user_id, i, event_id, w AS y, 0.0::DOUBLE AS y1 FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.event_id, e.w + 0.7::DOUBLE * r.y - 0.2::DOUBLE * r.y1, r.y FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, round(y, 6) + 0 AS x FROM r")
+def coloured_noise(spark, d):
+    from .sources.made import coloured_noise as made
+
+    return made(_events(spark, d), ["user_id"], ["event_id"], [0.7, -0.2]).select("user_id", "event_id", (F.round("x", 6) + 0).alias("x"))
+
+
+# Event types on a sphere; days on which views are taken for missing, of users that have all types that day.
+
+_CAP = {"click": (1.0, 0.0, 0.2), "error": (0.0, 1.0, 0.1), "purchase": (-1.0, 0.3, 0.4), "signup": (0.2, -1.0, 0.3), "view": (0.1, 0.1, 1.0)}
+
+
+def _filled_sql() -> str:
+    """Of the days with one or more other types, by constants for each pattern of what is there."""
+    import numpy as np
+
+    from .operators import surface
+
+    names = sorted(_CAP)
+    at = np.array([_CAP[n] for n in names])
+    at = at / np.linalg.norm(at, axis=1, keepdims=True)
+    rows = []
+    for pattern in range(1, 2 ** len(names) - 1):
+        there = [k for k in range(len(names)) if pattern >> k & 1]
+        gone = [k for k in range(len(names)) if k not in there]
+        w = surface.weights(at[there], at[gone])
+        rows += [f"({pattern}, '{names[g]}', '{names[t]}', {float(w[i, j])!r}::DOUBLE)" for i, g in enumerate(gone) for j, t in enumerate(there)]
+    codes = ", ".join(f"('{n}', {1 << k})" for k, n in enumerate(names))
+    cube = "cube AS (SELECT event_type AS ch, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS time, user_id AS epoch, avg(value) AS x FROM events GROUP BY 1, 2, 3)"
+    return f"WITH {cube}, k AS (SELECT * FROM cube WHERE NOT (ch = 'view' AND time % 3 = 0)), b(ch, bit) AS (VALUES {codes}), p AS (SELECT time, epoch, CAST(sum(bit) AS INT) AS pattern FROM k JOIN b USING (ch) GROUP BY 1, 2), w(pattern, gone, ch, w) AS (VALUES {', '.join(rows)}) SELECT time, epoch, gone AS ch, round(sum(x * w), 5) AS x FROM p JOIN w USING (pattern) JOIN k USING (time, epoch, ch) GROUP BY 1, 2, 3 UNION ALL SELECT time, epoch, ch, round(x, 5) FROM k"
+
+
+@query(_filled_sql())
+def filled_channels(spark, d):
+    from .operators import surface
+    from .sources.cubes import event_cube
+
+    cube = event_cube(spark, d).where(~((F.col("ch") == "view") & (F.col("time") % 3 == 0)))
+    return surface.filled(cube, _CAP).select("time", "epoch", "ch", F.round("x", 5).alias("x"))
