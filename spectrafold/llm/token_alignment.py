@@ -36,8 +36,8 @@ from .shared import BROADCAST_BYTES, cut, discard, slices, with_small
 
 #: Where a stretch may begin: before a blank or line break, between characters that are no white space, controls or unassigned.
 PATTERN = r"(?<=[^\s\p{Z}\p{C}])(?=[ \n][^\s\p{Z}\p{C}])"
-#: Bytes of the broadcast table of frequent stretches, at most, and of a row in it.
-HOT_BYTES, HOT_ROW = 2 * BROADCAST_BYTES, 160
+#: Bytes of the broadcast table of frequent stretches, at most; of the texts of a row in it, at most; and of the rest of a row.
+HOT_BYTES, HOT_ROW, ROW_BYTES = 3 * BROADCAST_BYTES, 160, 96
 BLANK_MARK = "▁"
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -154,13 +154,13 @@ def aligned_stretches(tokens: DataFrame) -> DataFrame:
 
 
 def _frequent(stretches: DataFrame) -> Column:
-    """Holds for the most frequent stretches whose table keeps to HOT_BYTES. Levels of frequency are a few hundred."""
-    short = F.length("stretch") + F.length("groups") <= HOT_ROW
-    level = F.floor(8 * F.log2("n")).cast("int")
-    found = sorted(stretches.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True)
-    room, least = HOT_BYTES // (2 * HOT_ROW), None
-    for at, rows in found:
-        room -= rows
+    """Holds for the most frequent stretches whose rows keep to HOT_BYTES together. Levels of frequency are a few hundred."""
+    own = F.octet_length("stretch") + F.octet_length("groups")
+    short, level = own <= HOT_ROW, F.floor(8 * F.log2("n")).cast("int")
+    found = stretches.where(short).groupBy(level.alias("level")).agg(F.sum(own + ROW_BYTES).alias("bytes")).collect()
+    room, least = HOT_BYTES, None
+    for at, size in sorted(found, reverse=True):
+        room -= size
         if room < 0:
             break
         least = at

@@ -65,7 +65,7 @@ def test_frequent_and_rare_stretches(spark, monkeypatch):
     # Whatever part of the stretches is broadcast, the result is the same.
     rows = list(enumerate(_texts()))
     docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), _expected(rows)
-    for room in (0, 20 * 2 * own.HOT_ROW):
+    for room in (0, 20 * own.HOT_ROW):
         monkeypatch.setattr(own, "HOT_BYTES", room)
         assert Counter(map(tuple, own.align(docs, *PATHS).collect())) == wanted
 
