@@ -1,6 +1,6 @@
 """Pipelines of fitted transforms over folds, from one pass over the rows.
 
-Every stage here is fitted from sums and products: centring, scaling, whitening, components, ridge regression. The sums of
+Every stage here is fitted from sums and products: centring, scaling, whitening, components, ridge and lasso regression. The sums of
 products of (1, features, target) add up over rows, so what all folds but one give is the total less the fold's own; a
 stage maps such sums to a matrix, and the sums after the stage follow from those before it. So a whole pipeline is fitted
 for all folds without reading the rows again, and ends in one weight vector a fold in the first features' own space.
@@ -76,21 +76,39 @@ def ridge(sums: np.ndarray, penalty: float) -> np.ndarray:
     return np.linalg.lstsq(gram, sums[:-1, -1], rcond=None)[0]
 
 
-def fitted(sums: np.ndarray, stages: list[Stage], penalty: float) -> np.ndarray:
-    """Offset and weights in the first features' own space."""
+def lasso(sums: np.ndarray, penalty: float, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
+    """Offset and weights that make half the mean square error, plus the penalty times the sum of absolute weights, least.
+
+    Coordinate by coordinate from the sums alone, so no round reads a row.
+    """
+    mean, covariance = _moments(sums)
+    target = sums[0, -1] / sums[0, 0]
+    shared, w = sums[1:-1, -1] / sums[0, 0] - mean * target, np.zeros(len(mean))
+    for _ in range(rounds):
+        before = w.copy()
+        for k in np.flatnonzero(np.diag(covariance) > 1e-300):
+            left = shared[k] - covariance[k] @ w + covariance[k, k] * w[k]
+            w[k] = np.sign(left) * max(abs(left) - penalty, 0) / covariance[k, k]
+        if np.abs(w - before).max(initial=0) <= tolerance * max(np.abs(w).max(initial=0), 1e-300):
+            break
+    return np.r_[target - w @ mean, w]
+
+
+def fitted(sums: np.ndarray, stages: list[Stage], penalty: float, last: Callable[[np.ndarray, float], np.ndarray] = ridge) -> np.ndarray:
+    """Offset and weights in the first features' own space; last is ridge or lasso."""
     way = np.eye(len(sums))
     for stage in stages:
         step = stage(sums)
         way, sums = way @ step, step.T @ sums @ step
-    return way[:-1, :-1] @ ridge(sums, penalty)
+    return way[:-1, :-1] @ last(sums, penalty)
 
 
-def fold_weights(rows: DataFrame, fold: str, vector: str, target: str, dimension: int, stages: list[Stage], penalties: list[float]) -> dict[tuple[int, float], np.ndarray]:
+def fold_weights(rows: DataFrame, fold: str, vector: str, target: str, dimension: int, stages: list[Stage], penalties: list[float], last: Callable[[np.ndarray, float], np.ndarray] = ridge) -> dict[tuple[int, float], np.ndarray]:
     """Of each fold and penalty the offset and weights that all other folds give. Folds are whole numbers."""
     joined = rows.where(F.col(target).isNotNull()).select(fold, F.concat(F.array(F.lit(1.0)), F.col(vector).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("_m"))
     own = wide.gathered(wide.outer_sums(joined, F.col(fold), "_m", dimension + 2), dimension + 2, dimension + 2)
     total = sum(own.values()) if own else np.zeros((1, 1))
-    return {(f, p): fitted(total - m, stages, p) for f, m in own.items() for p in penalties if total[0, 0] - m[0, 0] > 0.5}
+    return {(f, p): fitted(total - m, stages, p, last) for f, m in own.items() for p in penalties if total[0, 0] - m[0, 0] > 0.5}
 
 
 def fold_values(rows: DataFrame, fold: str, vector: str, weights: dict[tuple[int, float], np.ndarray], penalties: list[float]) -> DataFrame:

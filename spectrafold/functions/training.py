@@ -1,4 +1,4 @@
-"""Linear classifiers over folds and penalties: logistic regression by pyspark.ml, discriminants from second moments.
+"""Linear classifiers over folds and penalties: logistic regression and support vectors by pyspark.ml, discriminants from second moments.
 
 A fit reads its training rows from the cluster; what reaches the driver is weights, as many as there are features.
 Rows of null label or vector are left out; a fold whose training rows are of one class gives that class's side, 1 or -1, one
@@ -6,7 +6,7 @@ without training rows null values, and an empty table an empty one.
 """
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,22 @@ def logistic(rows: DataFrame, vector: str, label: str, penalty: float, l1_share:
     return fitted.coefficientMatrix.toArray(), np.where(np.isinf(offset), np.sign(offset), offset)
 
 
+def support_vectors(rows: DataFrame, vector: str, label: str, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and offset of a linear support vector machine on labels 0 and 1: mean hinge loss plus half the penalty times the squared weights.
+
+    Labels of one class give that class's side; no row, no weights.
+    """
+    kept = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    # Two labels at most, and a vector to know the length by.
+    sides = sorted(r[0] for r in kept.select("label").distinct().limit(3).collect())
+    if not sides:
+        return np.zeros(0), 0.0
+    if len(sides) == 1:
+        return np.zeros(kept.first()["features"].size), 1.0 if sides[0] > 0 else -1.0
+    fitted = LinearSVC(regParam=penalty, maxIter=rounds, tol=1e-9, standardization=False).fit(kept)
+    return np.array(fitted.coefficients.toArray()), float(fitted.intercept)
+
+
 def discriminant(rows: DataFrame, vector: str, side: str, dimension: int, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear discriminant between sides 1 and 0: class means by the pooled covariance, from one pass."""
     joined = rows.select(side, F.concat(F.col(vector).cast("array<double>"), F.array(F.lit(1.0))).alias("v"))

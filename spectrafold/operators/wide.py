@@ -241,3 +241,42 @@ def robust_covariance(rows: DataFrame, group: Column, vector: str, dimension: in
                 del now[g]
         before = dict(before)
     return done
+
+
+def market_shrunk(rows: DataFrame, vector: str, dimension: int) -> tuple[np.ndarray, float]:
+    """The covariance shrunk towards a model of one factor, the mean of a vector's entries, and how far (0 to 1).
+
+    As far as the noise of the covariances and of the model says (Ledoit and Wolf, 2003): one pass for the means, one for
+    products of centred entries, of their squares and of the factor. No vector: no covariance (zeros). Entries or a
+    factor without variance leave the covariance as it is.
+    """
+    n, middle = mean(rows, vector, dimension)
+    if not n:
+        return np.zeros((dimension, dimension)), 0.0
+
+    def products(v: np.ndarray) -> np.ndarray:
+        x = v - middle
+        market = x.mean(1)[:, None]
+        squares, turned = x * x, x * market
+        single = [x.T @ market, market.T @ market, (squares.sum(1) ** 2).sum(keepdims=True)[None], (squares * squares).sum(keepdims=True)]
+        tail = np.zeros((4, dimension))
+        tail[0], tail[1:, 0] = single[0].ravel(), [float(np.sum(one)) for one in single[1:]]
+        return np.vstack([x.T @ x, squares.T @ turned, turned.T @ turned, tail])
+
+    sums = gathered(summed(rows, F.lit(0), vector, dimension, products, 3 * dimension + 4, dimension), 3 * dimension + 4, dimension)[0] / n
+    sample, third, fourth = (sums[k * dimension : (k + 1) * dimension] for k in range(3))
+    shared, (variance, whole, single) = sums[-4], sums[-3:, 0]
+    if variance <= 0:
+        return sample, 0.0
+    model = np.outer(shared, shared) / variance
+    np.fill_diagonal(model, np.diag(sample))
+    off = ~np.eye(dimension, dtype=bool)
+    distance = ((sample - model) ** 2).sum()
+    noise = whole - (sample**2).sum()
+    # How the model's noise goes with that of the covariances: on the diagonal they are one.
+    with_diagonal = single - (np.diag(sample) ** 2).sum()
+    first = (third - shared[:, None] * sample) * shared[None, :]
+    second = (fourth - variance * sample) * np.outer(shared, shared)
+    together = with_diagonal + 2 * first[off].sum() / variance - second[off].sum() / variance**2
+    amount = min(1.0, max(0.0, (noise - together) / distance / n)) if distance > 0 else 0.0
+    return amount * model + (1 - amount) * sample, float(amount)

@@ -420,3 +420,36 @@ def filled_channels(spark, d):
 
     cube = event_cube(spark, d).where(~((F.col("ch") == "view") & (F.col("time") % 3 == 0)))
     return surface.filled(cube, _CAP).select("time", "epoch", "ch", F.round("x", 5).alias("x"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, CAST(i AS INT) AS f, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(i)), c AS (SELECT vec_id, f, x - avg(x) OVER (PARTITION BY f) AS x FROM e), v AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS m FROM c), "
+    "p AS (SELECT a.f AS i, b.f AS j, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * a.m) AS t, avg(a.x * b.x * a.m * a.m) AS u FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2), k AS (SELECT f, avg(x * m) AS g FROM v GROUP BY f), o AS (SELECT avg(m * m) AS w, count(*) AS n FROM (SELECT DISTINCT vec_id, m FROM v) q), "
+    "h AS (SELECT avg(q * q) AS whole, avg(d) AS single FROM (SELECT vec_id, sum(x * x) AS q, sum(x * x * x * x) AS d FROM v GROUP BY vec_id) z), l AS (SELECT p.*, a.g AS gi, b.g AS gj, w, n, CASE WHEN i = j THEN s ELSE a.g * b.g / w END AS model FROM p JOIN k a ON a.f = i JOIN k b ON b.f = j, o), "
+    "r AS (SELECT greatest(0.0, least(1.0, ((max(whole) - sum(s * s)) - (max(single) - sum(CASE WHEN i = j THEN s * s ELSE 0 END) + sum(CASE WHEN i <> j THEN 2 * (t - gi * s) * gj / w - (u - w * s) * gi * gj / (w * w) ELSE 0 END))) / sum((s - model) * (s - model)) / max(n))) AS amount FROM l, h) "
+    "SELECT i, j, round(amount * model + (1 - amount) * s, 8) + 0 AS x, round(amount, 6) AS shrinkage FROM l, r"
+)
+def market_shrunk(spark, d):
+    from .operators import wide
+
+    rows = _vectors(spark, d)
+    matrix, amount = wide.market_shrunk(rows, "v", 64)
+    made = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(matrix)], "i int, v array<double>")
+    return made.select("i", F.posexplode("v").alias("j", "x"), F.round(F.lit(amount), 6).alias("shrinkage")).withColumn("x", F.round("x", 8) + 0)
+
+
+@query(f"WITH {_LINE}, m AS (SELECT f.fold, avg(x) AS mx, var_pop(x) AS vx, avg(y) AS my, covar_pop(x, y) AS xy FROM (SELECT * FROM r WHERE feat = 0) t JOIN (SELECT DISTINCT fold FROM r) f ON t.fold <> f.fold GROUP BY f.fold), p(penalty) AS (VALUES (0.001::DOUBLE), (0.01::DOUBLE), (1.0::DOUBLE)) SELECT vec_id, CAST(fold AS BIGINT) AS fold, penalty, round(my + (x - mx) * sign(xy) * greatest(abs(xy) - penalty, 0) / vx, 6) + 0 AS dv FROM r JOIN m USING (fold), p WHERE feat = 0")
+def lasso_one_feature(spark, d):
+    from .functions import pipelines
+
+    rows, penalties = _labelled(spark, d).withColumn("v", F.slice("v", 1, 1)), [0.001, 0.01, 1.0]
+    weights = pipelines.fold_weights(rows, "fold", "v", "y", 1, [], penalties, pipelines.lasso)
+    return pipelines.fold_values(rows, "fold", "v", weights, penalties).select("vec_id", "fold", "penalty", (F.round("dv", 6) + 0).alias("dv"))
+
+
+@query("WITH cube AS (SELECT event_type AS ch, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS time, user_id AS epoch, avg(value) AS x FROM events GROUP BY 1, 2, 3), w(v) AS (VALUES (19725.4::DOUBLE), (19731.0::DOUBLE), (99999.0::DOUBLE)), n AS (SELECT v, time, row_number() OVER (PARTITION BY v ORDER BY abs(time - v), time) AS r FROM (SELECT DISTINCT time FROM cube) q, w) SELECT ch, time, epoch, round(x, 6) AS x FROM cube WHERE time IN (SELECT time FROM n WHERE r = 1)")
+def retain_nearest(spark, d):
+    from .operators import restructure
+    from .sources.cubes import event_cube
+
+    return _rounded(restructure.retain_nearest(event_cube(spark, d), "time", [19725.4, 19731.0, 99999.0]))

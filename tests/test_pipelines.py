@@ -147,3 +147,29 @@ def test_fractional_bins(spark):
     fine = np.repeat([float(t * t) for t in range(10)], 2).reshape(4, 5).mean(1)
     assert {k: v for k, v in found.items() if k[0] == "a"} == {("a", b): (pytest.approx(fine[b]), pytest.approx(2.5)) for b in range(4)}
     assert found["b", 1] == (None, 0.0) and found[None, 0] == (2.0, 1.0)
+
+
+def test_lasso_from_sums(made):
+    x, y, _, _ = made
+    m = np.c_[np.ones(len(x)), x, y]
+    for penalty in (0.0, 0.1, 1.0, 100.0):
+        w = pipelines.lasso(m.T @ m, penalty)
+        left = y - w[0] - x @ w[1:]
+        slope = x.T @ left / len(x)
+        # Where a weight is, the slope is the penalty; elsewhere it is no larger.
+        assert abs(left.mean()) < 1e-8 and np.allclose(slope[w[1:] != 0], penalty * np.sign(w[1:][w[1:] != 0]), atol=1e-6) and (np.abs(slope) <= penalty + 1e-6).all()
+    assert (w[1:] == 0).all()
+
+
+def test_support_vectors(spark):
+    from spectrafold.functions import training
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    y = (x @ [2.0, -1.0] + 0.5 + 0.4 * rng.normal(size=200) > 0).astype(int)
+    rows = spark.createDataFrame([([float(v) for v in r], int(k)) for r, k in zip(x, y)] + [(None, 1), ([0.0, 0.0], None)], "v array<double>, y int")
+    w, b = training.support_vectors(rows, "v", "y", 0.05)
+    loss = lambda w, b: np.maximum(0, 1 - (2 * y - 1) * (x @ w + b)).mean() + 0.025 * (w @ w)
+    assert all(loss(w, b) <= loss(w + d, b + c) + 2e-3 for d, c in ((np.array([0.1, 0]), 0), (np.array([-0.1, 0]), 0), (np.array([0, 0.1]), 0), (np.array([0, -0.1]), 0), (np.zeros(2), 0.1), (np.zeros(2), -0.1)))
+    assert ((x @ w + b > 0) == (y > 0)).mean() > 0.9
+    assert training.support_vectors(rows.where("y = 1"), "v", "y", 0.05)[1] == 1.0 and len(training.support_vectors(rows.limit(0), "v", "y", 0.05)[0]) == 0

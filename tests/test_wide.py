@@ -84,3 +84,29 @@ def test_robust_sums(spark, how, parameter):
     if how in ("bounded", "cut"):
         # The planted outliers hardly count.
         assert found[2, 2] / 300 < 0.2 * (x.T @ x)[2, 2] / 300
+
+
+def test_shrinkage_to_a_market(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 1)) * [1.0, 0.5, 0.8, 1.2] + rng.normal(size=(60, 4)) * [0.3, 1.0, 0.5, 0.7]
+    found, amount = wide.market_shrunk(_table(spark, x, AWKWARD), "v", 4)
+    z = x - x.mean(0)
+    market = z.mean(1)
+    sample, shared, variance = z.T @ z / 60, z.T @ market / 60, (market**2).mean()
+    model = np.outer(shared, shared) / variance
+    np.fill_diagonal(model, np.diag(sample))
+    # Each entry's noise, and how it goes with the model's, sample by sample.
+    noise = together = 0.0
+    for i in range(4):
+        for j in range(4):
+            own = z[:, i] * z[:, j] - sample[i, j]
+            noise += (own**2).mean()
+            if i == j:
+                together += (own**2).mean()
+            else:
+                change = (shared[j] * variance * z[:, i] + shared[i] * variance * z[:, j] - shared[i] * shared[j] * market) / variance**2 * market * z[:, i] * z[:, j]
+                together += change.mean() - shared[i] * shared[j] / variance * sample[i, j]
+    wanted = min(1, max(0, (noise - together) / ((sample - model) ** 2).sum() / 60))
+    assert 0 < amount < 1 and amount == pytest.approx(wanted, rel=1e-6)
+    assert np.allclose(found, amount * model + (1 - amount) * sample)
+    assert wide.market_shrunk(_table(spark, x).limit(0), "v", 4)[1] == 0
