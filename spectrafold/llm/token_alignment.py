@@ -37,7 +37,7 @@ from .shared import BROADCAST_BYTES, cut, discard, slices, with_small
 #: Where a stretch may begin: before a blank or line break, between characters that are no white space, controls or unassigned.
 PATTERN = r"(?<=[^\s\p{Z}\p{C}])(?=[ \n][^\s\p{Z}\p{C}])"
 #: Bytes of the broadcast table of frequent stretches, at most; of the texts of a row in it, at most; and of the rest of a row.
-HOT_BYTES, HOT_ROW, ROW_BYTES = 3 * BROADCAST_BYTES, 160, 96
+HOT_BYTES, HOT_ROW, ROW_BYTES = BROADCAST_BYTES, 160, 96
 BLANK_MARK = "▁"
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
