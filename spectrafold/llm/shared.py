@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Spark's setting by which a join on several keys deals both sides by all of them, though they lie together by fewer.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def joins_as_dealt(spark: SparkSession) -> Iterator[None]:
+    """Within, joins of tables dealt alike by some of the keys leave them where they are."""
+    was = spark.conf.get(ALL_KEYS, "true")
+    spark.conf.set(ALL_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(ALL_KEYS, was)
+
+
 def open_shared(path: str, mode: str):
     """A binary file in the shared folder, opened on the driver or an executor."""
     if re.match(r"file:|/", path):

@@ -16,6 +16,9 @@ the relational work is done once for each distinct stretch, with the number of t
 Documents are put together from their stretches in order. The most frequent stretches, whose table is bounded (HOT_BYTES), are
 looked up where the text is; all others by a join on the stretch.
 
+Links, and documents, are made in PASSES, each for a share of the stretches or rows: of links and of the groups' text, which
+are larger than the input, only a pass's share is shuffled at a time.
+
 Defined results: a null or empty text, or one whose bytes differ from those of either side's tokens, has no tokens: zeros and
 the empty string, and its stretches count nowhere; repeated rows have equal results beside each other and each counts; a
 null doc_id is a document as any other; an empty table gives an empty result; other columns are not read.
@@ -24,20 +27,22 @@ null doc_id is a document as any other; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, cut, discard, slices, with_small
+from .shared import BROADCAST_BYTES, cut, discard, joins_as_dealt, slices, with_small
 
 #: Where a stretch may begin: before a blank or line break, between characters that are no white space, controls or unassigned.
 PATTERN = r"(?<=[^\s\p{Z}\p{C}])(?=[ \n][^\s\p{Z}\p{C}])"
 #: Bytes of the broadcast table of frequent stretches, at most; of the texts of a row in it, at most; and of the rest of a row.
 HOT_BYTES, HOT_ROW, ROW_BYTES = BROADCAST_BYTES, 160, 96
+#: Shares of the stretches, and of the rows, that are worked on one after the other.
+PASSES = 4
 BLANK_MARK = "▁"
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -115,7 +120,10 @@ def encoded(stretches: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def links(tokens: DataFrame) -> DataFrame:
-    """A row for each link of each stretch: number, n, end, a, b, whether either token ends here, group (counted from the last)."""
+    """A row for each link of each stretch: number, n, end, a, b, whether either token ends here, group (counted from the last).
+
+    Tokens are dealt by number; planned under joins_as_dealt(), the join on ends leaves them where they are.
+    """
     near = tokens.repartition("number")
 
     def ends(side: str, *more: str) -> DataFrame:
@@ -135,13 +143,20 @@ def _ids(side: str) -> Column:
     return F.array_join(F.transform(own, lambda t: t[side].cast("string")), ",")
 
 
-def aligned_stretches(tokens: DataFrame) -> DataFrame:
-    """stretch, n, the sums of a stretch and its groups as text. tokens is removed."""
+def _grouped(tokens: DataFrame) -> DataFrame:
+    """number, its groups as text, their number, tokens of either side and the pairs of ids that are linked."""
     groups = links(tokens).groupBy("number", "group").agg(F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("ids"), F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.collect_list(F.struct("a", "b")).alias("pairs"))
     ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "ids")), False), lambda g: g["ids"]), ";")
-    each = groups.groupBy("number").agg(ordered.alias("groups"), F.count("*").alias("n_groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    linked = cut(tokens.select("number", "stretch", "n").join(each, "number"), "links")
+    return groups.groupBy("number").agg(ordered.alias("groups"), F.count("*").alias("n_groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+
+
+def aligned_stretches(tokens: DataFrame) -> DataFrame:
+    """stretch, n, the sums of a stretch and its groups as text. tokens is removed."""
+    some = [tokens.where(F.col("number") % PASSES == k) for k in range(PASSES)]
+    with joins_as_dealt(tokens.sparkSession):
+        written = [cut(t.select("number", "stretch", "n").join(_grouped(t), "number"), "links") for t in some]
     discard(tokens)
+    linked = reduce(DataFrame.unionAll, written)
     # How many of the corpus's links hold a pair, and whether no other id's links with b are more.
     pairs = cut(linked.select("n", F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     highest = pairs.groupBy("b").agg(F.max("count").alias("highest"))
@@ -149,7 +164,7 @@ def aligned_stretches(tokens: DataFrame) -> DataFrame:
     sums = with_small(linked.select("number", F.inline("pairs")), counts, ["a", "b"], 64).groupBy("number").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     whole = linked.withColumn("n_links", F.size("pairs").cast("long")).drop("pairs").join(sums, "number")
     found = cut(whole.select("stretch", "n", *SUMS, "groups"), "stretches")
-    discard(linked, pairs)
+    discard(*written, pairs)
     return found
 
 
@@ -167,8 +182,8 @@ def _frequent(stretches: DataFrame) -> Column:
     return short & (level >= least) if least is not None else F.lit(False)
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = PATTERN) -> DataFrame:
-    """doc_id, the SUMS, and groups (the alignment as text) of every row."""
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = PATTERN, made: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, the SUMS, and groups (the alignment as text, or what is made of it) of every row."""
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts", "zstd")
     pattern = pattern if sides(path_a, path_b)[1].parts else None
     # The blank mark stands for a blank, so a text that holds it can't be told from one with blanks: it never fits.
@@ -183,25 +198,34 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = PATTE
         # Documents with a stretch that fits neither side have no tokens at all: what is left is counted again.
         odd = tokens.where(~F.col("fits")).select("stretch")
         out = exploded(rows).join(odd, "stretch", "left_semi").select("row").distinct()
-        rows = cut(rows.join(out.withColumn("odd", F.lit(True)), "row", "left").select("row", "doc_id", F.when(F.col("odd").isNull(), F.col("text")).alias("text")), "fitting", "zstd")
+        fitting = cut(rows.join(out.withColumn("odd", F.lit(True)), "row", "left").select("row", "doc_id", F.when(F.col("odd").isNull(), F.col("text")).alias("text")), "fitting", "zstd")
+        discard(rows, tokens)
+        rows = fitting
         tokens = encoded(exploded(rows).groupBy("stretch").agg(F.count("*").alias("n")), path_a, path_b)
     stretches = aligned_stretches(tokens)
     frequent = _frequent(stretches)
     hot, cold = stretches.where(frequent).drop("n"), stretches.where(~frequent).drop("n")
     part = F.struct("place", "groups")
     sums = [F.sum(c).alias(c) for c in SUMS]
-    # Texts are dealt by row before they are exploded, so what is looked up stays where it is.
-    near = exploded(rows.repartition("row")).join(F.broadcast(hot), "stretch").groupBy("row").agg(F.collect_list(part).alias("parts"), *sums)
-    rest = exploded(rows).join(F.broadcast(hot.select("stretch")), "stretch", "left_anti").join(cold, "stretch").groupBy("row").agg(F.collect_list(part).alias("more"), *(F.sum(c).alias(f"{c}_more") for c in SUMS))
     none = F.array().cast("array<struct<place:int,groups:string>>")
-    whole = F.sort_array(F.concat(F.coalesce("parts", none), F.coalesce("more", none)))
-    # Left joins keep the rows where they are; parts of texts are never dealt again.
-    both = rows.select("row", "doc_id").join(near, "row", "left").join(rest, "row", "left")
-    return both.select("doc_id", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_more", F.lit(0))).cast("long").alias(c) for c in SUMS), F.array_join(F.transform(whole, lambda x: x["groups"]), ";").alias("groups"))
+
+    def whole(some: DataFrame) -> DataFrame:
+        # Texts are dealt by row before they are exploded, so what is looked up stays where it is.
+        near = exploded(some.repartition("row")).join(F.broadcast(hot), "stretch").groupBy("row").agg(F.collect_list(part).alias("parts"), *sums)
+        rest = exploded(some).join(F.broadcast(hot.select("stretch")), "stretch", "left_anti").join(cold, "stretch").groupBy("row").agg(F.collect_list(part).alias("more"), *(F.sum(c).alias(f"{c}_more") for c in SUMS))
+        # Left joins keep the rows where they are; parts of texts are never dealt again.
+        both = some.select("row", "doc_id").join(near, "row", "left").join(rest, "row", "left")
+        parts = F.sort_array(F.concat(F.coalesce("parts", none), F.coalesce("more", none)))
+        groups = F.array_join(F.transform(parts, lambda x: x["groups"]), ";")
+        return both.select("doc_id", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_more", F.lit(0))).cast("long").alias(c) for c in SUMS), (made(groups) if made else groups).alias("groups"))
+
+    found = [cut(whole(rows.where(F.col("row") % PASSES == k)), "aligned", "zstd") for k in range(PASSES)]
+    discard(rows, stretches)
+    return reduce(DataFrame.unionAll, found)
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", *SUMS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    found = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), made=lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return found.withColumnRenamed("groups", "groups_sha256")

@@ -87,3 +87,21 @@ def test_empty_table_and_digest(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     wanted = Counter((*r[:7], hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "") for r in _expected([tuple(r) for r in docs]).elements())
     assert Counter(map(tuple, found.select("doc_id", *own.SUMS, "groups_sha256").collect())) == wanted
+
+
+def test_disk(spark):
+    # The join on ends deals no side again; nothing that the result does not read is left in the shared folder.
+    import os
+
+    from spectrafold.llm.shared import joins_as_dealt, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame(list(enumerate(_texts())), "doc_id long, text string")
+    found = own.align(docs, *PATHS, made=F.length)
+    left = {name.split("-")[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"aligned"} and found.count() == len(_texts())
+    tokens = own.encoded(spark.createDataFrame([(" the cat", 1)], "stretch string, n long"), *PATHS)
+    with joins_as_dealt(spark):
+        plan = own.links(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "end" not in "".join(line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
