@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,8 +49,8 @@ LONGEST = 64
 #: Ids of a file; the next one is begun beyond.
 FILE_IDS = 1 << 24
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Blanks and line breaks that begin no part, and blanks that do.
-BLANKS, PARTS = re.compile(r"[ \n](?:\s|\Z)"), re.compile(r" (?=\S)")
+#: Blanks that begin a part, in texts where others begin none.
+PARTS = re.compile(r" (?=\S)")
 LAST_LETTER = 0x24F
 #: Latin letters to LAST_LETTER, perhaps after a line break, and ASCII punctuation without the apostrophe, which begins short pre-tokens.
 LETTERS = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)?")
@@ -57,6 +58,10 @@ LETTERS = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-
 ENTRY = "<qBIIII"
 
 
+class NoPart(Exception):
+    """A blank or line break has white space or nothing behind it."""
+
+
 class Encoder(dict):
     """Ids of texts by the tokenizers library, asked once for each part that is remembered.
 
@@ -73,19 +78,28 @@ class Encoder(dict):
         # How the library writes the bytes of each character that LETTERS and ENDS let through, a blank and a line break.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(1, LAST_LETTER + 1)}
+        self.blank = self.written[ord(" ")]
         self.model, self.end = self.whole.model, lru_cache(10_000)(self._pre_token)
         # Parts met before those remembered of late.
         self.old: dict[str, bytes] = {}
 
     def _pre_token(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text.translate(self.written))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._tokens(text.translate(self.written))
+
+    def _tokens(self, written: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _new(self, part: str) -> bytes:
         """The ids of a part after a blank, or with its line break."""
+        head = part[1:2] if part[:1] == "\n" else part[:1]
+        if not head or head.isspace():
+            raise NoPart
+        # ASCII letters are written as themselves.
+        if part.isalpha() and part.isascii():
+            return self._tokens(self.blank + part)
         plain = LETTERS.fullmatch(part)
         if not plain:
             return self._ids(part if part[0] == "\n" else " " + part)
@@ -105,6 +119,11 @@ class Encoder(dict):
             self[part] = ids
         return ids
 
+    def _joined(self, parts: list[str]) -> bytes:
+        """The ids of all parts; the first has no blank before it."""
+        first, *rest = parts
+        return b"".join([self._ids(first) if first else b"", *map(self.__getitem__, rest)])
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, and the end."""
         end = struct.pack("<I", END)
@@ -112,8 +131,10 @@ class Encoder(dict):
             if any(s in text for s in self.special):
                 own = self._ids(text)
             else:
-                first, *parts = PARTS.split(text) if BLANKS.search(text) else text.replace("\n", " \n").split(" ")
-                own = b"".join([self._ids(first) if first else b"", *map(self.__getitem__, parts)])
+                try:
+                    own = self._joined(text.replace("\n", " \n").split(" "))
+                except NoPart:
+                    own = self._joined(PARTS.split(text))
             yield np.frombuffer(own + end, "<u4")
 
 

@@ -20,3 +20,14 @@ def test_encoder_equals_the_library(monkeypatch):
     for text, ids in zip(texts, encoder.ids(texts), strict=True):
         assert ids.tolist() == [*encoder.whole.encode(text, add_special_tokens=False).ids, token_files.END], text
     assert len(encoder) + len(encoder.old) <= 24
+
+
+def test_a_blank_before_white_space_is_no_part():
+    import public_tokenizers
+    import pytest
+
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for part in ("", "\n", "\t", "\n\t", " a"):
+        with pytest.raises(token_files.NoPart):
+            encoder[part]
+    assert not encoder
