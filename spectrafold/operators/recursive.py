@@ -145,9 +145,13 @@ def _runs(batch: pa.RecordBatch, n_keys: int) -> list[int]:
     return [0, *np.flatnonzero(change).tolist(), batch.num_rows]
 
 
-def filtered(rows: DataFrame, keys: list[str], order: list[str], system: System, reset: Column | None = None) -> DataFrame:
-    """keys, order, x of rows, filtered."""
-    p, own = len(system.take), list(keys)
+def filtered(rows: DataFrame, keys: list[str], order: list[str], system: System, reset: Column | None = None, powers: list[int] | None = None) -> DataFrame:
+    """keys, order, x of rows, filtered; with powers x as it is and e0, e1, ..: those powers of x, filtered in one pass."""
+    own, all_powers = list(keys), powers or [1]
+    # The powers' states lie one behind the other, as those of systems side by side.
+    n_powers = len(all_powers)
+    step, p = np.kron(np.eye(n_powers), system.step), n_powers * len(system.take)
+    taken = lambda x: (_powers_of(x, all_powers)[:, :, None] * system.take).reshape(len(x), p)
     picked = rows.select(*keys, *order, F.nanvl(F.col("x").cast("double"), F.lit(None)).alias("x"), *([F.coalesce(reset, F.lit(False)).alias("_reset")] if reset is not None else []))
     if reset is not None:
         picked, own = running_sums(picked, keys, [*order, "x"], {"_segment": F.col("_reset").cast("int")}).drop("_reset"), [*keys, "_segment"]
@@ -172,7 +176,7 @@ def filtered(rows: DataFrame, keys: list[str], order: list[str], system: System,
                 if key != last:
                     last, state, before, block = key, np.zeros(p), 0, 0
                 good = x[lo:hi][~np.isnan(x[lo:hi])]
-                start, state = state, states(system.step, good[:, None] * system.take, state)[-1]
+                start, state = state, states(step, taken(good), state)[-1]
                 heads.append(lo)
                 notes.append((part, block, before, len(good), start.tolist(), state.tolist()))
                 before, block = before + len(good), block + 1
@@ -197,7 +201,7 @@ def filtered(rows: DataFrame, keys: list[str], order: list[str], system: System,
                     at.append(row)
                     number.append(one["_part"])
                     found.append(state.tolist())
-                    state = np.linalg.matrix_power(system.step, one["n"]) @ state + one["end"]
+                    state = np.linalg.matrix_power(step, one["n"]) @ state + one["end"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(own))), pa.array(number, pa.int32()), pa.array(found, pa.list_(pa.float64()))], [*own, "_part", "_met"])
 
     met_there = parts.mapInArrow(carry, f"{key_kinds}, _part int, _met array<double>" if own else "_part int, _met array<double>")
@@ -209,30 +213,31 @@ def filtered(rows: DataFrame, keys: list[str], order: list[str], system: System,
             lists = batch.column(n)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             columns = lists.flatten().flatten()
-            x, y = columns[-1].to_numpy(zero_copy_only=False), np.empty(ends[-1])
+            x, y = columns[-1].to_numpy(zero_copy_only=False), np.full((n_powers, ends[-1]), np.nan)
             for row, (before, start, there) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in (1, 2, 3)))):
-                state = np.linalg.matrix_power(system.step, before) @ np.array(there) + start
-                y[ends[row] : ends[row + 1]] = run(system, x[ends[row] : ends[row + 1]], state)[0]
+                state = np.linalg.matrix_power(step, before) @ np.array(there) + start
+                good = ends[row] + np.flatnonzero(~np.isnan(x[ends[row] : ends[row + 1]]))
+                met_states = states(step, taken(x[good]), state)[:-1].reshape(len(good), n_powers, len(system.take))
+                y[:, good] = (met_states @ system.give + system.through * _powers_of(x[good], all_powers)).T
             of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(n)), *columns[:-1], pa.array(y, from_pandas=True)], [*keys, *order, "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(n)), *columns[: len(columns) if powers else -1], *(pa.array(e, from_pandas=True) for e in y)], [*keys, *order, *added])
 
-    return joined.mapInArrow(go, picked.select(*keys, *order, "x").schema)
+    added = ["x", *(f"e{k}" for k in powers)] if powers else ["x"]
+    return joined.mapInArrow(go, picked.select(*keys, *order, *(F.col("x").alias(c) for c in added)).schema)
+
+
+def _powers_of(x: np.ndarray, powers: list[int]) -> np.ndarray:
+    return np.stack([x**k for k in powers], 1)
 
 
 def _means(rows: DataFrame, keys: list[str], order: list[str], alpha: float, powers: list[int], reset: Column | None) -> DataFrame:
     """keys, order, x and e0, e1, ..: exponential means of x's powers, 0 being the weight so far."""
     a = 0.5 ** (1 / alpha) if alpha > 1 else alpha
-    plain = rows.select(*keys, *order, F.col("x").cast("double").alias("x"), *([reset.alias("_reset")] if reset is not None else []))
-    out = plain.drop("_reset")
-    for k in powers:
-        power = F.when(F.col("x").isNotNull() & ~F.isnan("x"), F.pow("x", F.lit(k)))
-        mean = filtered(plain.withColumn("x", power), keys, order, equation([1 - a], [1.0, -a]), F.col("_reset") if reset is not None else None)
-        out = met(out, mean.withColumnRenamed("x", f"e{k}"), [*keys, *order])
-    return out
+    return filtered(rows, keys, order, equation([1 - a], [1.0, -a]), reset, powers)
 
 
 def less_exponential_mean(rows: DataFrame, keys: list[str], order: list[str], alpha: float, reset: Column | None = None) -> DataFrame:
-    """x less its exponential average; a factor above 1 is a half-life in rows. Key and order name a row."""
+    """x less its exponential average; a factor above 1 is a half-life in rows."""
     return _means(rows, keys, order, alpha, [0, 1], reset).withColumn("x", F.col("x") - F.col("e1") / F.col("e0")).drop("e0", "e1")
 
 

@@ -85,3 +85,13 @@ def test_numbers_and_sums_over_parts(spark):
         for i, t in enumerate(own):
             assert found[t] == (len(own) - i, sums[i], sums[-1])
     assert ordered.numbered(rows.limit(0), [], ["t"]).collect() == []
+
+
+def test_exponential_means_of_tied_rows(spark):
+    # One pass for all powers: rows of one place stay as many as they are.
+    table = spark.createDataFrame([(0, 4.0), (1, 2.0), (1, 1.0), (2, None), (3, 1.0)], "t int, x double")
+    for name, k in (("less_exponential_mean", 1), ("by_exponential_power", 2)):
+        found = getattr(recursive, name)(table, [], ["t"], 0.5).collect()
+        e = [_steps(recursive.equation([0.5], [1.0, -0.5]), [x if x is None else x**j for x in (4.0, 1.0, 2.0, None, 1.0)]) for j in (0, k)]
+        wanted = [None if x is None else x - m / w if k == 1 else x / (m / w) ** 0.5 for x, w, m in zip((4.0, 1.0, 2.0, None, 1.0), *e)]
+        assert [r["x"] for r in sorted(found, key=lambda r: (r["t"], r["t"] == 1 and (r["x"] or 0)))] == [w if w is None else pytest.approx(w) for w in wanted]
