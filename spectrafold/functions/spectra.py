@@ -47,9 +47,15 @@ def welch(cube: DataFrame, along: str, fs: float, width: int, overlap: float = 0
     return found.groupBy(*keep, "_k").agg((F.sum("_p") / (F.first("_last") + 1)).alias("x")).select(*keep, (F.col("_k") * (fs / width)).alias("freq"), "x")
 
 
+def coefficients_of(cube: DataFrame, along: str, length: int, orders: list[int]) -> DataFrame:
+    """A row for each series: _c, the named coefficients (k, re, im) of a transform of the length; absent cells count as zero."""
+    keep = [c for c in cube.columns if c not in (along, "x")]
+    angle = lambda k: F.lit(-2 * np.pi * k) * F.col(along) / length
+    sums = [F.struct(F.lit(k).alias("k"), F.sum(F.col("x") * F.cos(angle(k))).alias("re"), F.sum(F.col("x") * F.sin(angle(k))).alias("im")) for k in orders]
+    return cube.groupBy(*keep).agg(F.array(*sums).alias("_c"))
+
+
 def fourier(cube: DataFrame, along: str, length: int, orders: list[int]) -> DataFrame:
     """re and im of the named coefficients of a transform of the length; absent cells count as zero. Sums of cosines, all in the JVM."""
     keep = [c for c in cube.columns if c not in (along, "x")]
-    angle = -2 * np.pi * F.col("k") * F.col(along) / length
-    rows = cube.withColumn("k", F.explode(F.array(*map(F.lit, orders))))
-    return rows.groupBy(*keep, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
+    return coefficients_of(cube, along, length, orders).select(*keep, F.inline("_c"))

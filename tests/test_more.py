@@ -76,3 +76,17 @@ def test_made_cubes_repeat(spark):
 def test_ties_are_decided(spark):
     rows = spark.createDataFrame([(1, "b", 1.0), (1, "a", 1.0), (2, "b", None)], "i int, sub_problem string, y double")
     assert [tuple(r) for r in decisions.labelled(rows, ["i"]).collect()] == [(1, "a")]
+
+
+def test_filter_bank_groups_cells_once(spark):
+    # Coefficients and cells are made row by row, so no task holds groups of every cell of every band.
+    from pyspark.sql import functions as F
+
+    from spectrafold.functions import fourier
+
+    cube = spark.createDataFrame([("a", t, float(t * t % 7)) for t in range(8)] + [("b", 0, None)], "ch string, time int, x double")
+    found = fourier.filter_bank(cube, "time", 8, {"all": F.lit(1.0), "mean": F.when(F.col("k") == 0, 1.0).otherwise(0.0)})
+    cells = {(r["ch"], r["band"], r["time"]): r["x"] for r in found.collect()}
+    mean = sum(t * t % 7 for t in range(8)) / 8
+    assert all(abs(cells["a", "all", t] - t * t % 7) < 1e-9 and abs(cells["a", "mean", t] - mean) < 1e-9 and cells["b", "all", t] is None for t in range(8)) and len(cells) == 32
+    assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
